@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readgrove.functions.sequence import seq_id
-from readgrove.session import BROADCAST_BYTES
+from readgrove.session import small
 
 MAX_HEADERS = 100_000
 HOT_ROW_BYTES = 64
@@ -38,8 +38,7 @@ def header_sets(reads: DataFrame, derep: DataFrame, max_headers: int = MAX_HEADE
     keyed = upper.withColumn("seq_id", seq_id(F.col("read")))
     part = F.lit(0)
     if n_hot:
-        small = F.broadcast(hot) if n_hot * HOT_ROW_BYTES <= BROADCAST_BYTES else hot
-        keyed = keyed.join(small, "seq_id", "left")
+        keyed = keyed.join(small(hot, n_hot, HOT_ROW_BYTES), "seq_id", "left")
         part = F.coalesce(F.pmod(F.xxhash64("header"), F.col("n_parts")), F.lit(0)).cast("int")
     grouped = keyed.groupBy("read", part.alias("part")).agg(
         F.sort_array(F.collect_set("header")).alias("headers")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from readgrove.functions.profile import overlap_distances, token_profile
 from readgrove.functions.sequence import pick_key
-from readgrove.session import attach, materialise
+from readgrove.session import attach, materialise, small
 
 
 def pick_one(df: DataFrame, by: str, seed: int, lm_ord: int = 0) -> DataFrame:
@@ -140,6 +140,7 @@ def _pick_next(members: DataFrame, lists: DataFrame, done: int, step: int, exten
     landmark = F.struct("new.seq_id", "new.read", token_profile(rule.k)("new.read").alias("profile"))
     new = new.select("cluster", landmark.alias("new"))
     grown = F.when(F.col("new").isNotNull(), F.array_append("lms", F.col("new"))).otherwise(F.col("lms"))
+    new = small(new, extent.clusters, 256 + 10 * extent.longest)
     return lists.join(new, "cluster", "left").select("cluster", "size", "m", grown.alias("lms"))
 
 

@@ -7,16 +7,12 @@ from pyspark.sql import functions as F
 
 from readgrove.functions.alignment import alignment_distance
 from readgrove.functions.profile import overlap_distances
-from readgrove.session import BROADCAST_BYTES, materialise
+from readgrove.session import materialise, small
 
 INDEX_ROW_BYTES = 64
 TOKEN_BYTES = 8
 
 
-def _small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
 def _prefix(profile: Column, similarity: float, other: int) -> Column:
     """Tokens of which two profiles as similar as that have at least one in common.
 
@@ -43,10 +39,10 @@ def similar_pairs(reads: DataFrame, index: DataFrame, similarity: float) -> Data
         "lm_id", F.explode(_prefix(F.col("profile"), similarity, shortest or 1)).alias("token")
     )
     wanted = reads.select("seq_id", F.explode(_prefix(F.col("profile"), similarity, fewest or 1)).alias("token"))
-    proposed = wanted.join(_small(posting, tokens or 0, INDEX_ROW_BYTES), "token").select("seq_id", "lm_id").distinct()
+    proposed = wanted.join(small(posting, tokens or 0, INDEX_ROW_BYTES), "token").select("seq_id", "lm_id").distinct()
     width = INDEX_ROW_BYTES + TOKEN_BYTES * ((tokens or 0) // max(1, lms))
     marks = index.select("lm_id", "cluster", "lm_ord", F.col("profile").alias("lm_profile"))
-    beside = proposed.join(reads.select("seq_id", "profile"), "seq_id").join(_small(marks, lms, width), "lm_id")
+    beside = proposed.join(reads.select("seq_id", "profile"), "seq_id").join(small(marks, lms, width), "lm_id")
     distance = F.get(overlap_distances("lm_id", "profile", F.array("lm_profile")), F.lit(0))
     measured = beside.select(
         "seq_id", "lm_id", "cluster", "lm_ord", F.round(1 - distance, 12).alias("similarity")
@@ -94,7 +90,7 @@ def nearest_landmark(
                 if wave.limit(1).count() == 0:
                     break
             tried = wave.join(open_reads.select("seq_id", "read"), "seq_id").join(
-                _small(texts, n_landmarks, 1024), "lm_id"
+                small(texts, n_landmarks, 1024), "lm_id"
             )
             tried = tried.withColumn("identity", F.round(1 - alignment_distance("read", "lm_read"), 12))
             good = tried.where(F.col("identity") >= min_identity)

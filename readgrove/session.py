@@ -45,6 +45,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Broadcast a table of that counted size if it is within the limit, else leave it as it is."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def attach(
     big: DataFrame,
     small: DataFrame,

@@ -198,7 +198,7 @@ _SAMPLE_SUMS = ", ".join(f"CAST(sum(CASE WHEN sample = '{s}' THEN n ELSE 0 END)
 
 _NEAREST = """
     SELECT seq_id, cluster, lm_ord, identity, strand FROM (
-      SELECT c.seq_id, l.cluster, l.lm_ord, {identity} AS identity, '+' AS strand,
+      SELECT c.seq_id, l.cluster, CAST(l.lm_ord AS INT) AS lm_ord, {identity} AS identity, '+' AS strand,
              row_number() OVER (PARTITION BY c.seq_id ORDER BY round(1 - (1 - c.shared / c.windows), 12) DESC, l.cluster, l.lm_ord) AS rn
       FROM (SELECT a.seq_id, b.seq_id AS lm_id, sum(least(a.cnt, b.cnt)) AS shared, any_value(least(x.windows, y.windows)) AS windows
             FROM words a JOIN words b ON a.word = b.word JOIN spans x ON x.seq_id = a.seq_id JOIN spans y ON y.seq_id = b.seq_id
@@ -291,17 +291,17 @@ ORACLES: dict[str, str] = {
           SELECT size, CASE WHEN size < 2 THEN 0 ELSE CAST(ceil(log2(size)) AS INT) END AS q
           FROM (SELECT DISTINCT l_orderkey AS size FROM lineitem))""",
     "attach_cluster": _with(["seqs_syn"], "SELECT seq_id, abundance, fam + 16 AS cluster FROM seqs_syn"),
-    "kmer_distance": _with(["root_dist"], "SELECT seq_id, CAST(cluster AS BIGINT) AS cluster, lm_ord, round(d, 9) AS d FROM root_dist"),
+    "kmer_distance": _with(["root_dist"], "SELECT seq_id, CAST(cluster AS BIGINT) AS cluster, CAST(lm_ord AS INT) AS lm_ord, round(d, 9) AS d FROM root_dist"),
     "assign_side": _with(["root_dist"], """
         SELECT seq_id, CAST(1 AS BIGINT) AS cluster, CASE WHEN l <= r THEN 0 ELSE 1 END AS side FROM (
           SELECT seq_id, round(avg(CASE WHEN lm_ord % 2 = 0 THEN d END), 12) AS l,
                  round(avg(CASE WHEN lm_ord % 2 = 1 THEN d END), 12) AS r FROM root_dist GROUP BY seq_id)"""),
     "min_distance": _with(["bucketed"], "SELECT seq_id, cluster, round(d, 9) AS d_min FROM bucketed"),
-    "bucket_median": _with(["medians"], "SELECT cluster, bucket, round(median, 9) AS median FROM medians"),
+    "bucket_median": _with(["medians"], "SELECT cluster, CAST(bucket AS INT) AS bucket, round(median, 9) AS median FROM medians"),
     "median_of_medians": _with(["medians"], """
         SELECT cluster, round(list_sort(list(median))[CAST(floor(count(*) / 2) AS INT) + 1], 9) AS mom FROM medians GROUP BY cluster"""),
     "alignment_distance": _with(["members", "landmarks"], """
-        SELECT m.seq_id, l.lm_ord, round(hamming(m.read, l.read) / 128.0, 9) AS d
+        SELECT m.seq_id, CAST(l.lm_ord AS INT) AS lm_ord, round(hamming(m.read, l.read) / 128.0, 9) AS d
         FROM members m JOIN landmarks l ON l.cluster = m.cluster"""),
     "landmark_graph": _with(["edges"], "SELECT cluster, src, dst, round(weight, 9) AS weight FROM edges"),
     "landmark_graph_kmer": _with(["landmarks", "words", "spans"], """
