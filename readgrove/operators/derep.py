@@ -29,6 +29,7 @@ def header_sets(reads: DataFrame, derep: DataFrame, max_headers: int = MAX_HEADE
     A read with more than ``max_headers`` headers gets several rows, its headers shared out by
     hash, so that neither a task nor a row holds an unbounded set. All other reads have one row,
     ``part`` 0. ``derep`` tells which reads are that hot: at most rows / ``max_headers`` of them.
+    It is read twice, so pass a written table.
     """
     hot = derep.where(F.col("abundance") > max_headers).select(
         "seq_id", F.ceil(F.col("abundance") / max_headers).cast("int").alias("n_parts")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from readgrove.functions.sequence import landmark_count
 from readgrove.operators.derep import abundant, dereplicate, header_sets
 from readgrove.operators.kmers import profiles
+from readgrove.session import materialise
 
 K = 8
 FAMILIES = 16
@@ -18,11 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _written_once(name: str):
+    """Derive an input of reads once per application, as a table spread over all cores.
+
+    The given tables are single small files, which Spark would otherwise read in one task.
+    """
+
+    def wrap(derive):
+        def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+            key = (spark.sparkContext.applicationId, sf_dir, name)
+            if key not in _WRITTEN:
+                spread = derive(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+                _WRITTEN[key] = materialise(spread, name)
+            return _WRITTEN[key]
+
+        return reads
+
+    return wrap
+
+
+@_written_once("reads_syn")
 def reads_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fam, header, read``: a read of 128 bases per line item, one substitution from its family."""
-    fam = F.col("l_partkey") % FAMILIES
-    quarters = [F.md5(F.concat(F.lit(letter), fam.cast("string"))) for letter in "abcd"]
-    base = F.translate(F.concat(*quarters), "0123456789abcdef", "ACGTACGTACGTACGT")
     place = (F.col("l_suppkey") % 128).cast("int") + 1
     letter = F.substr(F.lit("ACGT"), (F.col("l_linenumber") % 4).cast("int") + 1, F.lit(1))
     header = F.concat(
@@ -30,14 +51,19 @@ def reads_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"),
     )
     lines = table(spark, sf_dir, "lineitem").select(
-        fam.alias("fam"), header.alias("header"), base.alias("base"), place.alias("place"), letter.alias("letter")
+        (F.col("l_partkey") % FAMILIES).alias("fam"), header.alias("header"), place.alias("place"), letter.alias("letter")
     )
+    quarters = [F.md5(F.concat(F.lit(letter), F.col("fam").cast("string"))) for letter in "abcd"]
+    base = F.translate(F.concat(*quarters), "0123456789abcdef", "ACGTACGTACGTACGT")
+    # one row per family, and there are FAMILIES of them
+    bases = lines.select("fam").distinct().withColumn("base", base)
     read = F.concat(
         F.substr("base", F.lit(1), F.col("place") - 1), F.col("letter"), F.substr("base", F.col("place") + 1)
     )
-    return lines.select("fam", "header", read.alias("read"))
+    return lines.join(F.broadcast(bases), "fam").select("fam", "header", read.alias("read"))
 
 
+@_written_once("reads_doc")
 def reads_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``header, read, source``: the base letters of every whole document, where there are enough."""
     docs = table(spark, sf_dir, "documents")
@@ -87,10 +113,10 @@ def top_landmarks(members: DataFrame) -> DataFrame:
 
 def hits_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``header_set, cluster, seq_id``: a hit of its family for every abundant read."""
-    reads = reads_syn(spark, sf_dir)
-    sets = header_sets(reads, dereplicate(reads))
+    unique = materialise(unique_syn(spark, sf_dir), "unique")
+    sets = header_sets(reads_syn(spark, sf_dir), unique)
     text = F.concat(F.lit("Set("), F.concat_ws(",", "headers"), F.lit(")"))
-    fams = seqs_syn(spark, sf_dir).select("seq_id", "fam")
+    fams = abundant(unique).select("seq_id", "fam")
     return sets.join(fams, "seq_id").select(
         text.alias("header_set"),
         F.concat(F.lit("cluster_"), (F.col("fam") + FAMILIES).cast("string")).alias("cluster"),

@@ -101,7 +101,8 @@ def otu_table_scan(spark: SparkSession, sf: str) -> DataFrame:
 def derep_sink(spark: SparkSession, sf: str) -> DataFrame:
     reads = X.reads_syn(spark, sf)
     path = scratch_path(spark, "derep")
-    fasta.write_derep(derep.header_sets(reads, derep.dereplicate(reads)), path)
+    unique = materialise(derep.dereplicate(reads), "unique")
+    fasta.write_derep(derep.header_sets(reads, unique), path)
     return fasta.parse_fasta(fasta.read_fasta(spark, path)).withColumnRenamed("header", "header_set")
 
 
@@ -198,7 +199,7 @@ def kmer_explode(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def strip_blanks(spark: SparkSession, sf: str) -> DataFrame:
     reads = X.reads_syn(spark, sf)
-    sets = derep.header_sets(reads, derep.dereplicate(reads))
+    sets = derep.header_sets(reads, materialise(derep.dereplicate(reads), "unique"))
     return sets.select("seq_id", S.strip_blanks(S.format_header_set(F.col("headers"))).alias("header_set"))
 
 
@@ -340,7 +341,8 @@ def nearest_landmark_aligned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _header_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return assign.dedupe_hits(assign.explode_header_sets(X.hits_syn(spark, sf)), "seq_id")
+    hits = assign.explode_header_sets(X.hits_syn(spark, sf))
+    return materialise(assign.dedupe_hits(hits, "seq_id"), "hits")
 
 
 @query
@@ -385,7 +387,7 @@ def stage_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def dereplicate(spark: SparkSession, sf: str) -> DataFrame:
     reads = X.reads_syn(spark, sf)
-    unique = derep.dereplicate(reads)
+    unique = materialise(derep.dereplicate(reads), "unique")
     sets = derep.header_sets(reads, unique)
     return sets.join(unique.select("seq_id", "abundance"), "seq_id").select(
         "seq_id", F.concat_ws(",", "headers").alias("headers"), "abundance"
