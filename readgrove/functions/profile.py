@@ -60,6 +60,7 @@ def overlap_distances(key: pa.Array, profile: pa.Array, others: pa.Array) -> pa.
     """K-mer distance of each profile to every profile in ``others``, in order.
 
     Rows with one ``key`` have the same ``others``, so these are unpacked once per key and batch.
+    An empty profile has nothing in common with any: distance 1.
     """
     if len(key) == 0:
         return pa.array([], pa.list_(pa.float64()))
@@ -75,15 +76,17 @@ def overlap_distances(key: pa.Array, profile: pa.Array, others: pa.Array) -> pa.
     values, counts = [], []
     for head, tail in zip(heads, tails):
         mine = tokens[starts[head] : ends[tail - 1]]
-        first = starts[head:tail] - starts[head]
-        size = ends[head:tail] - starts[head:tail]
+        first, last = starts[head:tail] - starts[head], ends[head:tail] - starts[head]
         targets = others[int(order[head])].values
         block = np.empty((tail - head, len(targets)))
         for column in range(len(targets)):
             target = targets[column].values.to_numpy()
-            slot = np.minimum(np.searchsorted(target, mine), len(target) - 1)
-            shared = np.add.reduceat((target[slot] == mine).astype(np.int64), first)
-            block[:, column] = 1.0 - shared / np.minimum(size, len(target))
+            hits = np.zeros(len(mine) + 1, np.int64)
+            if len(target):
+                slot = np.minimum(np.searchsorted(target, mine), len(target) - 1)
+                np.cumsum(target[slot] == mine, out=hits[1:])
+            shared = hits[last] - hits[first]
+            block[:, column] = 1.0 - shared / np.maximum(np.minimum(last - first, len(target)), 1)
         values.append(block.ravel())
         counts.append(np.full(tail - head, len(targets)))
     offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts))))

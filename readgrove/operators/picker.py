@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from readgrove.functions.alignment import align_batch, alignment_distance
 from readgrove.functions.profile import overlap_distances, token_profile
 from readgrove.functions.sequence import seq_id
-from readgrove.session import attach, materialise
+from readgrove.session import attach, materialise, small
 
 FIRST_BATCH, LARGEST_BATCH = 32, 256
 MAX_PICKER_ROWS = 5_000_000
@@ -64,38 +64,39 @@ def greedy_centroids(assigned: DataFrame, identity: float = 0.97, k: int = 8) ->
     units = units.select("cluster", "uid", "text", "first.header", "first.read", "size")
     units = materialise(units.withColumn("profile", token_profile(k)("text")), "units")
     total, n_units, longest = units.agg(F.sum("size"), F.count(F.lit(1)), F.max(F.length("text"))).first()
-    open_units = units.drop("read")
+    named = units.withColumn("cluster", F.col("cluster").cast("string"))
+    open_units = named.select("cluster", "uid", "text", "header", "profile")
     order = Window.partitionBy("cluster").orderBy(F.desc(F.length("text")), "header")
     batch_size, settled, left = FIRST_BATCH, [], n_units
-    spread = assigned.sparkSession.sparkContext.defaultParallelism
     while left:
         # the rank limit is applied before the shuffle, so a hot cluster sends few rows
         heads = open_units.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= batch_size)
         schema = "cluster string, uid string, header string, text string, profile array<bigint>, rank int"
-        heads = heads.select(F.col("cluster").cast("string").alias("cluster"), "uid", "header", "text", "profile", "rank")
         new = materialise(heads.groupBy("cluster").applyInPandas(_head_centroids(identity), schema), "centroids")
         entry = F.struct("rank", "uid", "header", "text", "profile")
         lists = new.groupBy("cluster").agg(F.sort_array(F.collect_list(entry)).alias("heads"))
         n_clusters, n_heads = lists.agg(F.count(F.lit(1)), F.max(F.size("heads"))).first()
-        owned = open_units.groupBy(F.col("cluster").cast("string").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+        owned = open_units.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
         row_bytes = 256 + n_heads * (9 * longest + 128)
-        beside = attach(
-            open_units.withColumn("cluster", F.col("cluster").cast("string")).drop("size"),
-            lists, ["cluster"], n_clusters, row_bytes, owned, left,
-        )
-        near = _near(beside, identity, k).repartition(spread, "uid")
-        matched = near.withColumn("identity", F.round(1 - alignment_distance("text", "head.text"), 12))
-        earliest = F.min(F.struct("rank", "target_uid", "target", "identity")).alias("best")
-        joined = matched.select(
-            "cluster", "uid", F.col("head.rank").alias("rank"), F.col("head.uid").alias("target_uid"),
-            F.col("head.header").alias("target"), "identity",
-        ).where(F.col("identity") >= identity)
-        done = materialise(joined.groupBy("cluster", "uid").agg(earliest).select("cluster", "uid", "best.*"), "settled")
-        settled.append(done)
-        open_units = materialise(
-            open_units.withColumn("cluster", F.col("cluster").cast("string")).join(done, ["cluster", "uid"], "left_anti"),
-            "open",
+        beside = _near(attach(open_units, lists, ["cluster"], n_clusters, row_bytes, owned, left), identity, k)
+
+        pairs = beside.select("cluster", "uid", "text", F.explode("near").alias("head"))
+        aligned = pairs.withColumn("identity", F.round(1 - alignment_distance("text", "head.text"), 12))
+        match = F.struct(
+            F.col("head.rank").alias("rank"),
+            F.col("head.uid").alias("target_uid"),
+            F.col("head.header").alias("target"),
+            "identity",
         )
+        best = F.min(F.when(F.col("identity") >= identity, match)).alias("best")
+        tried = materialise(aligned.groupBy("cluster", "uid").agg(best), "tried")
+        settled.append(tried.where(F.col("best").isNotNull()).select("cluster", "uid", "best.*"))
+
+        # still open: units near no new centroid, which needs no join, and the few that failed alignment
+        failed = tried.where(F.col("best").isNull()).select("cluster", "uid", F.lit(True).alias("failed"))
+        marked = beside.join(small(failed, failed.count(), 128), ["cluster", "uid"], "left")
+        still = marked.where((F.size("near") == 0) | F.col("failed"))
+        open_units = materialise(still.select("cluster", "uid", "text", "header", "profile"), "open")
         left = open_units.count()
         batch_size = min(2 * batch_size, LARGEST_BATCH)
 
@@ -103,7 +104,6 @@ def greedy_centroids(assigned: DataFrame, identity: float = 0.97, k: int = 8) ->
         empty = assigned.sparkSession.createDataFrame([], "cluster string, uid string, rank int, target_uid string, target string, identity double")
         settled = [empty]
     placed = reduce(DataFrame.unionByName, settled).drop("rank")
-    named = units.withColumn("cluster", F.col("cluster").cast("string"))
     centroids = named.join(placed.where(F.col("uid") == F.col("target_uid")).select("cluster", "uid"), ["cluster", "uid"], "left_semi")
     members = attach(
         keyed.select(F.col("cluster").cast("string").alias("cluster"), "uid", "header"),
@@ -116,19 +116,23 @@ def greedy_centroids(assigned: DataFrame, identity: float = 0.97, k: int = 8) ->
 
 
 def _near(beside: DataFrame, identity: float, k: int) -> DataFrame:
-    """Unit and centroid pairs whose k-mers allow the identity.
+    """Adds ``near``: the ``heads`` of the cluster whose k-mers allow the identity.
 
     A miss column spoils at most ``k`` windows, so an alignment with ``e`` of them leaves at least
     ``windows - k * e`` k-mers in common, and the identity allows at most
-    ``(1 - identity) / identity * shorter length`` misses. Pairs below cannot qualify.
+    ``(1 - identity) / identity * shorter length`` misses. Heads below cannot qualify.
     """
     measured = beside.withColumn("d", overlap_distances("cluster", "profile", F.col("heads.profile")))
-    pairs = measured.select("cluster", "uid", "text", F.size("profile").alias("windows"), F.inline(F.arrays_zip(F.col("heads").alias("head"), F.col("d").alias("d"))))
-    head_windows = F.size("head.profile")
-    misses = F.floor(F.least(F.length("text"), F.length("head.text")) * (1 - identity) / identity + 1e-9)
-    shared = (1 - F.col("d")) * F.least(F.col("windows"), head_windows)
-    possible = shared >= F.greatest(F.col("windows"), head_windows) - k * misses - 1e-6
-    return pairs.where(possible).select("cluster", "uid", "text", F.col("head").dropFields("profile").alias("head"))
+    text, windows = F.col("text"), F.size("profile")
+
+    def judge(head, d):
+        misses = F.floor(F.least(F.length(text), F.length(head["text"])) * (1 - identity) / identity + 1e-9)
+        shared = (1 - d) * F.least(windows, F.size(head["profile"]))
+        possible = shared >= F.greatest(windows, F.size(head["profile"])) - k * misses - 1e-6
+        return F.when(possible, head.dropFields("profile"))
+
+    near = F.filter(F.zip_with("heads", "d", judge), lambda head: head.isNotNull())
+    return measured.withColumn("near", near).drop("heads", "d")
 
 
 def subcluster(

@@ -117,6 +117,17 @@ def test_greedy_centroids_match_the_sequential_rule(spark, assigned_rows, monkey
     assert all(r["read"] == original[r["centroid"]] for r in centroids.collect())
 
 
+def test_reads_shorter_than_a_kmer_are_picked_too(spark):
+    rows = [("c", "s_1", "ACGTA"), ("c", "s_2", "ACGTA"), ("c", "s_3", "ACGTT"), ("c", "s_4", "ACGTACGTAC"),
+            ("c", "s_5", "A"), ("d", "s_6", "AC")]
+    df = spark.createDataFrame(rows, "cluster string, header string, read string")
+    members, centroids = picker.subcluster(df)
+    assert [(m["query"], m["target"], m["identity"]) for m in members.collect()] == [("s_2", "s_1", 1.0)]
+    assert {r["centroid"] for r in centroids.collect()} == {"s_1", "s_3", "s_4", "s_5", "s_6"}
+    nothing, none = picker.subcluster(df.limit(0))
+    assert nothing.count() == 0 and none.count() == 0
+
+
 def test_custom_picker_and_its_bound(spark, assigned_rows):
     df = spark.createDataFrame(assigned_rows, "cluster string, header string, read string")
 
