@@ -19,21 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a given table over all cores: each is a single small file, read in one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _written_once(name: str):
-    """Derive an input of reads once per application, as a table spread over all cores.
-
-    The given tables are single small files, which Spark would otherwise read in one task.
-    """
+    """Derive an input of reads once per application, as a table."""
 
     def wrap(derive):
         def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
             key = (spark.sparkContext.applicationId, sf_dir, name)
             if key not in _WRITTEN:
-                spread = derive(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
-                _WRITTEN[key] = materialise(spread, name)
+                _WRITTEN[key] = materialise(derive(spark, sf_dir), name)
             return _WRITTEN[key]
 
         return reads
@@ -50,13 +51,15 @@ def reads_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("s"), (F.col("l_suppkey") % 8).cast("string"), F.lit("_"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"),
     )
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    lines = lines.select(
         (F.col("l_partkey") % FAMILIES).alias("fam"), header.alias("header"), place.alias("place"), letter.alias("letter")
     )
     quarters = [F.md5(F.concat(F.lit(letter), F.col("fam").cast("string"))) for letter in "abcd"]
     base = F.translate(F.concat(*quarters), "0123456789abcdef", "ACGTACGTACGTACGT")
     # one row per family, and there are FAMILIES of them
-    bases = lines.select("fam").distinct().withColumn("base", base)
+    fams = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % FAMILIES).alias("fam"))
+    bases = fams.distinct().withColumn("base", base)
     read = F.concat(
         F.substr("base", F.lit(1), F.col("place") - 1), F.col("letter"), F.substr("base", F.col("place") + 1)
     )
@@ -66,7 +69,7 @@ def reads_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_written_once("reads_doc")
 def reads_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``header, read, source``: the base letters of every whole document, where there are enough."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     read = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
     header = F.concat_ws("_", "source", F.col("doc_id").cast("string"))
     return docs.select(header.alias("header"), read.alias("read"), "source").where(F.length("read") >= K)
