@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from readgrove.llm.licenses import ARTICLES, CUES, LEAD, RULES, SENTENCES
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op5_exact_dedup"] = """
@@ -55,3 +57,52 @@ SELECT p.page_id, coalesce(s.host, '') AS host, coalesce(s.path, '') AS path, f.
 FROM pages p LEFT JOIN split s ON s.url = p.url LEFT JOIN fits f ON f.url = p.url AND f.n = 1
 LEFT JOIN told t ON t.node = s.node AND s.node <> ''
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _normalised(column: str) -> str:
+    plain = f"trim(regexp_replace(lower({column}), '[^a-z0-9]+', ' ', 'g'))"
+    return f"regexp_replace(regexp_replace({plain}, '{LEAD}', ''), '{ARTICLES}', ' ', 'g')"
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in SENTENCES.items())
+    steps, rest = [], "sequence"
+    for n, (licence, ids) in enumerate(RULES):
+        pattern = _quoted(" " + "  ".join(ids) + " ")
+        steps.append(f"CASE WHEN contains({rest}, {pattern}) THEN {_quoted(licence)} END")
+        rest = f"replace({rest}, {pattern}, ' | ')"
+    return rf"""
+WITH known AS (
+    SELECT sentence_id, {_normalised('sentence')} AS known FROM (VALUES {known}) AS t(sentence_id, sentence)
+), texts AS (
+    SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents
+), forms AS (
+    SELECT n, doc_id, 0 AS form, string_split(regexp_replace(regexp_replace(text, '
+[ 	]*
+', chr(1), 'g'), '([.!?])[ 	
+]+', '' || chr(1), 'g'), chr(1)) AS list
+    FROM texts WHERE regexp_matches(text, '{CUES}')
+    UNION ALL
+    SELECT n, doc_id, 1, string_split(regexp_replace(regexp_replace(text, '([.!?])[ 	
+]+', '' || chr(1), 'g'), '
+', chr(1), 'g'), chr(1))
+    FROM texts WHERE regexp_matches(text, '{CUES}')
+), parts AS (
+    SELECT n, form, unnest(list) AS sentence, generate_subscripts(list, 1) AS pos FROM forms
+), found AS (
+    SELECT n, form, count(*) AS n_sentences, string_agg(' ' || sentence_id || ' ', '' ORDER BY pos) AS sequence
+    FROM parts JOIN known ON known.known = {_normalised('sentence')} GROUP BY n, form
+), named AS (
+    SELECT n, max(n_sentences) AS n_sentences, flatten(list([{', '.join(steps)}])) AS names FROM found GROUP BY n
+)
+SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences,
+       coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') AS licenses
+FROM texts LEFT JOIN named USING (n)
+"""
+
+
+ORACLES["op10_license_scans"] = _license_sql()
