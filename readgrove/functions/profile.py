@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
@@ -55,15 +56,12 @@ def token_profile(k: int):
     return profile
 
 
-@F.arrow_udf(ArrayType(DoubleType()))
-def overlap_distances(key: pa.Array, profile: pa.Array, others: pa.Array) -> pa.Array:
-    """K-mer distance of each profile to every profile in ``others``, in order.
+def _overlaps(key: pa.Array, profile: pa.Array, targets_of) -> tuple[np.ndarray, np.ndarray]:
+    """Distances row by row, and how many of them each row has.
 
-    Rows with one ``key`` have the same ``others``, so these are unpacked once per key and batch.
+    ``targets_of(key, row)`` gives the token arrays that all rows of that key are compared with.
     An empty profile has nothing in common with any: distance 1.
     """
-    if len(key) == 0:
-        return pa.array([], pa.list_(pa.float64()))
     keys = key.to_numpy(zero_copy_only=False)
     order = np.argsort(keys, kind="stable")
     profile, keys = profile.take(pa.array(order)), keys[order]
@@ -73,23 +71,63 @@ def overlap_distances(key: pa.Array, profile: pa.Array, others: pa.Array) -> pa.
     heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     tails = np.concatenate((heads[1:], [len(keys)]))
 
-    values, counts = [], []
+    blocks, counts = [], np.zeros(len(keys), np.int64)
     for head, tail in zip(heads, tails):
         mine = tokens[starts[head] : ends[tail - 1]]
         first, last = starts[head:tail] - starts[head], ends[head:tail] - starts[head]
-        targets = others[int(order[head])].values
+        targets = targets_of(keys[head], int(order[head]))
         block = np.empty((tail - head, len(targets)))
-        for column in range(len(targets)):
-            target = targets[column].values.to_numpy()
+        for column, target in enumerate(targets):
             hits = np.zeros(len(mine) + 1, np.int64)
             if len(target):
                 slot = np.minimum(np.searchsorted(target, mine), len(target) - 1)
                 np.cumsum(target[slot] == mine, out=hits[1:])
             shared = hits[last] - hits[first]
             block[:, column] = 1.0 - shared / np.maximum(np.minimum(last - first, len(target)), 1)
-        values.append(block.ravel())
-        counts.append(np.full(tail - head, len(targets)))
-    offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return _lists(offsets, np.concatenate(values)).take(pa.array(back))
+        blocks.append(block.ravel())
+        counts[head:tail] = len(targets)
+    values = np.concatenate(blocks)
+    # back to the order of the batch
+    begins = np.cumsum(counts) - counts
+    back = np.argsort(order, kind="stable")
+    sizes = counts[back]
+    at = np.repeat(begins[back], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return values[at], sizes
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes)))
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def overlap_distances(key: pa.Array, profile: pa.Array, others: pa.Array) -> pa.Array:
+    """K-mer distance of each profile to every profile in ``others``, in order.
+
+    Rows with one ``key`` have the same ``others``. For profiles that are too many to be sent to
+    every executor; else ``distance_lookup`` leaves them out of the rows.
+    """
+    if len(key) == 0:
+        return pa.array([], pa.list_(pa.float64()))
+    targets = lambda _, row: [x.values.to_numpy() for x in others[row].values]
+    values, sizes = _overlaps(key, profile, targets)
+    return _lists(_offsets(sizes), values)
+
+
+def distance_lookup(lists: DataFrame, key: str, profiles: str):
+    """Column function: (key, profile) -> distances to the key's ``profiles``, in order.
+
+    ``lists`` has one row per key and is sent to every executor once, so rows carry only their own
+    profile. The caller has counted that it fits. A key without a row has no distances.
+    """
+    rows = lists.select(key, profiles).toArrow()
+    tokens = {k.as_py(): [x.values.to_numpy() for x in p.values] for k, p in zip(rows.column(0), rows.column(1))}
+    shared = lists.sparkSession.sparkContext.broadcast(tokens)
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def distances(keys: pa.Array, profile: pa.Array) -> pa.Array:
+        if len(keys) == 0:
+            return pa.array([], pa.list_(pa.float64()))
+        values, sizes = _overlaps(keys, profile, lambda k, _: shared.value.get(k, ()))
+        return _lists(_offsets(sizes), values)
+
+    return distances

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readgrove.functions.profile import overlap_distances, token_profile
+from readgrove.functions.profile import distance_lookup, overlap_distances, token_profile
 from readgrove.functions.sequence import bucket_of, kmers
+from readgrove.session import BROADCAST_BYTES, materialise, small
 
 
 def kmer_windows(seqs: DataFrame, k: int = 8) -> DataFrame:
@@ -52,14 +53,29 @@ def landmark_lists(landmarks: DataFrame, key: str = "cluster") -> DataFrame:
     return landmarks.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("lms"))
 
 
-def landmark_distances(members: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """``seq_id, cluster, lm_ord, d``: distance of each member to each landmark of its cluster.
+def measured(members: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """``members`` with ``ds``: ``lm_ord, d`` of each landmark of their cluster, in order.
 
-    The landmarks are a few rows per cluster; Spark broadcasts them while they are small and
-    otherwise joins on the cluster.
+    The landmarks are counted: within the broadcast limit they are sent to every executor once and
+    no row moves, else they are joined by cluster. Members of clusters without landmarks are left
+    out.
     """
-    lists = landmark_lists(landmarks)
-    joined = members.select("seq_id", "cluster", "profile").join(lists, "cluster")
-    measured = joined.withColumn("d", overlap_distances("cluster", "profile", F.col("lms.profile")))
-    pair = F.zip_with("lms", "d", lambda lm, d: F.struct(lm["lm_ord"].alias("lm_ord"), d.alias("d")))
-    return measured.select("seq_id", "cluster", F.inline(pair))
+    lists = materialise(landmark_lists(landmarks), "landmark_lists")
+    size = F.aggregate("lms", F.lit(0), lambda n, lm: n + F.size(lm["profile"]) + 16)
+    n_lists, tokens = lists.agg(F.count(F.lit(1)), F.sum(size)).first()
+    ords = lists.select("cluster", F.col("lms.lm_ord").alias("ords"))
+    if 8 * (tokens or 0) <= BROADCAST_BYTES:
+        distances = distance_lookup(lists.withColumn("profiles", F.col("lms.profile")), "cluster", "profiles")
+        joined = members.join(small(ords, n_lists, 256), "cluster").withColumn("d", distances("cluster", "profile"))
+    else:
+        joined = members.join(lists, "cluster").withColumn("ords", F.col("lms.lm_ord")).withColumn(
+            "d", overlap_distances("cluster", "profile", F.col("lms.profile"))
+        ).drop("lms")
+    pairs = F.zip_with("ords", "d", lambda o, d: F.struct(o.alias("lm_ord"), d.alias("d")))
+    return joined.withColumn("ds", pairs).drop("ords", "d")
+
+
+def landmark_distances(members: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """``seq_id, cluster, lm_ord, d``: distance of each member to each landmark of its cluster."""
+    rows = measured(members.select("seq_id", "cluster", "profile"), landmarks)
+    return rows.select("seq_id", "cluster", F.inline("ds"))

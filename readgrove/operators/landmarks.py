@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readgrove.functions.profile import overlap_distances, token_profile
+from readgrove.functions.profile import distance_lookup, overlap_distances, token_profile
 from readgrove.functions.sequence import pick_key
-from readgrove.session import attach, materialise, small
+from readgrove.session import BROADCAST_BYTES, attach, materialise, small
 
 
 def pick_one(df: DataFrame, by: str, seed: int, lm_ord: int = 0) -> DataFrame:
@@ -56,25 +56,21 @@ def median_of_medians(medians: DataFrame) -> DataFrame:
     return listed.select("cluster", F.get("medians", F.floor(F.size("medians") / 2).cast("int")).alias("mom"))
 
 
-def min_distance(dist: DataFrame) -> DataFrame:
-    """``seq_id, cluster, d_min``: distance to the landmark set, at most 1."""
-    nearest = dist.groupBy("seq_id", "cluster").agg(F.min("d").alias("d_min"))
-    return nearest.withColumn("d_min", F.least("d_min", F.lit(1.0)))
+def min_distance(measured: DataFrame) -> DataFrame:
+    """Adds ``d_min`` to rows with ``ds`` (see ``kmers.measured``): distance to the landmark set, at most 1."""
+    return measured.withColumn("d_min", F.least(F.array_min("ds.d"), F.lit(1.0)))
 
 
 def _thresholds(cells: DataFrame) -> DataFrame:
-    """``cluster, ord, mom, pick`` from histogram cells, after one small shuffle by cluster."""
-    local = cells.repartition(F.col("cluster"))
-    marked = _upper_median(local, ["cluster", "bucket"], "d_min", "n")
-    medians = F.sort_array(
-        F.collect_list(F.when(F.col("is_median"), F.col("d_min"))).over(Window.partitionBy("cluster"))
-    )
-    bounded = marked.withColumn("medians", medians).withColumn(
-        "mom", F.get("medians", F.floor(F.size("medians") / 2).cast("int"))
-    )
-    return bounded.where(F.col("d_min") >= F.col("mom")).groupBy("cluster").agg(
-        F.min("ord").alias("ord"), F.min("pick").alias("pick")
-    )
+    """``cluster, ord, mom, pick`` from histogram cells.
+
+    Medians are found per cluster and bucket, the key the cells are already dealt by; only one
+    row per bucket then meets by cluster.
+    """
+    marked = _upper_median(cells, ["cluster", "bucket"], "d_min", "n")
+    moms = median_of_medians(marked.where("is_median").select("cluster", "bucket", F.col("d_min").alias("median")))
+    far = cells.join(moms, "cluster").where(F.col("d_min") >= F.col("mom"))
+    return far.groupBy("cluster").agg(F.min("ord").alias("ord"), F.min("pick").alias("pick"))
 
 
 @dataclass(frozen=True)
@@ -100,14 +96,28 @@ class _Rule:
     distinct: bool
 
 
-def _beside(members: DataFrame, lists: DataFrame, done: int, extent: Extent, rule: _Rule) -> DataFrame:
-    """Members with the landmarks of their cluster that are not among their ``dists`` yet."""
-    fresh = F.slice("lms", done + 1, extent.landmarks + 1)
-    columns = ["cluster", F.transform(fresh, lambda lm: lm["profile"]).alias("fresh"), F.size("lms").alias("ord")]
+def _beside(members: DataFrame, lists: DataFrame, done: int, extent: Extent, rule: _Rule, measure: bool = True) -> DataFrame:
+    """Members with ``fresh``: distances to the landmarks of their cluster not among their ``dists`` yet.
+
+    The new landmarks of all clusters, at most ``carry`` of each, go to every executor once while
+    their counted bytes allow it; then a row holds no profile but its own.
+    """
+    profiles = F.transform(F.slice("lms", done + 1, extent.landmarks + 1), lambda lm: lm["profile"])
+    columns = ["cluster", F.size("lms").alias("ord")]
     if rule.distinct:
         columns.append(F.transform("lms", lambda lm: lm["seq_id"]).alias("chosen"))
-    row_bytes = 256 + 8 * extent.longest * min(rule.carry, max(1, extent.landmarks))
-    return attach(members, lists.select(*columns), ["cluster"], extent.clusters, row_bytes, lists, extent.reads)
+    per_cluster = 8 * extent.longest * min(rule.carry, max(1, extent.landmarks))
+    lookup = measure and extent.clusters * per_cluster <= BROADCAST_BYTES
+    if measure and not lookup:
+        columns.append(profiles.alias("fresh"))
+    row_bytes = 256 + (per_cluster if measure and not lookup else 0)
+    joined = attach(members, lists.select(*columns), ["cluster"], extent.clusters, row_bytes, lists, extent.reads)
+    if lookup:
+        fresh = distance_lookup(lists.select("cluster", profiles.alias("fresh")), "cluster", "fresh")
+        return joined.withColumn("fresh", fresh("cluster", "profile"))
+    if measure:
+        return joined.withColumn("fresh", overlap_distances("cluster", "profile", "fresh"))
+    return joined
 
 
 def _pick_next(members: DataFrame, lists: DataFrame, done: int, step: int, extent: Extent, rule: _Rule) -> DataFrame:
@@ -115,11 +125,10 @@ def _pick_next(members: DataFrame, lists: DataFrame, done: int, step: int, exten
 
     The step number is read from the lists, so that all steps share their generated code.
     """
-    joined = _beside(members, lists.where(F.col("m") > F.size("lms")), done, extent, rule)
+    joined = _beside(members, lists.where(F.col("m") > F.size("lms")), done, extent, rule, step > done)
     key = pick_key(rule.seed, F.col("cluster"), F.col("ord"), F.col("seq_id"))
     d_min = F.col("d_min")
     if step > done:
-        joined = joined.withColumn("fresh", overlap_distances("cluster", "profile", "fresh"))
         d_min = F.least("d_min", F.array_min("fresh"))
     pick = F.when(~F.array_contains("chosen", F.col("seq_id")), key) if rule.distinct else key
     scored = joined.select("cluster", "ord", "bucket", d_min.alias("d_min"), pick.alias("pick"))
@@ -146,9 +155,7 @@ def _pick_next(members: DataFrame, lists: DataFrame, done: int, step: int, exten
 
 def _absorb(members: DataFrame, lists: DataFrame, done: int, extent: Extent, rule: _Rule) -> DataFrame:
     """Members with the distances to all landmarks so far in ``dists`` and ``d_min``."""
-    measured = _beside(members, lists, done, extent, rule).withColumn(
-        "fresh", overlap_distances("cluster", "profile", "fresh")
-    )
+    measured = _beside(members, lists, done, extent, rule)
     return measured.select(
         "seq_id",
         "read",

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readgrove.functions.alignment import alignment_distance
-from readgrove.functions.profile import overlap_distances
-from readgrove.session import materialise, small
+from readgrove.functions.profile import distance_lookup, overlap_distances
+from readgrove.session import BROADCAST_BYTES, materialise, small
 
 INDEX_ROW_BYTES = 64
 TOKEN_BYTES = 8
@@ -40,10 +40,15 @@ def similar_pairs(reads: DataFrame, index: DataFrame, similarity: float) -> Data
     )
     wanted = reads.select("seq_id", F.explode(_prefix(F.col("profile"), similarity, fewest or 1)).alias("token"))
     proposed = wanted.join(small(posting, tokens or 0, INDEX_ROW_BYTES), "token").select("seq_id", "lm_id").distinct()
-    width = INDEX_ROW_BYTES + TOKEN_BYTES * ((tokens or 0) // max(1, lms))
-    marks = index.select("lm_id", "cluster", "lm_ord", F.col("profile").alias("lm_profile"))
-    beside = proposed.join(reads.select("seq_id", "profile"), "seq_id").join(small(marks, lms, width), "lm_id")
-    distance = F.get(overlap_distances("lm_id", "profile", F.array("lm_profile")), F.lit(0))
+    marks = index.select("lm_id", "cluster", "lm_ord", F.array("profile").alias("lm_profile"))
+    beside = proposed.join(reads.select("seq_id", "profile"), "seq_id")
+    if TOKEN_BYTES * (tokens or 0) <= BROADCAST_BYTES:
+        beside = beside.join(small(marks.drop("lm_profile"), lms, INDEX_ROW_BYTES), "lm_id")
+        distance = distance_lookup(marks, "lm_id", "lm_profile")("lm_id", "profile")
+    else:
+        beside = beside.join(marks, "lm_id")
+        distance = overlap_distances("lm_id", "profile", "lm_profile")
+    distance = F.get(distance, F.lit(0))
     measured = beside.select(
         "seq_id", "lm_id", "cluster", "lm_ord", F.round(1 - distance, 12).alias("similarity")
     )

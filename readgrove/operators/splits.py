@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from readgrove.functions.alignment import alignment_distance
 from readgrove.functions.profile import overlap_distances
 from readgrove.functions.sequence import child_index, depth_of, hash60
+from readgrove.session import small
 
 
 def landmark_graph(landmarks: DataFrame, metric: str = "alignment") -> DataFrame:
@@ -117,23 +118,22 @@ def bisect_mllib(edges: DataFrame, iterations: int = 10) -> DataFrame:
     return found.select(F.col("id").cast("int").alias("lm_ord"), F.col("cluster").alias("side"))
 
 
-def assign_side(dist: DataFrame, sides: DataFrame) -> DataFrame:
+def assign_side(measured: DataFrame, sides: DataFrame) -> DataFrame:
     """``seq_id, cluster, side``: the landmark side with the smaller mean distance; ties go left.
 
-    Means are rounded to 12 places before they are compared, because sums of doubles depend on
-    their order. ``sides`` has a row per landmark, which Spark broadcasts while it is small.
+    ``measured`` has ``ds`` (see ``kmers.measured``), ``sides`` a row per landmark, a logarithm of
+    the reads; the sides of a cluster are one array beside the distances, so no read moves to be
+    averaged. Means are rounded to 12 places before they are compared, because sums of doubles
+    depend on their order.
     """
-    joined = dist.join(sides, ["cluster", "lm_ord"])
-    means = joined.groupBy("seq_id", "cluster").agg(
-        F.round(F.avg(F.when(F.col("side") == 0, F.col("d"))), 12).alias("left"),
-        F.round(F.avg(F.when(F.col("side") == 1, F.col("d"))), 12).alias("right"),
-    )
-    side = F.when(F.col("left") <= F.col("right"), 0).otherwise(1)
-    return means.select("seq_id", "cluster", side.alias("side"))
+    listed = sides.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("lm_ord", "side"))).alias("sides"))
+    listed = listed.select("cluster", F.transform("sides", lambda s: s["side"]).alias("sides"))
+    joined = measured.join(small(listed, listed.count(), 256), "cluster")
+    return joined.select("seq_id", "cluster", side_of(F.col("ds.d"), F.col("sides")).alias("side"))
 
 
 def side_of(dists, sides):
-    """``assign_side`` for distances and sides held as two arrays of a row: no shuffle."""
+    """The side of a row's distances, given the sides of the landmarks in the same order."""
 
     def mean(side: int):
         pairs = F.zip_with(dists, sides, lambda d, s: F.when(s == side, d))

@@ -237,24 +237,24 @@ def attach_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return splits.attach_cluster(seqs.select("seq_id", "abundance"), labels)
 
 
-def _root_distances(spark: SparkSession, sf: str) -> DataFrame:
+def _root(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     members = materialise(X.members_fixed(spark, sf), "members")
-    root = members.withColumn("cluster", F.lit(1).cast("bigint"))
-    return kmers.landmark_distances(root, X.top_landmarks(members))
+    # the root is the ancestor four levels up
+    return members.withColumn("cluster", F.shiftright("cluster", 4)), X.top_landmarks(members)
 
 
 @query
 def kmer_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return _root_distances(spark, sf).withColumn("d", F.round("d", 9))
+    return kmers.landmark_distances(*_root(spark, sf)).withColumn("d", F.round("d", 9))
 
 
 @query
 def assign_side(spark: SparkSession, sf: str) -> DataFrame:
-    dist = _root_distances(spark, sf)
+    measured = kmers.measured(*_root(spark, sf))
     sides = spark.range(FAMILIES).select(
         F.lit(1).cast("bigint").alias("cluster"), F.col("id").cast("int").alias("lm_ord"), (F.col("id") % 2).alias("side")
     )
-    return splits.assign_side(dist, F.broadcast(sides))
+    return splits.assign_side(measured, sides)
 
 
 def _family(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -264,14 +264,13 @@ def _family(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def min_distance(spark: SparkSession, sf: str) -> DataFrame:
-    nearest = landmarks.min_distance(kmers.landmark_distances(*_family(spark, sf)))
-    return nearest.withColumn("d_min", F.round("d_min", 9))
+    nearest = landmarks.min_distance(kmers.measured(*_family(spark, sf)))
+    return nearest.select("seq_id", "cluster", F.round("d_min", 9).alias("d_min"))
 
 
 def _bucketed(spark: SparkSession, sf: str) -> DataFrame:
-    members, lms = _family(spark, sf)
-    dist = landmarks.min_distance(kmers.landmark_distances(members, lms)).select("seq_id", F.col("d_min").alias("d"))
-    return members.select("seq_id", "cluster", "bucket").join(dist, "seq_id")
+    nearest = landmarks.min_distance(kmers.measured(*_family(spark, sf)))
+    return nearest.select("seq_id", "cluster", "bucket", F.col("d_min").alias("d"))
 
 
 @query

@@ -117,8 +117,9 @@ def test_row_form_of_the_side_equals_the_joined_form(spark):
     wide = spark.createDataFrame(rows, "seq_id string, dists array<double>")
     sides = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, 0)], "cluster bigint, lm_ord int, side int")
     row_form = wide.select("seq_id", splits.side_of(F.col("dists"), F.array(F.lit(0), F.lit(1), F.lit(0))).alias("side"))
-    long = wide.select("seq_id", F.lit(1).cast("bigint").alias("cluster"), F.posexplode("dists").alias("lm_ord", "d"))
-    joined = splits.assign_side(long, sides).select("seq_id", "side")
+    pairs = F.transform("dists", lambda d, i: F.struct(i.alias("lm_ord"), d.alias("d")))
+    measured = wide.select("seq_id", F.lit(1).cast("bigint").alias("cluster"), pairs.alias("ds"))
+    joined = splits.assign_side(measured, sides).select("seq_id", "side")
     assert sorted(map(tuple, row_form.collect())) == sorted(map(tuple, joined.collect())) == [("a", 0), ("b", 1), ("c", 0)]
 
 
