@@ -71,6 +71,57 @@ def _sweep(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.n
     return out
 
 
+def _first_best(*states):
+    """``_best`` for states of two planes, score and counts: the first one of the largest score."""
+    score, counts = states[0]
+    for other, other_counts in states[1:]:
+        better = other > score
+        score, counts = np.where(better, other, score), np.where(better, other_counts, counts)
+    return score, counts
+
+
+def _sweep_long(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """``_sweep`` for reads of any length: scores and counts (misses << 32 | matches) on two planes."""
+    rows, cols, pairs = a.shape[0], b.shape[0], a.shape[1]
+    flipped, out, ends = b[::-1], np.empty(pairs), la + lb
+    one_miss = np.int64(1) << 32
+
+    def empty():
+        return np.full((rows + 1, pairs), np.int64(-(1 << 60))), np.zeros((rows + 1, pairs), np.int64)
+
+    def plus(state, at, score, counts=one_miss):
+        return state[0][at] + score, state[1][at] + counts
+
+    diagonal, before = [empty() for _ in range(3)], [empty() for _ in range(3)]
+    for score, _ in diagonal:
+        score[0] = 0
+    for d in range(1, rows + cols + 1):
+        fresh = [empty() for _ in range(3)]
+        low, high = max(1, d - cols), min(rows, d - 1)
+        if low <= high:
+            here, up = slice(low, high + 1), slice(low - 1, high)
+            same = a[up] == flipped[cols - d + low : cols - d + high + 1]
+            score, counts = _first_best(*(plus(s, up, 0, 0) for s in before))
+            found = [(score + np.where(same, MATCH, MISMATCH), counts + np.where(same, 1, one_miss))]
+            both, skip_a, skip_b = diagonal
+            longer, opened = -EXTEND, -OPEN - EXTEND
+            found.append(_first_best(plus(both, here, opened), plus(skip_a, here, longer), plus(skip_b, here, opened)))
+            found.append(_first_best(plus(both, up, opened), plus(skip_a, up, opened), plus(skip_b, up, longer)))
+            for state, (score, counts) in zip(fresh, found):
+                state[0][here], state[1][here] = score, counts
+        for state, at in ((fresh[1], 0 if d <= cols else None), (fresh[2], d if d <= rows else None)):
+            if at is not None:
+                state[0][at], state[1][at] = -OPEN - d * EXTEND, d * one_miss
+        before, diagonal = diagonal, fresh
+        done = np.flatnonzero(ends == d)
+        if len(done):
+            both, skip_a, skip_b = ((score[la[done], done], counts[la[done], done]) for score, counts in diagonal)
+            counts = _first_best(skip_a, skip_b, both)[1]
+            missed, matched = counts >> 32, counts & ((1 << 32) - 1)
+            out[done] = missed / (missed + matched)
+    return out
+
+
 def _letters(reads: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Reads as a (position, pair) array of code points, padded, with their lengths."""
     lengths = np.array([len(read) for read in reads])
@@ -88,8 +139,6 @@ def align_batch(left: list[str], right: list[str]) -> np.ndarray:
     if len(left) == 0:
         return out
     sizes = np.array([max(len(x), len(y)) for x, y in zip(left, right)])
-    if sizes.max() > _LIMIT:
-        raise ValueError(f"reads longer than {_LIMIT} bases cannot be aligned")
     order = np.argsort(sizes, kind="stable")
     start = 0
     while start < len(order):
@@ -106,7 +155,9 @@ def align_batch(left: list[str], right: list[str]) -> np.ndarray:
             out[chunk[near]] = differ[near] / np.maximum(la[near], 1)
         far = ~near
         if far.any():
-            out[chunk[far]] = _sweep(a[:, far], b[:, far], la[far], lb[far])
+            # an alignment has at most both lengths of misses
+            sweep = _sweep if int((la + lb)[far].max()) <= _LIMIT else _sweep_long
+            out[chunk[far]] = sweep(a[:, far], b[:, far], la[far], lb[far])
         start = stop
     return out
 

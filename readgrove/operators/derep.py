@@ -24,7 +24,7 @@ def dereplicate(reads: DataFrame) -> DataFrame:
 
 
 def header_sets(reads: DataFrame, derep: DataFrame, max_headers: int = MAX_HEADERS) -> DataFrame:
-    """``seq_id, read, part, headers``: the sorted distinct headers of every unique read.
+    """``seq_id, read, part, parts, headers``: the sorted distinct headers of every unique read.
 
     A read with more than ``max_headers`` headers gets several rows, its headers shared out by
     hash, so that neither a task nor a row holds an unbounded set. All other reads have one row,
@@ -37,14 +37,15 @@ def header_sets(reads: DataFrame, derep: DataFrame, max_headers: int = MAX_HEADE
     n_hot = hot.count()
     upper = reads.select(F.upper("read").alias("read"), "header")
     keyed = upper.withColumn("seq_id", seq_id(F.col("read")))
-    part = F.lit(0)
+    part, parts = F.lit(0), F.lit(1)
     if n_hot:
         keyed = keyed.join(small(hot, n_hot, HOT_ROW_BYTES), "seq_id", "left")
-        part = F.coalesce(F.pmod(F.xxhash64("header"), F.col("n_parts")), F.lit(0)).cast("int")
-    grouped = keyed.groupBy("read", part.alias("part")).agg(
+        parts = F.coalesce("n_parts", F.lit(1))
+        part = F.pmod(F.xxhash64("header"), parts).cast("int")
+    grouped = keyed.groupBy("read", part.alias("part"), parts.alias("parts")).agg(
         F.sort_array(F.collect_set("header")).alias("headers")
     )
-    return grouped.select(seq_id(F.col("read")).alias("seq_id"), "read", "part", "headers")
+    return grouped.select(seq_id(F.col("read")).alias("seq_id"), "read", "part", "parts", "headers")
 
 
 def abundant(derep: DataFrame, n: int = 2) -> DataFrame:

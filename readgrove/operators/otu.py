@@ -30,7 +30,11 @@ def _wide(counts: DataFrame, row: str, column: str, columns: list[str] | None) -
 
 
 def otu_pivot(counts: DataFrame, centroids: list[str] | None = None) -> DataFrame:
-    """Partial table: a row per sample, a column per centroid, 0 where there is no read."""
+    """Partial table: a row per sample, a column per centroid, 0 where there is no read.
+
+    For the few centroids of one cluster; name them where they are known, which saves a pass.
+    ``tables.write_counts`` writes the wide text of any number of columns from the counts.
+    """
     return _wide(counts, "sample", "centroid", centroids)
 
 

@@ -16,7 +16,6 @@ from readgrove.functions.sequence import seq_id
 from readgrove.session import attach, materialise, small
 
 FIRST_BATCH, LARGEST_BATCH = 32, 256
-MAX_PICKER_ROWS = 5_000_000
 
 
 def length_rank(reads: DataFrame) -> DataFrame:
@@ -139,20 +138,15 @@ def subcluster(
     assigned: DataFrame,
     identity: float = 0.97,
     picker: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
-    max_rows: int = MAX_PICKER_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Pick units in every cluster with the built-in greedy rule, or with ``picker``.
 
     A ``picker`` gets all reads ``cluster, header, read`` of one cluster, longest first, and
-    returns ``query, target, identity``, a centroid being its own target. It runs in one task per
-    cluster, so a cluster above ``max_rows`` is refused: divide further, or use the built-in rule.
+    returns ``query, target, identity``, a centroid being its own target. It needs a cluster whole
+    and so runs in one task per cluster; the built-in rule never does.
     """
     if picker is None:
         return greedy_centroids(assigned, identity)
-    largest = assigned.groupBy("cluster").count().agg(F.max("count")).first()[0] or 0
-    if largest > max_rows:
-        raise ValueError(f"a cluster of {largest} reads is too large for one task of a custom picker")
-
     def run(reads: pd.DataFrame) -> pd.DataFrame:
         ordered = reads.assign(size=-reads["read"].str.len()).sort_values(["size", "header"]).drop(columns="size")
         picked = picker(ordered)

@@ -24,7 +24,8 @@ from readgrove.operators.landmarks import Extent, select_landmarks
 from readgrove.operators.splits import bisect, landmark_graph, medoid_radius, side_of
 from readgrove.session import attach, materialise
 
-MAX_DEPTH = 61
+#: Clusters from this number on stay leaves: their children's numbers would not fit a bigint.
+DEEPEST = 1 << 61
 
 RADIUS, SPLIT, SAME, ONE_SIDED, SMALL = "radius", "split", "inseparable", "one_sided", "small"
 
@@ -128,9 +129,13 @@ def split(members: DataFrame, active: DataFrame, extent: Extent, params: DivideP
 
 
 def _divisible(sizes: DataFrame, params: DivideParams) -> DataFrame:
-    """``cluster, size, m`` of the clusters above the minimum size that get two landmarks or more."""
+    """``cluster, size, m`` of the clusters above the minimum size that get two landmarks or more.
+
+    A cluster at level 61 stays a leaf, so a lopsided tree ends there instead of failing.
+    """
     quota = sizes.select("cluster", "size", landmark_count(F.col("size")).alias("m"))
-    return quota.where((F.col("size") > params.min_size) & (landmark_quota(F.col("size")) > 2))
+    wanted = (F.col("size") > params.min_size) & (landmark_quota(F.col("size")) > 2)
+    return quota.where(wanted & (F.col("cluster") < F.lit(DEEPEST)))
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -174,8 +179,6 @@ def _grow_all(start, root_size, n, longest, params):
     active = _divisible(root_size, params)
     extent = Extent.of(active, longest)
     while extent.clusters:
-        if len(rounds) >= MAX_DEPTH:
-            raise ValueError("cluster numbers deeper than 62 levels do not fit a bigint")
         rounds.append(split(rounds[-1].parts if rounds else start, active, extent, params))
         born.append(_children(rounds[-1].decisions))
         active = _divisible(born[-1], params)

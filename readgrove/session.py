@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,26 +10,33 @@ from pyspark.sql import functions as F
 #: Largest table, in bytes, that a join sends whole to every executor.
 BROADCAST_BYTES = 256 * 1024 * 1024
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+CHECKPOINT_DIR, WAREHOUSE_DIR = "spark.checkpoint.dir", "spark.sql.warehouse.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only on a local master."""
+    """The shared folder the cluster names for checkpoints, else one below the warehouse."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
         # set by SparkContext.setCheckpointDir; the trailing part is the context's own folder
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="readgrove-")
-        spark.sparkContext.setCheckpointDir(root)
+        root = f"{spark.conf.get(WAREHOUSE_DIR).rstrip('/')}/scratch"
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path nobody used before, below the shared scratch folder."""
-    return f"{scratch_root(spark)}/readgrove/{uuid.uuid4().hex}/{name}"
+    return f"{_own_scratch(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/readgrove/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that read them must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

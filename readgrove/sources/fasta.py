@@ -60,8 +60,17 @@ def write_fasta(df: DataFrame, path: str, name: str = "header", read: str = "rea
 
 
 def write_derep(header_sets: DataFrame, path: str) -> None:
-    """``>Set(h1, h2)`` and the read, for every unique read."""
-    _write(header_sets, format_header_set(F.col("headers")), F.col("read"), path)
+    """``>Set(h1, h2)`` and the read: one record per unique read, however many headers it has.
+
+    A record is one line and so one row; only reads whose headers came in several parts are
+    gathered again for it.
+    """
+    columns = ["read", "headers"]
+    cut = header_sets.where(F.col("parts") > 1).groupBy("seq_id", "read").agg(
+        F.sort_array(F.flatten(F.collect_list("headers"))).alias("headers")
+    )
+    whole = header_sets.where(F.col("parts") == 1).select(*columns).unionByName(cut.select(*columns))
+    _write(whole, format_header_set(F.col("headers")), F.col("read"), path)
 
 
 def cluster_name(cluster: Column) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from readgrove.session import materialise, number_rows
 
 
 def _read_tsv(spark: SparkSession, path: str | list[str], first: str, second: str) -> DataFrame:
@@ -26,15 +31,70 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep="\t", quote="")
 
 
+def _file_of(path):
+    """The table a file belongs to: its folder for Spark's part files, else the file itself."""
+    return F.regexp_replace(path, "/part-[^/]*$", "")
+
+
 def write_otu_table(wide: DataFrame, path: str) -> None:
-    """A wide count table with a header line in every part file."""
-    wide.write.csv(path, sep="\t", header=True)
+    """A wide count table: one header line, at the head of the first part file.
+
+    Its parts joined in name order are one plain table.
+    """
+    names = [F.lit(name) for name in wide.columns]
+    head = wide.sparkSession.range(1).select(F.lit(0).alias("place"), F.array_join(F.array(*names), "\t").alias("value"))
+    cells = [F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) for name in wide.columns]
+    rows = wide.select(F.lit(1).alias("place"), F.array_join(F.array(*cells), "\t").alias("value"))
+    _write_lines(head.unionByName(rows), path)
+
+
+def write_counts(counts: DataFrame, path: str, row: str, column: str) -> None:
+    """The long table ``row, column, n`` as the same wide text, for any number of columns.
+
+    Columns stand in ascending order, rows too; counts that are not there are 0. Only a line is held
+    at a time: the columns are numbered by a distributed sort, and a row's counts are put in
+    their places by number. The header is a line of its own and as long as the table is wide.
+    """
+    names = number_rows(counts.select(F.col(column).cast("string").alias("name")).distinct(), ["name"], "at")
+    names = materialise(names, "columns")
+    width = names.count()
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda c: c["name"])
+    head = names.agg(F.concat_ws("\t", F.lit(row), listed).alias("value"))
+    summed = counts.groupBy(F.col(row).cast("string").alias("row"), F.col(column).cast("string").alias("name")).agg(F.sum("n").alias("n"))
+    placed = summed.join(names, "name").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("ns"))
+    lines = placed.select(F.lit(1).alias("place"), _dense(width)("row", "ns.at", "ns.n").alias("value"))
+    _write_lines(head.select(F.lit(0).alias("place"), "value").unionByName(lines), path)
+
+
+def _dense(width: int):
+    """Column function: a row's name, the places of its counts and the counts -> its line."""
+
+    @F.arrow_udf(StringType())
+    def line(name: pa.Array, at: pa.Array, n: pa.Array) -> pa.Array:
+        lines = []
+        for row, places, counts in zip(name.to_pylist(), at, n):
+            cells = np.zeros(width, np.int64)
+            cells[places.values.to_numpy()] = counts.values.to_numpy()
+            lines.append("\t".join([row, *map(str, cells.tolist())]))
+        return pa.array(lines, pa.string())
+
+    return line
+
+
+def _write_lines(lines: DataFrame, path: str) -> None:
+    lines.orderBy("place", "value").select("value").write.text(path)
+
 
+def read_otu_table(spark: SparkSession, path: str | list[str], index: str, column: str, corner: str | None = None) -> DataFrame:
+    """Wide count tables as ``index, column, n`` rows, each table under its own header.
 
-def read_otu_table(spark: SparkSession, path: str | list[str], index: str, column: str) -> DataFrame:
-    """A wide count table as ``index, column, n`` rows; the first file column is the index."""
-    wide = spark.read.csv(path, sep="\t", header=True)
-    names = wide.columns
-    counts = [F.col(f"`{name}`").cast("double").cast("bigint").alias(name) for name in names[1:]]
-    typed = wide.select(F.col(f"`{names[0]}`").alias(index), *counts)
-    return typed.unpivot([index], [f"`{name}`" for name in names[1:]], column, "n")
+    A header is a line whose first cell is ``corner``, by default the ``index`` name; it may stand in
+    any part of its table, and again. Tables of many clusters with different columns can be read
+    together: a count is named by its place in the header of its own table.
+    """
+    lines = spark.read.text(path).select(_file_of(F.col("_metadata.file_path")).alias("table"), F.split("value", "\t").alias("cells"))
+    is_head = F.get("cells", F.lit(0)) == (index if corner is None else corner)
+    heads = lines.where(is_head).select("table", F.posexplode("cells").alias("at", column)).where("at > 0").distinct()
+    rows = lines.where(~is_head).select("table", F.get("cells", F.lit(0)).alias(index), F.posexplode("cells").alias("at", "cell"))
+    found = rows.where("at > 0").join(heads, ["table", "at"])
+    return found.select(index, column, F.col("cell").cast("double").cast("bigint").alias("n"))

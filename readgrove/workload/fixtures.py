@@ -24,25 +24,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _written_once(name: str):
-    """Derive an input of reads once per application, as a table."""
-
-    def wrap(derive):
-        def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-            key = (spark.sparkContext.applicationId, sf_dir, name)
-            if key not in _WRITTEN:
-                _WRITTEN[key] = materialise(derive(spark, sf_dir), name)
-            return _WRITTEN[key]
-
-        return reads
-
-    return wrap
-
-
-@_written_once("reads_syn")
 def reads_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fam, header, read``: a read of 128 bases per line item, one substitution from its family."""
     place = (F.col("l_suppkey") % 128).cast("int") + 1
@@ -66,7 +47,6 @@ def reads_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(F.broadcast(bases), "fam").select("fam", "header", read.alias("read"))
 
 
-@_written_once("reads_doc")
 def reads_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``header, read, source``: the base letters of every whole document, where there are enough."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readgrove.workload.queries import FEW_ITERATIONS, SAMPLES, TIGHT_RADIUS
+from readgrove.workload.queries import FAMILIES, ITERATIONS, SAMPLES, TIGHT_RADIUS
 
 K = 8
 STEPS = 14  # enough landmark steps for clusters of up to 2**15 reads
@@ -135,7 +135,7 @@ def _iterate(iterations: int) -> None:
         FROM q JOIN q z ON z.cluster = q.cluster AND z.v = 0""")
 
 
-_iterate(FEW_ITERATIONS)
+_iterate(ITERATIONS)
 
 
 def _picks() -> None:
@@ -194,6 +194,9 @@ def _digits(word: str) -> str:
 _WINDOWS = f"""SELECT seq_id, i - 1 AS pos, substr(read, i, {K}) AS word FROM (
     SELECT seq_id, read, unnest(range(1, length(read) - {K} + 2)) AS i FROM seqs_doc)"""
 
+_CLUSTER_SUMS = ", ".join(
+    f"CAST(sum(CASE WHEN cluster = {c} THEN n ELSE 0 END) AS BIGINT) AS c{c}" for c in range(FAMILIES, 2 * FAMILIES)
+)
 _SAMPLE_SUMS = ", ".join(f"CAST(sum(CASE WHEN sample = '{s}' THEN n ELSE 0 END) AS BIGINT) AS {s}" for s in SAMPLES)
 
 _NEAREST = """
@@ -352,9 +355,8 @@ ORACLES: dict[str, str] = {
     "otu_counts_with_centroid": _with(["assigned_syn"], """
         SELECT cluster, min(min(header)) OVER (PARTITION BY cluster) AS centroid, split_part(header, '_', 1) AS sample, count(*) AS n
         FROM assigned_syn GROUP BY cluster, split_part(header, '_', 1)"""),
-    "otu_pivot": _with(["counts_syn"], """
-        SELECT sample, coalesce(CAST(COLUMNS(* EXCLUDE (sample)) AS BIGINT), 0)
-        FROM (PIVOT (SELECT sample, centroid, n FROM counts_syn) ON centroid USING sum(n) GROUP BY sample)"""),
+    "otu_pivot": _with(["counts_syn"], f"SELECT sample, {_CLUSTER_SUMS} FROM counts_syn GROUP BY sample"),
+    "otu_table_merge": _with(["named_syn"], "SELECT otu_num, otu, sample, n FROM named_syn"),
     "otu_rename": _with(["named_syn"], "SELECT otu_num, otu, sample, n FROM named_syn"),
     "seeded_pick": _with(["members"], f"""
         SELECT seq_id, cluster, read FROM (

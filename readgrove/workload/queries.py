@@ -16,7 +16,7 @@ from readgrove.workload import fixtures as X
 
 K, FAMILIES, SAMPLES = X.K, X.FAMILIES, X.SAMPLES
 TIGHT_RADIUS = 0.0123
-FEW_ITERATIONS = 3
+ITERATIONS = 10
 QUERIES = {}
 
 
@@ -90,10 +90,27 @@ def centroid_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def otu_table_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "partial")
-    tables.write_otu_table(otu.otu_pivot(otu.otu_counts(X.members_syn(spark, sf))), path)
+    tables.write_counts(otu.otu_counts(X.members_syn(spark, sf)), path, "sample", "centroid")
     return tables.read_otu_table(spark, path, "sample", "centroid")
 
 
+def _partial_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """One written table per cluster, each with columns of its own, read back together."""
+    counts = materialise(otu.otu_counts(X.members_syn(spark, sf)), "counts")
+    paths = []
+    for cluster in range(FAMILIES, 2 * FAMILIES):
+        paths.append(scratch_path(spark, f"cluster_{cluster}"))
+        tables.write_counts(counts.where(F.col("cluster") == cluster), paths[-1], "sample", "centroid")
+    return tables.read_otu_table(spark, paths, "sample", "centroid")
+
+
+@query
+def otu_table_merge(spark: SparkSession, sf: str) -> DataFrame:
+    named = otu.number_otus(X.centroids_syn(spark, sf))
+    counts = _partial_tables(spark, sf).join(named.select("centroid", "cluster"), "centroid")
+    return otu.merge_otu_tables([counts], named).where("n > 0")
+
+
 # ---- sinks ---------------------------------------------------------------------------------
 
 
@@ -320,7 +337,7 @@ def radius_stop(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pic_bisect(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.bisect(_family_graph(spark, sf), FEW_ITERATIONS)
+    return splits.bisect(_family_graph(spark, sf), ITERATIONS)
 
 
 def _search(spark: SparkSession, sf: str, metric: str) -> DataFrame:
@@ -436,7 +453,8 @@ def otu_counts_with_centroid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def otu_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return otu.otu_pivot(otu.otu_counts(X.members_syn(spark, sf)))
+    by_cluster = otu.otu_counts(X.members_syn(spark, sf)).withColumn("centroid", F.concat(F.lit("c"), "cluster"))
+    return otu.otu_pivot(by_cluster, [f"c{c}" for c in range(FAMILIES, 2 * FAMILIES)])
 
 
 @query
@@ -485,7 +503,7 @@ def select_landmarks(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def split_once(spark: SparkSession, sf: str) -> DataFrame:
     members = materialise(X.members_fixed(spark, sf), "members")
-    params = DivideParams(radius=TIGHT_RADIUS, iterations=FEW_ITERATIONS)
+    params = DivideParams(radius=TIGHT_RADIUS, iterations=ITERATIONS)
     done = split(members, *_active(members), params)
     return done.decisions.withColumn("radius", F.round("radius", 9))
 

@@ -80,6 +80,23 @@ def test_wide_table_round_trip(spark, tmp_path):
     assert long == {("s.1", "c.1", 3), ("s.1", "c2", 0), ("s2", "c.1", 0), ("s2", "c2", 5)}
 
 
+def test_tables_of_other_columns_are_read_under_their_own_headers(spark, tmp_path):
+    for name, rows in {"a": [("s1", "c1", 3), ("s2", "c2", 4)], "b": [("s1", "c8", 7), ("s1", "c9", 8)]}.items():
+        counts = spark.createDataFrame(rows, "sample string, centroid string, n bigint")
+        tables.write_counts(counts, str(tmp_path / name), "sample", "centroid")
+    both = tables.read_otu_table(spark, [str(tmp_path / "a"), str(tmp_path / "b")], "sample", "centroid")
+    assert {tuple(r) for r in both.where("n > 0").collect()} == {("s1", "c1", 3), ("s2", "c2", 4), ("s1", "c8", 7), ("s1", "c9", 8)}
+    text = "".join(p.read_text() for p in sorted((tmp_path / "a").glob("part-*")))
+    assert text == "sample\tc1\tc2\ns1\t3\t0\ns2\t0\t4\n"
+
+
+def test_a_table_of_very_many_columns(spark, tmp_path):
+    counts = spark.range(20_000).selectExpr("concat('s', id % 3) sample", "concat('c', id) centroid", "id + 1 n")
+    tables.write_counts(counts, str(tmp_path / "t"), "sample", "centroid")
+    long = tables.read_otu_table(spark, str(tmp_path / "t"), "sample", "centroid").where("n > 0")
+    assert long.count() == 20_000 and long.join(counts, ["sample", "centroid", "n"]).count() == 20_000
+
+
 def reads_of(spark, rows):
     return spark.createDataFrame(rows, "header string, read string")
 
@@ -102,3 +119,11 @@ def test_hot_read_is_shared_out_whole(spark):
     assert sorted(h for r in hot for h in r["headers"]) == sorted({h for h, r in rows if r == "ACGT"})
     assert [(r["part"], r["headers"]) for r in sets if r["read"] == "GG"] == [(0, ["t_1", "t_2"])]
     assert len(header_sets(reads, dereplicate(reads)).collect()) == 2
+
+
+def test_a_read_of_many_headers_is_one_record(spark, tmp_path):
+    reads = reads_of(spark, [(f"s_{i}", "ACGT") for i in range(300)] + [("t_1", "GG")])
+    fasta.write_derep(header_sets(reads, dereplicate(reads), max_headers=50), str(tmp_path / "d"))
+    found = {r["read"]: r["header"] for r in fasta.parse_fasta(fasta.read_fasta(spark, str(tmp_path / "d"))).collect()}
+    names = ", ".join(sorted(f"s_{i}" for i in range(300)))
+    assert found == {"ACGT": f"Set({names})", "GG": "Set(t_1)"}
