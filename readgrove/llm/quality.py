@@ -239,7 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                         seen[k] += np.bincount(ids, minlength=len(seen[k]))
         for k in (0, 1):
             some = np.flatnonzero(seen[k])
-            yield pd.DataFrame({"kind": k, "row": some, "n": seen[k][some], "sums": list(sums[k][some])})
+            if len(some):
+                yield pd.DataFrame({"kind": k, "row": some, "n": seen[k][some], "sums": list(sums[k][some])})
 
     tables = [t.astype(np.float64) for t in index]
     counts = [np.zeros(len(t)) for t in index]
@@ -253,7 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def pooled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pooler = Pooler(vectors)
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "x": [pooler.pool(t) for t in frame["text"]]})
+            if len(frame):
+                yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "x": [pooler.pool(t) for t in frame["text"]]})
 
     id_type = sample.schema["id"].dataType.simpleString()
     rows = sample.mapInPandas(pooled, f"id {id_type}, y int, x array<double>").collect()
