@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType
 from readgrove.functions.sequence import BASES
 
 
-def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+def list_array(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
@@ -51,12 +51,12 @@ def token_profile(k: int):
         if occurrence.any():
             tokens |= occurrence << bits
             tokens = tokens[np.lexsort((tokens, row))]
-        return _lists(offsets, tokens)
+        return list_array(offsets, tokens)
 
     return profile
 
 
-def _overlaps(key: pa.Array, profile: pa.Array, targets_of) -> tuple[np.ndarray, np.ndarray]:
+def overlaps(key: pa.Array, profile: pa.Array, targets_of) -> tuple[np.ndarray, np.ndarray]:
     """Distances row by row, and how many of them each row has.
 
     ``targets_of(key, row)`` gives the token arrays that all rows of that key are compared with.
@@ -109,8 +109,8 @@ def overlap_distances(key: pa.Array, profile: pa.Array, others: pa.Array) -> pa.
     if len(key) == 0:
         return pa.array([], pa.list_(pa.float64()))
     targets = lambda _, row: [x.values.to_numpy() for x in others[row].values]
-    values, sizes = _overlaps(key, profile, targets)
-    return _lists(_offsets(sizes), values)
+    values, sizes = overlaps(key, profile, targets)
+    return list_array(_offsets(sizes), values)
 
 
 def distance_lookup(lists: DataFrame, key: str, profiles: str):
@@ -127,7 +127,7 @@ def distance_lookup(lists: DataFrame, key: str, profiles: str):
     def distances(keys: pa.Array, profile: pa.Array) -> pa.Array:
         if len(keys) == 0:
             return pa.array([], pa.list_(pa.float64()))
-        values, sizes = _overlaps(keys, profile, lambda k, _: shared.value.get(k, ()))
-        return _lists(_offsets(sizes), values)
+        values, sizes = overlaps(keys, profile, lambda k, _: shared.value.get(k, ()))
+        return list_array(_offsets(sizes), values)
 
     return distances

@@ -7,15 +7,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from readgrove.functions.alignment import align_batch, alignment_distance
-from readgrove.functions.profile import overlap_distances, token_profile
+from readgrove.functions.profile import list_array, overlap_distances, overlaps, token_profile
 from readgrove.functions.sequence import seq_id
-from readgrove.session import attach, materialise, small
+from readgrove.session import BROADCAST_BYTES, attach, materialise, small
 
-FIRST_BATCH, LARGEST_BATCH = 32, 256
+FIRST_BATCH, LARGEST_BATCH = 32, 1024
 
 
 def length_rank(reads: DataFrame) -> DataFrame:
@@ -24,24 +27,78 @@ def length_rank(reads: DataFrame) -> DataFrame:
     return reads.withColumn("rank", F.row_number().over(order))
 
 
-def _head_centroids(identity: float):
+def _possible(shared, length, windows, head_length, head_windows, identity: float, k: int):
+    """Whether two texts with that many k-mers in common can be as similar as ``identity``.
+
+    A miss column spoils at most ``k`` windows, so an alignment with ``e`` of them leaves at least
+    ``windows - k * e`` k-mers in common, and the identity allows at most
+    ``(1 - identity) / identity * shorter length`` misses.
+    """
+    misses = np.floor(np.minimum(length, head_length) * (1 - identity) / identity + 1e-9)
+    return shared >= np.maximum(windows, head_windows) - k * misses - 1e-6
+
+
+def _head_centroids(identity: float, k: int):
     """The centroids among the first reads of a cluster; all earlier reads are settled."""
 
     def pick(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("rank")
         text = batch["text"].to_numpy()
-        rows = np.arange(len(batch))
+        profiles = [np.asarray(p, np.int64) for p in batch["profile"]]
+        length, windows = np.array([len(t) for t in text]), np.array([len(p) for p in profiles])
+        tokens, owner = np.concatenate(profiles), np.repeat(np.arange(len(batch)), windows)
+        is_open = np.ones(len(batch), bool)
         chosen = []
-        while len(rows):
-            head, rows = rows[0], rows[1:]
+        for head in range(len(batch)):
+            if not is_open[head]:
+                continue
             chosen.append(head)
+            is_open[head] = False
+            same = np.zeros(len(tokens), bool)
+            if windows[head]:
+                slot = np.minimum(np.searchsorted(profiles[head], tokens), windows[head] - 1)
+                same = profiles[head][slot] == tokens
+            shared = np.bincount(owner[same], minlength=len(batch))
+            rows = np.flatnonzero(is_open & _possible(shared, length, windows, length[head], windows[head], identity, k))
             distance = align_batch(list(text[rows]), [text[head]] * len(rows))
-            rows = rows[np.round(1 - distance, 12) < identity]
+            is_open[rows[np.round(1 - distance, 12) >= identity]] = False
         return batch.iloc[chosen][["cluster", "uid", "header", "text", "profile", "rank"]]
 
     return pick
 
 
+def _near_lookup(heads: DataFrame, identity: float, k: int):
+    """Column function: (cluster, profile, length) -> ranks of the heads that are possible centroids.
+
+    The heads are sent to every executor once; the caller has counted them.
+    """
+    rows = heads.select("cluster", "rank", "profile", F.length("text").alias("length")).orderBy("cluster", "rank").toArrow()
+    found: dict[str, list[list]] = {}
+    for cluster, rank, profile, length in zip(*(rows.column(i) for i in range(4))):
+        columns = found.setdefault(cluster.as_py(), [[], [], [], []])
+        for column, value in zip(columns, (rank.as_py(), length.as_py(), len(profile), profile.values.to_numpy())):
+            column.append(value)
+    arrays = {c: (np.array(r), np.array(n), np.array(w), p) for c, (r, n, w, p) in found.items()}
+    shared_heads = heads.sparkSession.sparkContext.broadcast(arrays)
+    nothing = np.zeros(0, np.int64)
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def near(cluster: pa.Array, profile: pa.Array, length: pa.Array) -> pa.Array:
+        if len(cluster) == 0:
+            return pa.array([], pa.list_(pa.int32()))
+        by_cluster = [shared_heads.value.get(c, (nothing, nothing, nothing, ())) for c in cluster.to_pylist()]
+        distance, sizes = overlaps(cluster, profile, lambda c, _: shared_heads.value.get(c, ((), (), (), ()))[3])
+        rank, head_length, head_windows = (np.concatenate([h[i] for h in by_cluster]) for i in range(3))
+        mine = np.repeat(length.to_numpy(zero_copy_only=False), sizes)
+        windows = np.repeat(pc.list_value_length(profile).to_numpy(zero_copy_only=False), sizes)
+        shared = np.round((1 - distance) * np.minimum(windows, head_windows))
+        keep = _possible(shared, mine, windows, head_length, head_windows, identity, k)
+        kept = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+        return list_array(np.concatenate(([0], np.cumsum(kept))), rank[keep].astype(np.int32))
+
+    return near
+
+
 def greedy_centroids(assigned: DataFrame, identity: float = 0.97, k: int = 8) -> tuple[DataFrame, DataFrame]:
     """Greedy clustering of every cluster: ``members`` and ``centroids``.
 
@@ -69,33 +126,34 @@ def greedy_centroids(assigned: DataFrame, identity: float = 0.97, k: int = 8) ->
     batch_size, settled, left = FIRST_BATCH, [], n_units
     while left:
         # the rank limit is applied before the shuffle, so a hot cluster sends few rows
-        heads = open_units.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= batch_size)
+        first = open_units.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= batch_size)
         schema = "cluster string, uid string, header string, text string, profile array<bigint>, rank int"
-        new = materialise(heads.groupBy("cluster").applyInPandas(_head_centroids(identity), schema), "centroids")
-        entry = F.struct("rank", "uid", "header", "text", "profile")
-        lists = new.groupBy("cluster").agg(F.sort_array(F.collect_list(entry)).alias("heads"))
-        n_clusters, n_heads = lists.agg(F.count(F.lit(1)), F.max(F.size("heads"))).first()
-        owned = open_units.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-        row_bytes = 256 + n_heads * (9 * longest + 128)
-        beside = _near(attach(open_units, lists, ["cluster"], n_clusters, row_bytes, owned, left), identity, k)
-
-        pairs = beside.select("cluster", "uid", "text", F.explode("near").alias("head"))
-        aligned = pairs.withColumn("identity", F.round(1 - alignment_distance("text", "head.text"), 12))
-        match = F.struct(
-            F.col("head.rank").alias("rank"),
-            F.col("head.uid").alias("target_uid"),
-            F.col("head.header").alias("target"),
-            "identity",
-        )
-        best = F.min(F.when(F.col("identity") >= identity, match)).alias("best")
-        tried = materialise(aligned.groupBy("cluster", "uid").agg(best), "tried")
-        settled.append(tried.where(F.col("best").isNotNull()).select("cluster", "uid", "best.*"))
-
-        # still open: units near no new centroid, which needs no join, and the few that failed alignment
-        failed = tried.where(F.col("best").isNull()).select("cluster", "uid", F.lit(True).alias("failed"))
-        marked = beside.join(small(failed, failed.count(), 128), ["cluster", "uid"], "left")
-        still = marked.where((F.size("near") == 0) | F.col("failed"))
-        open_units = materialise(still.select("cluster", "uid", "text", "header", "profile"), "open")
+        heads = materialise(first.groupBy("cluster").applyInPandas(_head_centroids(identity, k), schema), "centroids")
+        n_heads, n_clusters = heads.agg(F.count(F.lit(1)), F.count_distinct("cluster")).first()
+        head_bytes = 9 * longest + 128
+        if n_heads * head_bytes <= BROADCAST_BYTES:
+            near = _near_lookup(heads, identity, k)("cluster", "profile", F.length("text"))
+            marked = open_units.select("cluster", "uid", near.alias("near"))
+        else:
+            owned = open_units.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+            entry = F.struct("rank", "text", "profile")
+            listed = heads.groupBy("cluster").agg(F.sort_array(F.collect_list(entry)).alias("heads"))
+            row_bytes = 256 + batch_size * head_bytes
+            beside = _near(attach(open_units, listed, ["cluster"], n_clusters, row_bytes, owned, left), identity, k)
+            marked = beside.select("cluster", "uid", "near")
+        marked = materialise(marked, "near")
+
+        pairs = marked.select("cluster", "uid", F.explode("near").alias("rank"))
+        texts = heads.select("cluster", "rank", F.col("uid").alias("target_uid"), F.col("header").alias("target"), F.col("text").alias("head"))
+        pairs = pairs.join(open_units.select("cluster", "uid", "text"), ["cluster", "uid"])
+        pairs = pairs.join(small(texts, n_heads, head_bytes), ["cluster", "rank"])
+        aligned = pairs.withColumn("identity", F.round(1 - alignment_distance("text", "head"), 12))
+        match = F.min(F.struct("rank", "target_uid", "target", "identity")).alias("best")
+        placed = aligned.where(F.col("identity") >= identity).groupBy("cluster", "uid").agg(match)
+        settled.append(materialise(placed.select("cluster", "uid", "best.*"), "settled"))
+
+        done = settled[-1].select("cluster", "uid")
+        open_units = materialise(open_units.join(small(done, done.count(), 128), ["cluster", "uid"], "left_anti"), "open")
         left = open_units.count()
         batch_size = min(2 * batch_size, LARGEST_BATCH)
 
@@ -115,12 +173,7 @@ def greedy_centroids(assigned: DataFrame, identity: float = 0.97, k: int = 8) ->
 
 
 def _near(beside: DataFrame, identity: float, k: int) -> DataFrame:
-    """Adds ``near``: the ``heads`` of the cluster whose k-mers allow the identity.
-
-    A miss column spoils at most ``k`` windows, so an alignment with ``e`` of them leaves at least
-    ``windows - k * e`` k-mers in common, and the identity allows at most
-    ``(1 - identity) / identity * shorter length`` misses. Heads below cannot qualify.
-    """
+    """``_near_lookup`` for heads that stand in the rows, as ``near``."""
     measured = beside.withColumn("d", overlap_distances("cluster", "profile", F.col("heads.profile")))
     text, windows = F.col("text"), F.size("profile")
 
@@ -128,10 +181,9 @@ def _near(beside: DataFrame, identity: float, k: int) -> DataFrame:
         misses = F.floor(F.least(F.length(text), F.length(head["text"])) * (1 - identity) / identity + 1e-9)
         shared = (1 - d) * F.least(windows, F.size(head["profile"]))
         possible = shared >= F.greatest(windows, F.size(head["profile"])) - k * misses - 1e-6
-        return F.when(possible, head.dropFields("profile"))
+        return F.when(possible, head["rank"])
 
-    near = F.filter(F.zip_with("heads", "d", judge), lambda head: head.isNotNull())
-    return measured.withColumn("near", near).drop("heads", "d")
+    return measured.withColumn("near", F.array_compact(F.zip_with("heads", "d", judge))).drop("heads", "d")
 
 
 def subcluster(

@@ -101,8 +101,10 @@ def assigned_rows():
     return rows
 
 
-def test_greedy_centroids_match_the_sequential_rule(spark, assigned_rows, monkeypatch):
+@pytest.mark.parametrize("room", [1 << 28, 1])
+def test_greedy_centroids_match_the_sequential_rule(spark, assigned_rows, monkeypatch, room):
     monkeypatch.setattr(picker, "FIRST_BATCH", 3)
+    monkeypatch.setattr(picker, "BROADCAST_BYTES", room)
     df = spark.createDataFrame(assigned_rows, "cluster string, header string, read string")
     members, centroids = picker.subcluster(df, 0.95)
     want_members, want_centroids = {}, set()
