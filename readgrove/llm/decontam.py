@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 Q = 10
 #: Characters of a passage, and between the starts of two passages of an item.
-WINDOW, STRIDE = 100, 25
+WINDOW, STRIDE = 100, 10
 #: Edits allowed in a passage, as a share of its characters.
 EDITS = 0.08
 #: Characters of benchmark items indexed at once; a larger benchmark is searched shard by shard.
