@@ -16,15 +16,20 @@ from pyspark.sql.types import ArrayType, IntegerType
 from readgrove.functions.alignment import align_batch, alignment_distance
 from readgrove.functions.profile import list_array, overlap_distances, overlaps, token_profile
 from readgrove.functions.sequence import seq_id
-from readgrove.session import BROADCAST_BYTES, attach, materialise, small
+from readgrove.session import BROADCAST_BYTES, attach, materialise, number_rows, small
 
 FIRST_BATCH, LARGEST_BATCH = 32, 1024
 
 
 def length_rank(reads: DataFrame) -> DataFrame:
-    """``rank`` of each read in its cluster: longest first, then by header."""
-    order = Window.partitionBy("cluster").orderBy(F.desc(F.length("read")), "header")
-    return reads.withColumn("rank", F.row_number().over(order))
+    """``rank`` of each read in its cluster: longest first, then by header.
+
+    Numbered over all clusters by one range-partitioned sort, so a cluster is in no single task.
+    """
+    numbered = number_rows(reads, ["cluster", F.desc(F.length("read")), "header"], "_number")
+    first = materialise(numbered.groupBy("cluster").agg(F.min("_number").alias("_first")), "first_numbers")
+    ranked = numbered.join(small(first, first.count(), 64), "cluster")
+    return ranked.withColumn("rank", (F.col("_number") - F.col("_first") + 1).cast("int")).drop("_number", "_first")
 
 
 def _possible(shared, length, windows, head_length, head_windows, identity: float, k: int):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readgrove.functions.sequence import landmark_count
 from readgrove.operators.derep import abundant, dereplicate, header_sets
 from readgrove.operators.kmers import profiles
-from readgrove.session import materialise
+from readgrove.session import materialise, small
 
 K = 8
 FAMILIES = 16
@@ -55,6 +55,18 @@ def reads_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(header.alias("header"), read.alias("read"), "source").where(F.length("read") >= K)
 
 
+def pairs_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pair, a, b``: irregular short reads of every customer, unrelated or one cut out of the other."""
+    key = F.col("c_custkey")
+    bases = lambda name: F.translate(F.md5(name), "0123456789abcdef", "ACGTACGTACGTACGT")
+    first = F.substr(bases(F.col("c_name")), F.lit(1), (key % 13 + 12).cast("int"))
+    other = F.substr(bases(F.concat(F.col("c_name"), F.lit("x"))), F.lit(1), (key % 11 + 12).cast("int"))
+    cut = (key % 5 + 3).cast("int")
+    mended = F.concat(F.substr(first, F.lit(1), cut), F.substr(first, cut + (key % 4).cast("int") + 1), F.substr(other, F.lit(1), (key % 3).cast("int")))
+    second = F.when(key % 2 == 0, other).otherwise(mended)
+    return spread(table(spark, sf_dir, "customer")).select(key.alias("pair"), first.alias("a"), second.alias("b"))
+
+
 def unique_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq_id, read, abundance, fam`` of every unique read of the families."""
     reads = reads_syn(spark, sf_dir)
@@ -78,11 +90,14 @@ def members_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def family_landmarks(members: DataFrame) -> DataFrame:
     """Per family its full number of landmarks: the reads with the smallest ``seq_id``."""
-    group = Window.partitionBy("cluster")
-    ranked = members.withColumn("lm_ord", F.row_number().over(group.orderBy("seq_id")) - 1).withColumn(
-        "m", landmark_count(F.count(F.lit(1)).over(group))
-    )
-    return ranked.where(F.col("lm_ord") < F.col("m")).select("cluster", "lm_ord", "seq_id", "read", "profile")
+    quotas = members.groupBy("cluster").agg(landmark_count(F.count(F.lit(1))).alias("m"))
+    quotas = materialise(quotas, "quotas")
+    n_clusters, most = quotas.agg(F.count(F.lit(1)), F.max("m")).first()
+    # the rank limit is applied before the shuffle, so a family sends few rows of each task
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("seq_id"))
+    ranked = members.withColumn("rank", rank).where(F.col("rank") <= (most or 0))
+    ranked = ranked.join(small(quotas, n_clusters, 64), "cluster").where(F.col("rank") <= F.col("m"))
+    return ranked.select("cluster", (F.col("rank") - 1).alias("lm_ord"), "seq_id", "read", "profile")
 
 
 def top_landmarks(members: DataFrame) -> DataFrame:
@@ -117,7 +132,7 @@ def members_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cluster, query, target, identity``: every header of a family under the smallest one."""
     heads = reads_syn(spark, sf_dir).select("fam", "header").distinct()
     first = heads.groupBy("fam").agg(F.min("header").alias("target"))
-    rows = heads.join(first, "fam").where(F.col("header") != F.col("target"))
+    rows = heads.join(small(first, FAMILIES, 64), "fam").where(F.col("header") != F.col("target"))
     return rows.select(
         (F.col("fam") + FAMILIES).alias("cluster"), F.col("header").alias("query"), "target", F.lit(0.99).alias("identity")
     )

@@ -242,6 +242,59 @@ def _split_once() -> str:
     return _with(needs, body, {"edges": _SPLIT_EDGES})
 
 
+def _best(*states: str) -> tuple[str, str]:
+    """Score and counts of the first state that has the largest score."""
+    score = f"greatest({', '.join(s for s, _ in states)})"
+    cases = " ".join(f"WHEN {s} = {score} THEN {c}" for s, c in states)
+    return score, f"CASE {cases} END"
+
+
+def _sweep_sql() -> str:
+    """Global affine alignment, three states a cell, one anti-diagonal a recursion.
+
+    A cell's columns are scores ``s`` and counts ``c`` (misses * 1000 + matches) of the states m (letters
+    paired), a and b (a letter of one read alone), on this diagonal (1) and the one before (0);
+    the cell before in the read has them under ``y``. Equal scores: the order of the arguments.
+    """
+    never = "-1000000"
+    state = lambda name, diagonal, gain=0, misses=1000, y="": (f"{y}{name}s{diagonal} + ({gain})", f"{y}{name}c{diagonal} + {misses}")
+    longer, opened = -1, -11
+    match = _best(*(state(n, 0, 0, 0, "y") for n in "mab"))
+    same = "substr(a, i, 1) = substr(b, d + 1 - i, 1)"
+    skip_a = _best(state("m", 1, opened), state("a", 1, longer), state("b", 1, opened))
+    skip_b = _best(state("m", 1, opened, y="y"), state("a", 1, opened, y="y"), state("b", 1, longer, y="y"))
+    inside = "i >= 1 AND i <= d AND d + 1 - i <= lb"
+    edge, edge_count = "-10 - (d + 1)", "(d + 1) * 1000"
+    names = [f"{n}{k}" for n in "mab" for k in "sc"]
+    last = _best(*((f"{n}s1", f"{n}c1") for n in "abm"))
+    start = ", ".join(f"CASE WHEN i = 0 THEN 0 ELSE {never} END AS {n}s1, 0 AS {n}c1, {never} AS {n}s0, 0 AS {n}c0" for n in "mab")
+    lags = ", ".join(f"lag({n}{k}) OVER w AS y{n}{k}" for n in names for k in "01")
+    return f"""
+WITH RECURSIVE pairs AS (
+    SELECT pair, a, CASE WHEN pair % 2 = 0 THEN other
+                    ELSE concat(substr(a, 1, cut), substr(a, cut + CAST(pair % 4 AS INT) + 1), substr(other, 1, CAST(pair % 3 AS INT))) END AS b
+    FROM (SELECT c_custkey AS pair, CAST(c_custkey % 5 + 3 AS INT) AS cut,
+                 substr(translate(md5(c_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, CAST(c_custkey % 13 + 12 AS INT)) AS a,
+                 substr(translate(md5(concat(c_name, 'x')), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, CAST(c_custkey % 11 + 12 AS INT)) AS other
+          FROM customer)
+), sweep AS (
+    SELECT pair, a, b, length(a) AS la, length(b) AS lb, 0 AS d, i, {start}
+    FROM (SELECT pair, a, b, unnest(range(0, length(a) + 1)) AS i FROM pairs)
+    UNION ALL
+    SELECT pair, a, b, la, lb, d + 1, i,
+           CASE WHEN {inside} THEN {match[0]} + CASE WHEN {same} THEN 5 ELSE -4 END ELSE {never} END,
+           CASE WHEN {inside} THEN {match[1]} + CASE WHEN {same} THEN 1 ELSE 1000 END ELSE 0 END, ms1, mc1,
+           CASE WHEN {inside} THEN {skip_a[0]} WHEN i = 0 AND d < lb THEN {edge} ELSE {never} END,
+           CASE WHEN {inside} THEN {skip_a[1]} WHEN i = 0 AND d < lb THEN {edge_count} ELSE 0 END, as1, ac1,
+           CASE WHEN {inside} THEN {skip_b[0]} WHEN i = d + 1 THEN {edge} ELSE {never} END,
+           CASE WHEN {inside} THEN {skip_b[1]} WHEN i = d + 1 THEN {edge_count} ELSE 0 END, bs1, bc1
+    FROM (SELECT *, {lags} FROM sweep WHERE d < la + lb WINDOW w AS (PARTITION BY pair ORDER BY i))
+)
+SELECT pair, round((n // 1000) / (n // 1000 + n % 1000), 9) AS d
+FROM (SELECT pair, {last[1]} AS n FROM sweep WHERE d = la + lb AND i = la)
+"""
+
+
 ORACLES: dict[str, str] = {
     "fasta_scan": _with(["reads_syn"], "SELECT concat(header, chr(10), read, chr(10)) AS value FROM reads_syn"),
     "fasta_parse": _with(["reads_doc"], "SELECT header, read FROM reads_doc"),
@@ -289,6 +342,15 @@ ORACLES: dict[str, str] = {
         SELECT header, split_part(header, '_', 1) AS sample
         FROM (SELECT header FROM reads_doc UNION ALL SELECT header FROM reads_syn)"""),
     "cluster_filter": _with(["members"], "SELECT seq_id, cluster FROM members WHERE cluster = 16"),
+    "alignment_sweep": _sweep_sql(),
+    "divide_unlimited": _with(["seqs_syn"], """
+        SELECT count(*) AS labels, count(DISTINCT seq_id) AS reads, count(*)::BIGINT AS in_leaves,
+               0::BIGINT AS outside_leaves, 0::BIGINT AS nested FROM seqs_syn"""),
+    "short_reads": f"SELECT count(*) AS n_short FROM documents WHERE length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) < {K}",
+    "subcluster_picker": _with(["assigned_syn"], """
+        SELECT CAST(cluster AS VARCHAR) AS cluster, header AS query, target, 1.0::DOUBLE AS identity
+        FROM (SELECT *, first_value(header) OVER (PARTITION BY cluster ORDER BY length(read) DESC, header) AS target FROM assigned_syn)
+        WHERE header <> target"""),
     "landmark_quota": """
         SELECT size, q AS quota, greatest(q - 1, 1) AS m FROM (
           SELECT size, CASE WHEN size < 2 THEN 0 ELSE CAST(ceil(log2(size)) AS INT) END AS q

@@ -10,7 +10,7 @@ from readgrove.functions.alignment import alignment_distance
 from readgrove.operators import assign, derep, kmers, landmarks, otu, picker, search, splits
 from readgrove.plans.divide import DivideParams, divide, split
 from readgrove.plans.otu_run import build_otus
-from readgrove.session import materialise, scratch_path
+from readgrove.session import materialise, scratch_path, small
 from readgrove.sources import fasta, tables
 from readgrove.workload import fixtures as X
 
@@ -304,12 +304,18 @@ def median_of_medians(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def alignment_distances(spark: SparkSession, sf: str) -> DataFrame:
     members, lms = _family(spark, sf)
-    pairs = members.select("seq_id", "cluster", "read").join(
-        F.broadcast(lms.select("cluster", "lm_ord", F.col("read").alias("landmark"))), "cluster"
-    )
+    n_landmarks, longest = lms.agg(F.count(F.lit(1)), F.max(F.length("read"))).first()
+    texts = lms.select("cluster", "lm_ord", F.col("read").alias("landmark"))
+    pairs = members.select("seq_id", "cluster", "read").join(small(texts, n_landmarks, 64 + (longest or 0)), "cluster")
     return pairs.select("seq_id", "lm_ord", F.round(alignment_distance("read", "landmark"), 9).alias("d"))
 
 
+@query
+def alignment_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = X.pairs_syn(spark, sf)
+    return pairs.select("pair", F.round(alignment_distance("a", "b"), 9).alias("d"))
+
+
 def _family_graph(spark: SparkSession, sf: str) -> DataFrame:
     return splits.landmark_graph(_family(spark, sf)[1])
 
@@ -508,8 +514,8 @@ def split_once(spark: SparkSession, sf: str) -> DataFrame:
     return done.decisions.withColumn("radius", F.round("radius", 9))
 
 
-def _division(spark: SparkSession, sf: str):
-    return divide(X.seqs_syn(spark, sf), DivideParams(num_leaves=4))
+def _division(spark: SparkSession, sf: str, num_leaves: int = 8):
+    return divide(X.seqs_syn(spark, sf), DivideParams(num_leaves=num_leaves))
 
 
 @query
@@ -517,6 +523,40 @@ def divide_reads(spark: SparkSession, sf: str) -> DataFrame:
     return _division(spark, sf).labels.select("seq_id", "cluster")
 
 
+@query
+def divide_unlimited(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds for any division, of one without a leaf target: one row of counts."""
+    done = divide(X.seqs_syn(spark, sf), DivideParams(num_leaves=0, radius=TIGHT_RADIUS))
+    leaves = done.tree.where("is_leaf").select("cluster", "size")
+    inner = splits.cluster_tree(leaves).join(leaves.select("cluster"), "cluster", "left_anti").select("cluster")
+    sizes = leaves.agg(F.sum("size").alias("in_leaves"))
+    labels = done.labels.agg(F.count(F.lit(1)).alias("labels"), F.count_distinct("seq_id").alias("reads"))
+    # labels under a cluster that is split further, or that is no leaf
+    wrong = done.labels.join(leaves, "cluster", "left_anti").agg(F.count(F.lit(1)).alias("outside_leaves"))
+    nested = inner.join(done.labels, "cluster", "left_semi").agg(F.count(F.lit(1)).alias("nested"))
+    tables = [t.withColumn("one", F.lit(1)) for t in (labels, sizes, wrong, nested)]
+    joined = tables[0]
+    for t in tables[1:]:
+        joined = joined.join(t, "one")
+    return joined.drop("one")
+
+
+@query
+def short_reads(spark: SparkSession, sf: str) -> DataFrame:
+    letters = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
+    return kmers.short_reads(X.table(spark, sf, "documents").select(letters.alias("read")), K)
+
+
+@query
+def subcluster_picker(spark: SparkSession, sf: str) -> DataFrame:
+    """Units by a picker of one's own: the first read of a cluster takes all others."""
+
+    def first_takes_all(reads):
+        return reads[["header"]].rename(columns={"header": "query"}).assign(target=reads["header"].iloc[0], identity=1.0)
+
+    return picker.subcluster(X.assigned_syn(spark, sf), picker=first_takes_all)[0]
+
+
 @query
 def leaf_landmarks(spark: SparkSession, sf: str) -> DataFrame:
     return _division(spark, sf).leaf_landmarks
@@ -531,7 +571,7 @@ def subcluster(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def otu_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     reads = X.reads_syn(spark, sf).select("header", "read")
-    return build_otus(reads, DivideParams(num_leaves=2)).counts
+    return build_otus(reads, DivideParams(num_leaves=8)).counts
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,7 +21,11 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+#: Minutes long even on the smallest tables; run ``check_oracles.py`` for it.
+SLOW = {"divide_unlimited"}
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
 def test_query_equals_its_sql(spark, con, name):
     frame = QUERIES[name](spark, str(TABLES))
     assert compare(frame.toPandas(), con.execute(ORACLES[name]).df()) == "ok"
