@@ -9,6 +9,7 @@ lane has passed the radius are abandoned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 from itertools import combinations
 
@@ -100,16 +101,24 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> list[int]
     return [int(x) for x in packed.view("<u8")[:, 0]]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
-    """``doc, fps``: per row its id and an array of fingerprints as signed longs. Null text: empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, wide_shingle: int = 0, wide: int = 0) -> DataFrame:
+    """``doc, fps, wide``: per row its id and arrays of fingerprints as signed longs. Null text: empty.
+
+    ``fps`` has ``words`` fingerprints of ``shingle`` words, ``wide`` as many as asked for of
+    ``wide_shingle`` words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [[_signed(x) for x in fingerprint(text.as_py(), shingle, words)] for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc", "fps"])
+            fps, checks = [], []
+            for text in batch.column(1):
+                fps.append([_signed(x) for x in fingerprint(text.as_py(), shingle, words)])
+                checks.append([_signed(x) for x in fingerprint(text.as_py(), wide_shingle, wide)] if wide else [])
+            arrays = [pa.array(x, pa.list_(pa.int64())) for x in (fps, checks)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc", "fps", "wide"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc long, fps array<long>")
+    return rows.mapInArrow(run, "doc long, fps array<long>, wide array<long>")
 
 
 # ---- bit-sliced comparison
@@ -155,85 +164,119 @@ def _close(planes: np.ndarray, block: np.ndarray, query: np.ndarray, shut: np.nd
     return item, ~over
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """At most one link per id that connects what the links (a, b) connect."""
-    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(ids))
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels after joining the rows x and y; a label is the smallest row of its component."""
     while True:
-        low = np.minimum(label[x], label[y])
         new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
+        low = np.minimum(label[x], label[y])
+        for rows in (x, y, label[x], label[y]):
+            np.minimum.at(new, rows, low)
         new = new[new]
         if np.array_equal(new, label):
-            break
+            return label
         label = new
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most one link per id that connects what the links (a, b) connect."""
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = _joined(np.arange(len(ids)), flat[: len(a)], flat[len(a) :])
     moved = label != np.arange(len(ids))
     return ids[moved], ids[label[moved]]
 
 
-def _items(starts: np.ndarray, ends: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of 64 lanes of the buckets, and the (query row, block) items to compare.
-
-    A bucket with rows on one side is compared with itself, each row with the blocks from its own
-    on; else rows of side 0 with the blocks of side 1. Returns first lane and end of each block.
+@dataclass
+class _Rows:
+    """Rows of whole buckets: fingerprints, what else a pair must agree in, and the largest distances."""
+
+    fp: np.ndarray
+    wide: list[np.ndarray]
+    radius: int
+    limit: int
+
+    def pairs(self, first: np.ndarray, end: np.ndarray, planes: np.ndarray, query: np.ndarray, block: np.ndarray, order: list[int], label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the close pairs among (query row, block) items; a block is the rows first..end.
+
+        Pairs that ``label`` says are joined already are not asked for.
+        """
+        # not asked for: lanes past the end, and those up to the query itself in its own block
+        shut = ~_low(end[block] - first[block]) | _low(np.clip(query - first[block] + 1, 0, 64))
+        if label is not None:
+            lanes = np.minimum(first[block][:, None] + np.arange(64), end[block][:, None] - 1)
+            same = np.packbits(label[lanes] == label[query][:, None], axis=1, bitorder="little")
+            shut |= np.ascontiguousarray(same).view("<u8")[:, 0]
+        item, hit = _close(planes, block, self.fp[query], shut, order, self.radius)
+        some = hit != 0
+        item, hit = item[some], hit[some]
+        bits = np.unpackbits(hit.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        row, lane = np.nonzero(bits)
+        a, b = query[item[row]], first[block[item[row]]] + lane
+        if self.wide and len(a):
+            far = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in self.wide)
+            a, b = a[far <= self.limit], b[far <= self.limit]
+        return a, b
+
+
+def _blocks(fp: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return _planes(fp, np.minimum(first[:, None] + np.arange(64), end[:, None] - 1))
+
+
+def _small_buckets(rows: _Rows, starts: np.ndarray, ends: np.ndarray, order: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of many buckets of one block each, every row with the rows after it."""
+    n = ends - starts
+    planes = _blocks(rows.fp, starts, ends)
+    query = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    block = np.repeat(np.arange(len(starts)), n)
+    for at in range(0, len(query), 1 << 15):
+        piece = slice(at, at + (1 << 15))
+        yield rows.pairs(starts, ends, planes, query[piece], block[piece], order)
+
+
+def _large_bucket(rows: _Rows, start: int, cut: int, end: int, order: list[int]) -> np.ndarray:
+    """Labels of the rows start..end of one bucket, the smallest row of what each is joined with.
+
+    Rows up to ``cut`` are compared with those after it, or with one another if none are. A few rows
+    first: what they join is not compared again, so a group of many copies costs little more
+    than its rows.
     """
-    first, end, query, block = [], [], [], []
-    n_blocks = 0
-    one = ends - starts <= 64
-    one &= np.add.reduceat(side, starts) == 0 if len(starts) else one
-    if one.any():
-        s, e = starts[one], ends[one]
-        first.append(s)
-        end.append(e)
-        n = e - s
-        query.append(np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        block.append(np.repeat(np.arange(len(s)), n))
-        n_blocks = len(s)
-    for s, e in zip(starts[~one], ends[~one], strict=True):
-        cut = e - int(side[s:e].sum())
-        low, high = (s, e) if cut == e else (cut, e)
-        heads = np.arange(low, high, 64)
-        first.append(heads)
-        end.append(np.minimum(heads + 64, high))
-        rows = np.arange(s, cut)
-        begin = (rows - s) // 64 if cut == e else np.zeros(len(rows), np.int64)
-        n = len(heads) - begin
-        query.append(np.repeat(rows, n))
-        block.append(n_blocks + np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        n_blocks += len(heads)
-    flat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return np.stack([flat(first), flat(end)]), flat(query), flat(block)
-
-
-def _compare(bucket: np.ndarray, table: np.ndarray, side: np.ndarray, fp: np.ndarray, ids: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    low, high = (start, end) if cut == end else (cut, end)
+    first = np.arange(low, high, 64)
+    last = np.minimum(first + 64, high)
+    planes = _blocks(rows.fp, first, last)
+    label = np.arange(end)
+    at, size = start, 1
+    while at < cut:
+        query = np.arange(at, min(cut, at + size))
+        begin = (query - low) // 64 if cut == end else np.zeros(len(query), np.int64)
+        n = len(first) - begin
+        block = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        query = np.repeat(query, n)
+        for piece in range(0, len(query), 1 << 14):
+            part = slice(piece, piece + (1 << 14))
+            label = _joined(label, *rows.pairs(first, last, planes, query[part], block[part], order, label))
+        at, size = at + size, min(4 * size, 1024)
+    return label
+
+
+def _compare(bucket: np.ndarray, table: np.ndarray, side: np.ndarray, ids: np.ndarray, rows: _Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Spanning links of whole buckets; rows are sorted by table, bucket and side."""
     edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     ends = np.append(edge[1:], len(bucket))
+    sided = np.add.reduceat(side, edge)
     several = ends - edge > 1
-    edge, ends = edge[several], ends[several]
+    edge, ends, sided = edge[several], ends[several], sided[several]
+    small = (ends - edge <= 64) & (sided == 0)
     for t in np.unique(table[edge]):
-        of = table[edge] == t
         order = [p for p in range(64) if not MASKS[int(t) % len(MASKS)] >> p & 1]
-        spans, query, block = _items(edge[of], ends[of], side)
-        lanes = np.minimum(spans[0][:, None] + np.arange(64), spans[1][:, None] - 1)
-        planes = _planes(fp, lanes)
-        size = spans[1] - spans[0]
-        for at in range(0, len(query), 1 << 15):
-            q, b = query[at : at + (1 << 15)], block[at : at + (1 << 15)]
-            # not asked for: lanes past the end, and those up to the query itself in its own block
-            shut = ~_low(size[b]) | _low(np.clip(q - spans[0][b] + 1, 0, 64))
-            item, hit = _close(planes, b, fp[q], shut, order, radius)
-            some = hit != 0
-            item, hit = item[some], hit[some]
-            if not len(item):
-                continue
-            bits = np.unpackbits(hit.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            row, lane = np.nonzero(bits)
-            yield _forest(ids[q[item[row]]], ids[spans[0][b[item[row]]] + lane])
+        of = table[edge] == t
+        if (of & small).any():
+            for a, b in _small_buckets(rows, edge[of & small], ends[of & small], order):
+                if len(a):
+                    yield _forest(ids[a], ids[b])
+        for start, end, others in zip(edge[of & ~small], ends[of & ~small], sided[of & ~small], strict=True):
+            label = _large_bucket(rows, int(start), int(end - others), int(end), order)[start:]
+            moved = np.flatnonzero(label != np.arange(start, end))
+            yield ids[start + moved], ids[label[moved]]
 
 
 def _low(n: np.ndarray) -> np.ndarray:
@@ -242,62 +285,65 @@ def _low(n: np.ndarray) -> np.ndarray:
     return np.where(n >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), word)
 
 
-def _link_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``table, key, cell, side, fp, id`` sorted in that order to links ``a, b``."""
+def _link_buckets(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``table, key, cell, side, fp, id`` and more, sorted in that order, to links ``a, b``."""
     rest = None
-    names = ("table", "key", "cell", "side", "fp", "id")
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(names))]
+        now = [column.to_numpy(zero_copy_only=False).astype(np.int64) for column in batch.columns]
         now = [np.concatenate([x, y]) for x, y in zip(rest, now, strict=True)] if rest else now
         if not len(now[0]):
             continue
         # the last bucket may go on in the next batch
         last = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
         cut = int(np.argmax(last))
-        yield from _linked([x[:cut] for x in now], radius)
+        yield from _linked([x[:cut] for x in now], radius, limit)
         rest = [x[cut:] for x in now]
     if rest:
-        yield from _linked(rest, radius)
+        yield from _linked(rest, radius, limit)
 
 
-def _linked(cols: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
-    table, key, cell, side, fp, ids = cols
+def _linked(cols: list[np.ndarray], radius: int, limit: int) -> Iterator[pa.RecordBatch]:
+    table, key, cell, side, fp, ids, *wide = cols
     if len(table) < 2:
         return
     new = (table[1:] != table[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
     bucket = np.concatenate([[0], np.cumsum(new)])
-    for a, b in _compare(bucket, table, side, fp.view(np.uint64), ids, radius):
+    rows = _Rows(fp.view(np.uint64), [w.view(np.uint64) for w in wide], radius, limit)
+    for a, b in _compare(bucket, table, side, ids, rows):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def close_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def close_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, wide: int = 0, limit: int = 0) -> DataFrame:
     """``a, b``: links that connect exactly the ids whose fingerprints are chained by close pairs.
 
-    ``fps`` has distinct ``word, fp`` with an ``id`` (bigint); only fingerprints of one word are
-    compared. A bucket above ``bucket`` rows is dealt in parts of half that size, and each two parts
+    ``fps`` has ``word, fp, id`` (bigint); only fingerprints of one word are compared. With ``wide``,
+    it has as many more fingerprints in an array of that name, and a close pair links only if
+    these differ in ``limit`` bits at most in all. A bucket above ``bucket`` rows is dealt in parts of half that size, and each two parts
     are one cell with its own task, so no task holds it whole. No pair in reach is left out.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("the bucket keys are exact up to three differing bits")
     tables = len(MASKS)
     keyed = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(MASKS)))
-    rows = fps.select("word", "fp", "id", F.explode(keyed).alias("k"))
-    rows = rows.select((F.col("word") * tables + F.col("k.t")).cast("int").alias("table"), F.col("k.key").alias("key"), "fp", "id")
+    more = [f"wide{n}" for n in range(wide)]
+    columns = [F.get("wide", F.lit(n)).alias(name) for n, name in enumerate(more)]
+    rows = fps.select("word", "fp", "id", *columns, F.explode(keyed).alias("k"))
+    rows = rows.select((F.col("word") * tables + F.col("k.t")).cast("int").alias("table"), F.col("k.key").alias("key"), "fp", "id", *more)
     hot = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
     hot = materialise(hot.select("table", "key", F.ceil(F.col("n") / (bucket // 2)).cast("int").alias("parts")), "hot_buckets")
     if hot.isEmpty():
-        dealt = rows.select("table", "key", F.lit(0).alias("cell"), F.lit(0).alias("side"), "fp", "id")
+        dealt = rows.select("table", "key", F.lit(0).alias("cell"), F.lit(0).alias("side"), "fp", "id", *more)
     else:
         joined = rows.join(hot, ["table", "key"], "left")
-        own = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int")
+        own = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
         cells = joined.withColumn("own", own).withColumn("peer", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         low, high = F.least("own", "peer"), F.greatest("own", "peer")
         dealt = cells.select(
             "table", "key", (low * F.coalesce("parts", F.lit(1)) + high).alias("cell"),
-            (F.col("own") > F.col("peer")).cast("int").alias("side"), "fp", "id",
+            (F.col("own") > F.col("peer")).cast("int").alias("side"), "fp", "id", *more,
         )
     dealt = dealt.repartition("table", "key", "cell").sortWithinPartitions("table", "key", "cell", "side", "fp")
-    return dealt.mapInArrow(partial(_link_buckets, radius=radius), "a long, b long").distinct()
+    return dealt.mapInArrow(partial(_link_buckets, radius=radius, limit=limit), "a long, b long").distinct()
 
 
 # ---- operators
@@ -325,19 +371,34 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, words: int = 6, radius: int = RADIUS) -> DataFrame:
+def wide_limit(similarity: float, wide: int) -> int:
+    """Bits in which ``wide`` fingerprints of texts that similar differ, with one standard error.
+
+    A bit differs with the angle of the shingle sets, whose cosine is 2s / (1 + s) at similarity s.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(64 * wide * share + np.sqrt(64 * wide * share * (1 - share)))
+
+
+def simhash_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
+    words: int = 3, wide: int = 4, radius: int = RADIUS,
+) -> DataFrame:
     """``node, component`` (ids) of the documents that have a near copy under another id.
 
-    One fingerprint finds near copies of similarity 0.8 only by luck, so ``words`` independent ones
-    are taken of the same shingles, and two documents link if any of them is within ``radius``.
-    Texts without words are no copies of anything. Rows without an id are left out.
+    Three bits are far less than near copies of ``similarity`` differ in by shingles, but not by
+    single words. So pairs are proposed by ``words`` independent fingerprints of the words, any of
+    them within ``radius``, and link if ``wide`` fingerprints of the shingles are as close as
+    that similarity makes them (``wide_limit``). Texts without words are no copies of anything; rows
+    without an id are left out.
     """
-    prints = fingerprints(docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")), id_col, text_col, shingle, words)
-    prints = materialise(prints.distinct(), "fingerprints")
-    long = prints.select("doc", F.posexplode("fps").alias("word", "fp"))
-    first = materialise(long.groupBy("word", "fp").agg(F.min("doc").alias("id")), "distinct_fingerprints")
-    same = long.join(first, ["word", "fp"]).where("doc != id").select(F.col("doc").alias("a"), F.col("id").alias("b"))
-    return connected_components(close_links(first, radius).unionByName(same.distinct()))
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
+    prints = materialise(fingerprints(texts, id_col, text_col, 1, words, shingle, wide).distinct(), "fingerprints")
+    first = materialise(prints.groupBy("fps", "wide").agg(F.min("doc").alias("id")), "distinct_fingerprints")
+    same = prints.join(first, ["fps", "wide"]).where("doc != id").select(F.col("doc").alias("a"), F.col("id").alias("b"))
+    long = first.select("id", "wide", F.posexplode("fps").alias("word", "fp"))
+    links = close_links(long, radius, wide=wide, limit=wide_limit(similarity, wide))
+    return connected_components(links.unionByName(same.distinct()))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

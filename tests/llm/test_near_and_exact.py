@@ -58,7 +58,8 @@ def test_blocks_find_every_close_pair_and_no_other(size):
     fp = np.array([centre ^ np.uint64(sum(1 << int(p) for p in rng.choice(order, rng.integers(0, 6), replace=False))) for _ in range(size)], np.uint64)
     zero = np.zeros(size, np.int64)
     for radius in (0, 1, 2, 3):
-        links = [(int(a), int(b)) for x, y in simhash._compare(zero, zero, zero, fp, np.arange(size), radius) for a, b in zip(x, y)]
+        rows = simhash._Rows(fp, [], radius, 0)
+        links = [(int(a), int(b)) for x, y in simhash._compare(zero, zero, zero, np.arange(size), rows) for a, b in zip(x, y)]
         pairs = [(i, j) for i in range(size) for j in range(i + 1, size) if int(fp[i] ^ fp[j]).bit_count() <= radius]
         assert groups(links, range(size)) == groups(pairs, range(size))
 

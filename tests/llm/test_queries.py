@@ -50,8 +50,10 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     last = {r["text"]: max(x["doc_id"] for x in seen["quality"] if x["text"] == r["text"]) for r in seen["quality"]}
     assert sorted(r["doc_id"] for r in seen["exact_dedup"]) == sorted(last.values())
 
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"], 5, 6) for r in seen["exact_dedup"] if r["text"].split()}
-    close = lambda a, b: any((x ^ y).bit_count() <= 3 for x, y in zip(prints[a], prints[b]))
+    prints = {r["doc_id"]: simhash.fingerprint(r["text"], 1, 3) for r in seen["exact_dedup"] if r["text"].split()}
+    wide = {r["doc_id"]: simhash.fingerprint(r["text"], 5, 4) for r in seen["exact_dedup"]}
+    far = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(wide[a], wide[b]))
+    close = lambda a, b: any((x ^ y).bit_count() <= 3 for x, y in zip(prints[a], prints[b])) and far(a, b) <= simhash.wide_limit(0.8, 4)
     ids = sorted(prints)
     root = groups([(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if close(a, b)], ids)
     kept = [r["doc_id"] for r in seen["exact_dedup"] if root.get(r["doc_id"], r["doc_id"]) == r["doc_id"]]
