@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from readgrove.functions.sequence import format_header_set, let
 
 
-def read_fasta(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
-    """Raw records ``value``: the text between two ``>``, wherever they stand; no empty ones."""
+def read_fasta(spark: SparkSession, path: str | list[str], with_file: bool = False, with_position: bool = False) -> DataFrame:
+    """Raw records ``value``: the text between two ``>``, wherever they stand; no empty ones.
+
+    ``position`` orders the records by file name and place in the file.
+    """
     raw = spark.read.option("lineSep", ">").text(path)
     columns = [F.col("value")]
     if with_file:
         columns.append(F.col("_metadata.file_path").alias("file"))
+    if with_position:
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+        columns.append(place.alias("position"))
     return raw.select(*columns).where(F.length("value") > 0)
 
 

@@ -9,7 +9,8 @@ from readgrove.operators import assign, otu, picker
 from readgrove.operators.kmers import profiles
 from readgrove.operators.search import nearest_landmark
 from readgrove.plans.divide import DivideParams
-from readgrove.plans.otu_run import build_otus
+from readgrove.plans.otu_run import run_to_folders
+from readgrove.sources import fasta, tables
 from tests import brute
 from tests.reads import families, random_read
 
@@ -164,13 +165,15 @@ def test_tables(spark):
     assert with_own[("s1_9", "s1")] == 3 and with_own[("s4_4", "s4")] == 1
 
 
-def test_run_keeps_every_read_and_mixes_no_families(spark):
+def test_run_keeps_every_read_and_mixes_no_families(spark, tmp_path):
     found = families(31, 4, 25, 60, 1)
     rows = []
     for i, read in enumerate(sorted(found)):
         rows += [(f"s{j % 3}_{i}x{j}", read) for j in range(1 + i % 3)]
-    reads = spark.createDataFrame(rows, "header string, read string")
-    run = build_otus(reads, DivideParams(word_size=6, min_size=10, num_leaves=3))
+    first = rows[0][0]
+    # a repeated header: the record that comes last in the file stays
+    (tmp_path / "in.fa").write_text(f">{first}\n{rows[-1][1]}\n" + "".join(f">{h}\n{r}\n" for h, r in rows))
+    run = run_to_folders(spark, str(tmp_path / "in.fa"), str(tmp_path / "out"), DivideParams(word_size=6, min_size=10, num_leaves=3))
     assert {(r["header"], r["read"]) for r in run.assigned.collect()} == set(rows)
     family = {h: found[r] for h, r in rows}
     members = run.members.collect()
@@ -178,3 +181,7 @@ def test_run_keeps_every_read_and_mixes_no_families(spark):
     names = [r["centroid"] for r in run.otus.collect()]
     assert sorted([m["query"] for m in members] + names) == sorted(family)
     assert sum(r["n"] for r in run.counts.collect()) == len(members)
+    table = tables.read_otu_table(spark, str(tmp_path / "out" / "otu_table"), "otu", "sample")
+    assert sum(r["n"] for r in table.collect()) == len(members)
+    assert fasta.read_clusters(spark, str(tmp_path / "out" / "clusters")).count() == len(rows)
+    assert fasta.read_fasta(spark, str(tmp_path / "out" / "derep")).count() == len(found)
