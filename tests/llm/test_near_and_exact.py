@@ -109,6 +109,67 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs):
     assert simhash.simhash_dedup(docs.limit(0)).count() == 0
 
 
+def jaccard(a, b, n=5):
+    a, b = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+EDITS = {
+    "substituted": lambda w, n, new: [new() if i % (len(w) // n) == 0 and i // (len(w) // n) < n else x for i, x in enumerate(w)],
+    "appended": lambda w, n, new: w + [new() for _ in range(n)],
+    "prepended": lambda w, n, new: [new() for _ in range(n)] + w,
+    "inserted": lambda w, n, new: w[: len(w) // 2] + [new() for _ in range(n)] + w[len(w) // 2 :],
+    "cut": lambda w, n, new: w[n:],
+}
+
+
+@pytest.mark.parametrize("words", [40, 300])
+def test_near_copies_of_every_edit_kind_are_those_of_exact_jaccard(spark, words):
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts, want = [], []
+    for n in range(300):
+        kind = list(EDITS)[n % len(EDITS)]
+        base = [word() for _ in range(words)]
+        edits = rng.randint(1, max(1, words // (25 if kind == "substituted" else 4)))
+        copy = " ".join(EDITS[kind](base, edits, word))
+        texts += [(2 * n, " ".join(base)), (2 * n + 1, copy)]
+        want += [(2 * n + 1, 2 * n)] if jaccard(texts[-2][1], copy) >= 0.8 else []
+    assert 100 < len(want) < 290
+    rows = simhash.simhash_groups(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    found = {(r["node"], r["component"]) for r in rows if r["node"] != r["component"]}
+    assert found == set(want)
+
+
+def test_a_shared_line_repeated_often_makes_no_near_copy(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = []
+    for n in range(120):
+        line = [word() for _ in range(20)] if n % 2 == 0 else line
+        texts.append((n, " ".join([word() for _ in range(100)] + line * (10, 20, 40)[n // 2 % 3])))
+    assert max(jaccard(a, b) for (_, a), (_, b) in zip(texts[::2], texts[1::2])) < 0.2
+    assert simhash.simhash_groups(spark.createDataFrame(texts, "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [4096, 8])
+def test_large_groups_of_near_copies_link_by_exact_jaccard(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash.alike_links, "__defaults__", (bucket,))
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    texts = []
+    for _ in range(3):
+        base = [word() for _ in range(100)]
+        for _ in range(70):
+            copy = base + [word() for _ in range(rng.randint(0, 40))]
+            copy[rng.randrange(100)] = word()
+            texts.append((len(texts), " ".join(copy)))
+    pairs = [(i, j) for i, a in texts for j, b in texts if i < j and i // 70 == j // 70 and jaccard(a, b) >= 0.8]
+    root = groups(pairs, range(len(texts)))
+    rows = simhash.simhash_groups(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {n: c for n, c in ((r["node"], r["component"]) for r in rows) if n != c} == {n: c for n, c in root.items() if n != c}
+
+
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_duplicates(spark, docs, keep):
     pick = min if keep == "smallest" else max
