@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sentences of licences and notices as published, each under its identifier.
+#: Sentences of licences and notices as published and as ``sentence_lists`` cuts them, each under its identifier.
 SENTENCES = {
     "apache-named": "Licensed under the Apache License, Version 2.0.",
     "apache-notice-1": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
@@ -23,7 +23,22 @@ SENTENCES = {
     "gpl-notice-1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-notice-2": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-notice-3": "See the GNU General Public License for more details.",
-    "mpl-notice-1": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "apache-copy": "You may obtain a copy of the License at",
+    "apache-link": "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "mpl-notice-1": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "gpl2-notice-1": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl21-notice-1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-library-1": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl3-program-1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-notice-1": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "cc-by-named": "Licensed under CC BY 4.0.",
     "cc-by-sa-named": "Licensed under CC BY-SA 4.0.",
     "cc-by-nc-named": "Licensed under CC BY-NC 4.0.",
@@ -33,6 +48,10 @@ SENTENCES = {
 
 #: Licences by their sentences in order, the first of equal reach wins; longer rules come first.
 RULES = [
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-as-is"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]),
+    ("Apache-2.0", ["apache-notice-1", "apache-copy", "apache-link", "apache-basis", "apache-notice-3"]),
+    ("MIT", ["mit-grant", "mit-notice", "as-is", "no-liability"]),
     ("Apache-2.0", ["apache-notice-1", "apache-notice-2", "apache-notice-3"]),
     ("MIT", ["mit-1", "as-is", "no-liability"]),
     ("GPL-3.0-or-later", ["gpl-notice-1", "gpl-notice-2", "gpl-notice-3"]),
@@ -41,10 +60,16 @@ RULES = [
     ("Apache-2.0", ["apache-notice-1"]),
     ("MIT", ["mit-named"]),
     ("MIT", ["mit-1"]),
+    ("MIT", ["mit-grant", "mit-notice"]),
     ("ISC", ["isc-1"]),
     ("GPL-3.0", ["gpl3-named"]),
     ("GPL-3.0-or-later", ["gpl-notice-1"]),
     ("MPL-2.0", ["mpl-notice-1"]),
+    ("GPL-2.0-or-later", ["gpl2-notice-1"]),
+    ("LGPL-2.1-or-later", ["lgpl21-notice-1"]),
+    ("LGPL-3.0-or-later", ["lgpl3-library-1"]),
+    ("LGPL-3.0-or-later", ["lgpl3-program-1"]),
+    ("AGPL-3.0-or-later", ["agpl3-notice-1"]),
     ("CC-BY-4.0", ["cc-by-named"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-named"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-named"]),
@@ -53,7 +78,7 @@ RULES = [
 ]
 
 #: Every known sentence has one of these letter runs, so a text without any holds none.
-CUES = "(?i)(licen[sc]e|permission|warrant|liable|public domain)"
+CUES = "(?i)(licen[sc]e|permission|warrant|liable|public domain|redistribut)"
 
 #: What a sentence may start with and still be the same sentence.
 LEAD = "^this (work|file|project|software|code|document|library|package|content|text) is "

@@ -181,6 +181,72 @@ def test_licenses(spark, docs):
     assert find_licenses(docs).count() == len(DOCS) and find_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_as_published(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL
+"""
+    names = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+"""
+    gnu = """This %s is free software%s you can redistribute it and/or
+modify it under the terms of the GNU %s Public
+License as published by the Free Software Foundation%s either
+version %s of the License, or (at your option) any later version.
+"""
+    texts = {
+        "MIT": mit, "MPL-2.0": mpl, "Apache-2.0": apache, "BSD-2-Clause": bsd % "", "BSD-3-Clause": bsd % names,
+        "GPL-2.0-or-later": gnu % ("program", ";", "General", ";", "2"), "LGPL-2.1-or-later": gnu % ("library", ";", "Lesser General", ";", "2.1"),
+        "LGPL-3.0-or-later": gnu % ("program", ":", "Lesser General", ",", "3"), "AGPL-3.0-or-later": gnu % ("program", ":", "Affero General", ",", "3"),
+    }
+    rows = find_licenses(spark.createDataFrame(list(enumerate(texts.values())), "doc_id bigint, text string")).collect()
+    assert [r["licenses"] for r in sorted(rows, key=lambda r: r["doc_id"])] == list(texts)
+    assert {r["doc_id"]: r["n_sentences"] for r in rows}[2] == 5
+
+
 def edits(pattern, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(pattern, 1):
