@@ -8,17 +8,19 @@ network's logit is divided by a temperature fitted on rows kept apart.
 
 from __future__ import annotations
 
+import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
-from operator import eq
+from itertools import chain
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,36 +34,97 @@ WORDS, SHAPES = 4096, 256
 SIZE, SIGNS = 64, 6
 HIDDEN = 32
 THRESHOLD = 0.7
-#: Characters of a text cut into words at a time, and words remembered by a worker.
-PIECE = 1 << 20
-REMEMBERED = 300_000
+#: A longer word counts as several of that many characters.
+LONG = 64
+#: Characters and parts of texts cut into words at a time.
+PIECE, PARTS = 1 << 20, 256
+#: Rows of a batch scored at a time.
+SLICE = 512
 SAMPLE_PARTS = 8
 
-UPPER, LOWER, DIGIT = regex.compile("\\p{Lu}+"), regex.compile("[\\p{Ll}\\p{Lo}\\p{Lm}]+"), regex.compile("\\p{N}+")
-RUN = regex.compile("([^\\p{L}])\\1+")
-NOT_LETTER = regex.compile("[^\\p{L}]+")
+SPACE = re.compile("\\s")
+SOME_LONG = re.compile(f"\\S{{{LONG + 1}}}")
 SAME = "="
 
 
-def word_pieces(text: str) -> Iterator[list[str]]:
-    """The words of a text in lists that stay small for any length of text."""
+def text_parts(text: str) -> Iterator[str]:
+    """A text in parts of about ``PIECE`` characters, cut at white space."""
     start = 0
     while start < len(text):
-        stop = min(len(text), start + PIECE)
-        while stop < len(text) and not text[stop].isspace():
-            stop += 1
-        yield text[start:stop].split()
+        gap = SPACE.search(text, start + PIECE) if start + PIECE < len(text) else None
+        stop = gap.start() if gap else len(text)
+        yield text[start:stop]
         start = stop
 
 
-def letters(word: str) -> str:
-    return NOT_LETTER.sub("", word).lower()
+def text_groups(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbers of texts and their parts, in groups of a bounded size."""
+    numbers, parts, size = [], [], 0
+    for n, text in enumerate(texts):
+        for part in text_parts(text or ""):
+            numbers.append(n)
+            parts.append(part)
+            size += len(part)
+            if size >= PIECE or len(parts) == PARTS:
+                yield numbers, parts
+                numbers, parts, size = [], [], 0
+    if parts:
+        yield numbers, parts
 
 
-@lru_cache(maxsize=20_000)
-def shape(word: str) -> str:
-    """Runs of capitals, other letters, digits and of one mark as one sign each, 8 at most."""
-    return RUN.sub("\\1", DIGIT.sub("0", LOWER.sub("a", UPPER.sub("A", word))))[:8]
+@dataclass
+class Words:
+    """Words of some parts in order: number of the part, number of the word form, and per form its tokens."""
+
+    part: np.ndarray
+    form: np.ndarray
+    letters: pa.Array
+    shapes: pa.Array
+
+    @staticmethod
+    def of(parts: list[str]) -> Words:
+        lists = [part.split() for part in parts]
+        if any(map(SOME_LONG.search, parts)):
+            lists = [[w[at : at + LONG] for w in words for at in range(0, len(w), LONG)] for words in lists]
+        part = np.repeat(np.arange(len(parts)), list(map(len, lists)))
+        words = pa.array(chain.from_iterable(lists), pa.large_string())
+        coded = words.dictionary_encode()
+        forms = coded.dictionary.to_pylist()
+        return Words(part, coded.indices.to_numpy(), letters(forms), shapes(forms))
+
+
+@lru_cache(maxsize=1)
+def _signs() -> np.ndarray:
+    """For each code point: A for capitals, a for other letters, 0 for digits, else itself."""
+    signs = np.arange(sys.maxunicode + 1, dtype="<u4")
+    for code in range(sys.maxunicode + 1):
+        kind = category(chr(code))
+        if kind in ("Lu", "Ll", "Lo", "Lm", "Lt"):
+            signs[code] = ord("A" if kind == "Lu" else "a")
+        elif kind[0] == "N":
+            signs[code] = ord("0")
+    return signs
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    return np.frombuffer("\n".join(words).encode("utf-32-le"), "<u4")
+
+
+def _split(codes: np.ndarray, n: int) -> pa.Array:
+    return pa.array(codes.tobytes().decode("utf-32-le").split("\n") if n else [], pa.large_string())
+
+
+def letters(words: list[str]) -> pa.Array:
+    """The letters of each word in lower case."""
+    codes = _codes([w.lower() for w in words])
+    sign = _signs()[codes]
+    return _split(codes[(sign == ord("a")) | (sign == ord("A")) | (codes == ord("\n"))], len(words))
+
+
+def shapes(words: list[str]) -> pa.Array:
+    """Runs of capitals, other letters, digits and of one mark as one sign each."""
+    sign = _signs()[_codes(words)]
+    return _split(sign[np.concatenate([np.ones(min(1, len(sign)), bool), sign[1:] != sign[:-1]])], len(words))
 
 
 def index_vector(token: str) -> np.ndarray:
@@ -73,12 +136,19 @@ def index_vector(token: str) -> np.ndarray:
     return vector
 
 
+#: Step of the values of a vector.
+GRID = 2.0**-20
+
+
 @dataclass
 class Vectors:
-    """Word and shape vectors; row 0 of each stands for all others, row 1 of shapes for a repeated word."""
+    """Word and shape vectors; row 0 of each stands for all others, row 1 of shapes for a repeated word.
+
+    Their values are multiples of ``GRID``, so that sums of them are exact in any order.
+    """
 
-    words: dict[str, int]
-    shapes: dict[str, int]
+    words: list[str]
+    shapes: list[str]
     word_table: np.ndarray
     shape_table: np.ndarray
 
@@ -99,43 +169,42 @@ class Model:
         return _sigmoid(_logits((pooled - self.mean) / self.scale, self.layers)[0] / self.temperature)
 
 
+def _coded(tokens: pa.Array, form: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct tokens, and the number of each word's token."""
+    coded = tokens.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()[form].astype(np.int64)
+
+
 class Pooler:
-    """Pooled vectors of texts; remembers the tokens of words."""
+    """Pooled vectors of texts: per part a count of each row, times the table of vectors."""
 
     def __init__(self, vectors: Vectors) -> None:
         self.vectors = vectors
-        self.codes: dict[str, int] = _Codes(vectors)
-
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.codes) >= REMEMBERED:
-            self.codes.clear()
-        code = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        return code // (SHAPES + 2), code % (SHAPES + 2)
-
-    def pool(self, text: str | None) -> np.ndarray:
-        total, n, last = np.zeros(2 * SIZE), 0, None
-        for words in word_pieces(text or ""):
-            if not words:
-                continue
-            word, form = self.ids(words)
-            total[:SIZE] += self.vectors.word_table[word].sum(axis=0)
-            total[SIZE:] += self.vectors.shape_table[form].sum(axis=0)
-            same = sum(map(eq, words, islice(words, 1, None))) + (words[0] == last)
-            total[SIZE:] += same * self.vectors.shape_table[1]
-            n, last = n + len(words), words[-1]
-        return total / n if n else total
-
-
-class _Codes(dict):
-    def __init__(self, vectors: Vectors) -> None:
-        super().__init__()
-        self.vectors = vectors
-
-    def __missing__(self, word: str) -> int:
-        short = word[:200]  # longer ones are no known word, and their shape is cut anyway
-        code = self.vectors.words.get(letters(short), 0) * (SHAPES + 2) + self.vectors.shapes.get(shape(short), 0)
-        self[word] = code
-        return code
+        self.words, self.shapes = (pa.array(known, pa.large_string()) for known in (vectors.words, vectors.shapes))
+
+    def rows(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the two tables for each word."""
+        out = []
+        for tokens, known, first in ((words.letters, self.words, 1), (words.shapes, self.shapes, 2)):
+            row = pc.fill_null(pc.add(pc.index_in(tokens, value_set=known), first), 0).to_numpy()
+            out.append(row[words.form])
+        return out[0], out[1]
+
+    def pool(self, texts: list[str | None]) -> np.ndarray:
+        """One row per text; texts without words are zero."""
+        total, n = np.zeros((len(texts), 2 * SIZE)), np.zeros(len(texts))
+        for numbers, parts in text_groups(texts):
+            words = Words.of(parts)
+            tables = self.vectors.word_table, self.vectors.shape_table
+            counts = [
+                np.bincount(words.part * len(t) + row, minlength=len(parts) * len(t)).reshape(len(parts), len(t)).astype(np.float64)
+                for t, row in zip(tables, self.rows(words), strict=True)
+            ]
+            same = (words.form[1:] == words.form[:-1]) & (words.part[1:] == words.part[:-1])
+            counts[1][:, 1] += np.bincount(words.part[1:][same], minlength=len(parts))
+            np.add.at(total, numbers, np.hstack([c @ t for c, t in zip(counts, tables, strict=True)]))
+            np.add.at(n, numbers, np.bincount(words.part, minlength=len(parts)))
+        return total / np.maximum(n, 1)[:, None]
 
 
 # ---- fitting
@@ -211,32 +280,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = materialise(sample.repartition(SAMPLE_PARTS, "id"), "labelled_sample")
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, shapes = Counter(), Counter()
+        words, forms = Counter(), Counter()
         for frame in frames:
-            for text in frame["text"]:
-                for piece in word_pieces(text or ""):
-                    words.update(letters(w) for w in set(piece) if len(w) <= 200)
-                    shapes.update(map(shape, (w[:200] for w in piece)))
+            for _, parts in text_groups(list(frame["text"])):
+                found = Words.of(parts)
+                known, token = _coded(found.letters, found.form)
+                # a word counts once in a part
+                once = np.unique(found.part * (len(known) + 1) + token) % (len(known) + 1)
+                words.update(dict(zip(known, np.bincount(once, minlength=len(known)).tolist(), strict=True)))
+                known, token = _coded(found.shapes, found.form)
+                forms.update(dict(zip(known, np.bincount(token, minlength=len(known)).tolist(), strict=True)))
         del words[""]
         # tokens rarer than that in every task have no vector
-        rows = [("w", t, n) for t, n in words.most_common(4 * WORDS)] + [("s", t, n) for t, n in shapes.most_common(4 * SHAPES)]
+        rows = [("w", t, n) for t, n in words.most_common(4 * WORDS)] + [("s", t, n) for t, n in forms.most_common(4 * SHAPES)]
         yield pd.DataFrame(rows, columns=["kind", "token", "n"])
 
     counted = sample.select("text").mapInPandas(tokens, "kind string, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
     top = {kind: [r["token"] for r in counted.where((F.col("kind") == kind) & (F.col("n") > 2)).orderBy(F.desc("n"), "token").limit(size).collect()] for kind, size in (("w", WORDS), ("s", SHAPES))}
-    words, shapes = {t: i + 1 for i, t in enumerate(top["w"])}, {t: i + 2 for i, t in enumerate(top["s"])}
     index = [np.stack([index_vector(t) for t in ("w:", *("w:" + t for t in top["w"]))]), np.stack([index_vector(t) for t in ("s:", "s:" + SAME, *("s:" + t for t in top["s"]))])]
-    plain = Vectors(words, shapes, *index)
+    plain = Vectors(top["w"], top["s"], *index)
 
     def contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pooler, sums, seen = Pooler(plain), [np.zeros_like(t, np.float64) for t in index], [np.zeros(len(t)) for t in index]
+        pooler, sums, seen = Pooler(plain), [np.zeros(t.shape) for t in index], [np.zeros(len(t)) for t in index]
         for frame in frames:
-            for text in frame["text"]:
-                for piece in word_pieces(text or ""):
-                    for k, ids in enumerate(pooler.ids(piece)):
-                        np.add.at(sums[k], ids[1:], index[k][ids[:-1]])
-                        np.add.at(sums[k], ids[:-1], index[k][ids[1:]])
-                        seen[k] += np.bincount(ids, minlength=len(seen[k]))
+            for _, parts in text_groups(list(frame["text"])):
+                found = Words.of(parts)
+                beside = found.part[1:] == found.part[:-1]
+                for k, row in enumerate(pooler.rows(found)):
+                    left, right = row[:-1][beside].astype(np.int64), row[1:][beside].astype(np.int64)
+                    pair, times = np.unique(np.concatenate([left * len(index[k]) + right, right * len(index[k]) + left]), return_counts=True)
+                    at, other = np.divmod(pair, len(index[k]))
+                    if len(pair):
+                        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                        sums[k][at[first]] += np.add.reduceat(index[k][other] * times[:, None], first, axis=0)
+                    seen[k] += np.bincount(row, minlength=len(seen[k]))
         for k in (0, 1):
             some = np.flatnonzero(seen[k])
             if len(some):
@@ -248,14 +325,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for r in sample.select("text").mapInPandas(contexts, "kind int, row int, n double, sums array<double>").collect():
         counts[r["kind"]][r["row"]] += r["n"]
         around[r["kind"]][r["row"]] += r["sums"]
-    tables = [(t + a / np.maximum(2 * c, 1)[:, None]).astype(np.float32) for t, a, c in zip(tables, around, counts, strict=True)]
-    vectors = Vectors(words, shapes, *tables)
+    tables = [np.round((t + a / np.maximum(2 * c, 1)[:, None]) / GRID) * GRID for t, a, c in zip(tables, around, counts, strict=True)]
+    vectors = Vectors(top["w"], top["s"], *tables)
 
     def pooled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pooler = Pooler(vectors)
         for frame in frames:
             if len(frame):
-                yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "x": [pooler.pool(t) for t in frame["text"]]})
+                yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "x": list(pooler.pool(list(frame["text"])))})
 
     id_type = sample.schema["id"].dataType.simpleString()
     rows = sample.mapInPandas(pooled, f"id {id_type}, y int, x array<double>").collect()
@@ -282,17 +359,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 # ---- operators
 
 
-_POOLERS: dict[int, Pooler] = {}
-
-
-def _score(shared, texts: list[str | None]) -> np.ndarray:
-    """Scores by the broadcast model; a worker keeps the words it knows while the model is the same."""
-    model = shared.value
-    if id(model) not in _POOLERS:
-        _POOLERS.clear()
-        _POOLERS[id(model)] = Pooler(model.vectors)
-    pooler = _POOLERS[id(model)]
-    return model.probability(np.array([pooler.pool(t) for t in texts]).reshape(len(texts), 2 * SIZE))
+def _scores(model: Model, batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches with the scores of their texts in column ``at``; nothing is kept between slices."""
+    pooler = Pooler(model.vectors)
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            part = batch.slice(start, SLICE)
+            yield part, model.probability(pooler.pool(part.column(at).to_pylist()))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -305,9 +378,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, fit_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = pa.array(_score(shared, batch.column(2).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), score], ["id", "held_out", "score"])
+        for part, score in _scores(shared.value, batches, 2):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score, pa.float64())], ["id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -316,13 +388,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs``, in their columns, whose text scores at least the threshold."""
+    """The rows of ``docs``, in their columns, whose text scores at least the threshold.
+
+    Null text counts as empty, and empty texts get the score of a text without words. Repeated rows are
+    scored alike and stay or go together; null ids are scored too; an empty table stays empty.
+    Without labels all rows stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, fit_rows))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(at)]
-            yield batch.filter(pa.array(_score(shared, texts) >= threshold))
+        for part, score in _scores(shared.value, batches, at):
+            yield part.filter(pa.array(score >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
