@@ -10,6 +10,7 @@ from unicodedata import is_normalized
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,9 +21,10 @@ from readgrove.session import materialise
 
 CAPACITY = 4096
 END_ID = 1
-REMEMBERED = 600_000
-#: Documents cut into words at a time.
-SLICE = 256
+#: Words a worker remembers at most, some 25 MB; then it keeps those of the texts at hand.
+REMEMBERED = 150_000
+#: Documents and characters cut into words at a time, and words encoded as one text.
+SLICE, SLICE_CHARS, CHUNK = 256, 1 << 20, 512
 MARKS = "!#$%&()*+,-./:;=?@[]^_{|}~"
 CONTROL = regex.compile("[\\x1c-\\x1f]")
 SPACES = regex.compile(f"[{SPACE}]+")
@@ -52,14 +54,17 @@ class WordEncoder:
 
     def _learn(self, plain: list[str], others: list[str]) -> None:
         """Plain words are one piece each, so many are encoded as one text and cut at the word ends."""
-        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(plain):
-            data, edge = ids.tobytes(), [0, *(4 * cuts).tolist()]
-            for n, word in enumerate(plain):
-                self.known[word] = data[edge[n] : edge[n + 1]]
-        else:  # a letter that folds to more than letters
-            others = others + plain
+        for at in range(0, len(plain), CHUNK):
+            words = plain[at : at + CHUNK]
+            found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(words):
+                data, edge = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                for n, word in enumerate(words):
+                    self.known[word] = data[edge[n] : edge[n + 1]]
+            else:  # a letter that folds to more than letters
+                others = others + words
         for word, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.known[word] = np.array(found.ids, "<u4").tobytes()
 
@@ -77,17 +82,20 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         lists = [self.words(t or "") for t in texts]
-        known = self.known
-        if len(known) >= REMEMBERED:
+        known, asked = self.known, set().union(*lists)
+        new = asked.difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            again = {w: known[w] for w in asked - new}
             known.clear()
-        new = set().union(*lists).difference(known)
+            known.update(again)
         stems = {}
         for word in new:
             stem = word.rstrip(MARKS)
             if len(stem) < len(word) and _letters(stem):  # letters and marks are pieces of their own
                 stems[word] = (stem, word[len(stem) :])
         ask = (new - stems.keys()).union(x for pair in stems.values() for x in pair if x not in known)
-        self._learn([w for w in ask if _letters(w)], [w for w in ask if not _letters(w)])
+        plain = list(filter(_letters, ask))
+        self._learn(plain, list(ask.difference(plain)))
         for word, (stem, mark) in stems.items():
             known[word] = known[stem] + known[mark]
         return [b"".join(map(known.__getitem__, words)) for words in lists]
@@ -98,6 +106,17 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``SLICE`` rows and about ``SLICE_CHARS`` bytes of that column."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = int(size[start - 1]) if start else 0
+        stop = max(start + 1, min(start + SLICE, int(np.searchsorted(size, before + SLICE_CHARS))))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, piece, start, length, ids_crc32`` of every piece of at most ``capacity`` tokens."""
 
@@ -106,8 +125,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
         end = np.array([END_ID], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in text_slices(batch, 1):
                 rows = []
                 for doc, ids in zip(part.column(0), encoder.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
