@@ -78,47 +78,28 @@ def _hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(tail))], np.uint64)
 
 
-def _mixed(h: np.ndarray, word: int) -> np.ndarray:
-    """The hashes for fingerprint number ``word``; number 0 keeps them as they are."""
-    if not word:
-        return h
-    h = (h ^ np.uint64(word * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> list[int]:
-    """``words`` unsigned fingerprints; a bit is set if it is in over half the shingle hashes."""
-    counts, total = np.zeros((words, 64), np.int64), 0
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The unsigned fingerprint; a bit is set if it is in over half the shingle hashes."""
+    counts, total = np.zeros(64, np.int64), 0
     for h in _hashes(text or "", shingle):
         total += len(h)
-        for k in range(words):
-            rows = _mixed(h, k).astype("<u8").view(np.uint8).reshape(-1, 8)
-            for at in range(0, len(rows), 1 << 16):
-                bits = np.unpackbits(rows[at : at + (1 << 16)], axis=1, bitorder="little")
-                counts[k] += np.add.reduce(bits, axis=0, dtype=np.int32)
-    packed = np.packbits(2 * counts > total, axis=1, bitorder="little") if total else np.zeros((words, 8), np.uint8)
-    return [int(x) for x in packed.view("<u8")[:, 0]]
+        rows = h.astype("<u8").view(np.uint8).reshape(-1, 8)
+        for at in range(0, len(rows), 1 << 16):
+            bits = np.unpackbits(rows[at : at + (1 << 16)], axis=1, bitorder="little")
+            counts += np.add.reduce(bits, axis=0, dtype=np.int32)
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0]) if total else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, wide_shingle: int = 0, wide: int = 0) -> DataFrame:
-    """``doc, fps, wide``: per row its id and arrays of fingerprints as signed longs. Null text: empty.
-
-    ``fps`` has ``words`` fingerprints of ``shingle`` words, ``wide`` as many as asked for of
-    ``wide_shingle`` words.
-    """
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """``doc, fp``: per row its id and its fingerprint as a signed long. Null text: empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, checks = [], []
-            for text in batch.column(1):
-                fps.append([_signed(x) for x in fingerprint(text.as_py(), shingle, words)])
-                checks.append([_signed(x) for x in fingerprint(text.as_py(), wide_shingle, wide)] if wide else [])
-            arrays = [pa.array(x, pa.list_(pa.int64())) for x in (fps, checks)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc", "fps", "wide"])
+            fps = [_signed(fingerprint(text.as_py(), shingle)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc long, fps array<long>, wide array<long>")
+    return rows.mapInArrow(run, "doc long, fp long")
 
 
 # ---- bit-sliced comparison
@@ -187,12 +168,10 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class _Rows:
-    """Rows of whole buckets: fingerprints, what else a pair must agree in, and the largest distances."""
+    """Fingerprints of the rows of whole buckets, and the largest distance."""
 
     fp: np.ndarray
-    wide: list[np.ndarray]
     radius: int
-    limit: int
 
     def pairs(self, first: np.ndarray, end: np.ndarray, planes: np.ndarray, query: np.ndarray, block: np.ndarray, order: list[int], label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the close pairs among (query row, block) items; a block is the rows first..end.
@@ -210,11 +189,7 @@ class _Rows:
         item, hit = item[some], hit[some]
         bits = np.unpackbits(hit.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         row, lane = np.nonzero(bits)
-        a, b = query[item[row]], first[block[item[row]]] + lane
-        if self.wide and len(a):
-            far = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in self.wide)
-            a, b = a[far <= self.limit], b[far <= self.limit]
-        return a, b
+        return query[item[row]], first[block[item[row]]] + lane
 
 
 def _blocks(fp: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -267,7 +242,7 @@ def _compare(bucket: np.ndarray, table: np.ndarray, side: np.ndarray, ids: np.nd
     edge, ends, sided = edge[several], ends[several], sided[several]
     small = (ends - edge <= 64) & (sided == 0)
     for t in np.unique(table[edge]):
-        order = [p for p in range(64) if not MASKS[int(t) % len(MASKS)] >> p & 1]
+        order = [p for p in range(64) if not MASKS[int(t)] >> p & 1]
         of = table[edge] == t
         if (of & small).any():
             for a, b in _small_buckets(rows, edge[of & small], ends[of & small], order):
@@ -285,8 +260,8 @@ def _low(n: np.ndarray) -> np.ndarray:
     return np.where(n >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), word)
 
 
-def _link_buckets(batches: Iterator[pa.RecordBatch], radius: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``table, key, cell, side, fp, id`` and more, sorted in that order, to links ``a, b``."""
+def _link_buckets(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``table, key, cell, side, fp, id``, sorted in that order, to links ``a, b``."""
     rest = None
     for batch in batches:
         now = [column.to_numpy(zero_copy_only=False).astype(np.int64) for column in batch.columns]
@@ -296,43 +271,38 @@ def _link_buckets(batches: Iterator[pa.RecordBatch], radius: int, limit: int) ->
         # the last bucket may go on in the next batch
         last = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
         cut = int(np.argmax(last))
-        yield from _linked([x[:cut] for x in now], radius, limit)
+        yield from _linked([x[:cut] for x in now], radius)
         rest = [x[cut:] for x in now]
     if rest:
-        yield from _linked(rest, radius, limit)
+        yield from _linked(rest, radius)
 
 
-def _linked(cols: list[np.ndarray], radius: int, limit: int) -> Iterator[pa.RecordBatch]:
-    table, key, cell, side, fp, ids, *wide = cols
+def _linked(cols: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
+    table, key, cell, side, fp, ids = cols
     if len(table) < 2:
         return
     new = (table[1:] != table[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
     bucket = np.concatenate([[0], np.cumsum(new)])
-    rows = _Rows(fp.view(np.uint64), [w.view(np.uint64) for w in wide], radius, limit)
+    rows = _Rows(fp.view(np.uint64), radius)
     for a, b in _compare(bucket, table, side, ids, rows):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def close_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, wide: int = 0, limit: int = 0) -> DataFrame:
+def close_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """``a, b``: links that connect exactly the ids whose fingerprints are chained by close pairs.
 
-    ``fps`` has ``word, fp, id`` (bigint); only fingerprints of one word are compared. With ``wide``,
-    it has as many more fingerprints in an array of that name, and a close pair links only if
-    these differ in ``limit`` bits at most in all. A bucket above ``bucket`` rows is dealt in parts of half that size, and each two parts
-    are one cell with its own task, so no task holds it whole. No pair in reach is left out.
+    ``fps`` has ``fp, id`` (bigint). A bucket above ``bucket`` rows is dealt in parts of half that size,
+    and each two parts are one cell with its own task, so no task holds it whole. No pair in reach is
+    left out.
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("the bucket keys are exact up to three differing bits")
-    tables = len(MASKS)
     keyed = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(MASKS)))
-    more = [f"wide{n}" for n in range(wide)]
-    columns = [F.get("wide", F.lit(n)).alias(name) for n, name in enumerate(more)]
-    rows = fps.select("word", "fp", "id", *columns, F.explode(keyed).alias("k"))
-    rows = rows.select((F.col("word") * tables + F.col("k.t")).cast("int").alias("table"), F.col("k.key").alias("key"), "fp", "id", *more)
+    rows = fps.select("fp", "id", F.explode(keyed).alias("k")).select(F.col("k.t").alias("table"), F.col("k.key").alias("key"), "fp", "id")
     hot = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
     hot = materialise(hot.select("table", "key", F.ceil(F.col("n") / (bucket // 2)).cast("int").alias("parts")), "hot_buckets")
     if hot.isEmpty():
-        dealt = rows.select("table", "key", F.lit(0).alias("cell"), F.lit(0).alias("side"), "fp", "id", *more)
+        dealt = rows.select("table", "key", F.lit(0).alias("cell"), F.lit(0).alias("side"), "fp", "id")
     else:
         joined = rows.join(hot, ["table", "key"], "left")
         own = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
@@ -340,10 +310,10 @@ def close_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, wide
         low, high = F.least("own", "peer"), F.greatest("own", "peer")
         dealt = cells.select(
             "table", "key", (low * F.coalesce("parts", F.lit(1)) + high).alias("cell"),
-            (F.col("own") > F.col("peer")).cast("int").alias("side"), "fp", "id", *more,
+            (F.col("own") > F.col("peer")).cast("int").alias("side"), "fp", "id",
         )
     dealt = dealt.repartition("table", "key", "cell").sortWithinPartitions("table", "key", "cell", "side", "fp")
-    return dealt.mapInArrow(partial(_link_buckets, radius=radius, limit=limit), "a long, b long").distinct()
+    return dealt.mapInArrow(partial(_link_buckets, radius=radius), "a long, b long").distinct()
 
 
 # ---- operators
@@ -357,9 +327,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     name no component; repeated rows are returned as often as they come; an empty table gives an
     empty result; other columns are ignored.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle).select("doc", F.col("fps")[0].alias("fp")), "fingerprints")
+    prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     first = materialise(prints.groupBy("fp").agg(F.min("doc").alias("first")), "distinct_fingerprints")
-    links = close_links(first.select(F.lit(0).alias("word"), "fp", F.col("fp").alias("id")), radius)
+    links = close_links(first.select("fp", F.col("fp").alias("id")), radius)
     comp = materialise(connected_components(links), "components")
     named = first.join(comp, first["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("component_id"))
@@ -371,259 +341,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def wide_limit(similarity: float, wide: int) -> int:
-    """Bits in which ``wide`` fingerprints of texts that similar differ, with one standard error.
-
-    A bit differs with the angle of the shingle sets, whose cosine is 2s / (1 + s) at similarity s.
-    """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(64 * wide * share + np.sqrt(64 * wide * share * (1 - share)))
-
-
-# ---- near copies of a given similarity
-
-
-@dataclass(frozen=True)
-class Likeness:
-    """What makes a near copy, and how pairs are proposed: ``bands`` keys of ``rows`` smallest hashes each.
-
-    Texts of Jaccard similarity s agree in a key with probability ``s ** rows``, whatever the edit is.
-    """
-
-    similarity: float = 0.8
-    shingle: int = 5
-    bands: int = 20
-    rows: int = 5
-
-    @property
-    def radius(self) -> int:
-        """Bits in which sketches of texts that similar differ: mean and five standard errors."""
-        share = (1 - self.similarity) / 2
-        return min(63, int(64 * share + 5 * np.sqrt(64 * share * (1 - share))))
-
-
-#: Buckets up to this size give all their close pairs; in larger ones a joined pair is not asked again.
-PAIRED = 16
-
-
-def shingle_set(text: str | None, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the distinct shingles, and how often each comes."""
-    parts = list(_hashes(text or "", shingle))
-    return np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-
-
-def _smallest(tokens: np.ndarray, n: int) -> np.ndarray:
-    """The smallest hash of the set under each of ``n`` fixed hash functions."""
-    rng = np.random.default_rng(SEED)
-    flip, factor = rng.integers(0, 1 << 64, (2, n), dtype=np.uint64)
-    factor |= np.uint64(1)
-    out = np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for at in range(0, len(tokens), 4096):
-        h = (tokens[at : at + 4096, None] ^ flip) * factor
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x94D049BB133111EB)
-        out = np.minimum(out, h.min(axis=0))
-    return out
-
-
-def sketch(tokens: np.ndarray, like: Likeness) -> tuple[list[int], int]:
-    """Band keys, and a 64-bit fingerprint with one bit of each of 64 further smallest hashes."""
-    n = like.bands * like.rows
-    low = _mixed(_smallest(tokens, n + 64), 1)
-    place = np.arange(1, like.rows + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    keys = _mixed((low[:n].reshape(like.bands, like.rows) * place).sum(axis=1, dtype=np.uint64), 2)
-    fp = np.packbits((low[n:] >> np.uint64(40)).astype(np.uint8) & 1, bitorder="little").view("<u8")[0]
-    return keys.view(np.int64).tolist(), _signed(int(fp))
-
-
-def _times(counts: np.ndarray) -> bytes:
-    return counts.astype("<i8").tobytes() if (counts > 1).any() else b""
-
-
-def alike(a: bytes, a_times: bytes, b: bytes, b_times: bytes, like: Likeness) -> bool:
-    """Whether two shingle sets are near copies: exact Jaccard similarity of the distinct shingles.
-
-    A text of few shingles repeated many times is also a copy of itself with one word edited: then
-    the shingles that differ, counted as often as they come, are no more on either side than one
-    word touches, and the similarity counted so is reached.
-    """
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    if not (a_times or b_times) and min(len(x), len(y)) < like.similarity * max(len(x), len(y)) - 1e-9:
-        return False
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if len(i) >= like.similarity * (len(x) + len(y) - len(i)) - 1e-9:
-        return True
-    if not (a_times or b_times):
-        return False
-    n = np.frombuffer(a_times, "<i8") if a_times else np.ones(len(x), np.int64)
-    m = np.frombuffer(b_times, "<i8") if b_times else np.ones(len(y), np.int64)
-    both, own, other = int(np.minimum(n[i], m[j]).sum()), int(n.sum()), int(m.sum())
-    return max(own, other) - both <= like.shingle and both >= like.similarity * (own + other - both) - 1e-9
-
-
-@dataclass
-class _Sets(_Rows):
-    """Rows of whole buckets with their shingle sets; close pairs are near copies by ``alike``."""
-
-    sets: np.ndarray
-    times: np.ndarray
-    like: Likeness
-
-    def pairs(self, *args, **options) -> tuple[np.ndarray, np.ndarray]:
-        a, b = super().pairs(*args, **options)
-        keep = np.fromiter((alike(self.sets[i], self.times[i], self.sets[j], self.times[j], self.like) for i, j in zip(a, b, strict=True)), bool, len(a))
-        return a[keep], b[keep]
-
-
-def _sketches(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests, bands, fps = [], [], []
-        for text in batch.column(1):
-            tokens, _ = shingle_set(text.as_py(), like.shingle)
-            keys, fp = sketch(tokens, like)
-            digests.append(xxhash.xxh3_128_digest(tokens.astype("<u8").tobytes()))
-            bands.append(keys)
-            fps.append(fp)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(fps, pa.int64())], ["doc", "digest", "bands", "fp"])
-
-
-def _shingle_sets(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests, sets, times = [], [], []
-        for text in batch.column(0):
-            tokens, counts = shingle_set(text.as_py(), like.shingle)
-            sets.append(tokens.astype("<u8").tobytes())
-            digests.append(xxhash.xxh3_128_digest(sets[-1]))
-            times.append(_times(counts))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (digests, sets, times)], ["digest", "set", "times"])
-
-
-def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Rows ``table, key, cell, side, fp, id`` and more, sorted in that order, as columns of whole buckets."""
-    rest = None
-    for batch in batches:
-        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        now = [np.concatenate([x, y]) for x, y in zip(rest, now, strict=True)] if rest else now
-        if not len(now[0]):
-            continue
-        last = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
-        cut = int(np.argmax(last))
-        if cut:
-            yield [x[:cut] for x in now]
-        rest = [x[cut:] for x in now]
-    if rest:
-        yield rest
-
-
-def _bounds(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    table, key, cell = cols[:3]
-    new = (table[1:] != table[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
-    starts = np.flatnonzero(np.concatenate([[True], new]))
-    return starts, np.append(starts[1:], len(table))
-
-
-def _close_pairs(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """All pairs of small buckets whose sketches are in reach."""
-    for cols in _bucket_rows(batches):
-        starts, ends = _bounds(cols)
-        ids, rows = cols[5], _Rows(cols[4].astype(np.int64).view(np.uint64), [], like.radius, 0)
-        for a, b in _small_buckets(rows, starts, ends, list(range(64))):
-            low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
-
-
-def _alike_links(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """Links that connect what the near copies in each large bucket connect."""
-    for cols in _bucket_rows(batches):
-        side, ids = cols[3], cols[5]
-        rows = _Sets(cols[4].astype(np.int64).view(np.uint64), [], like.radius, 0, cols[6], cols[7], like)
-        for start, end in zip(*_bounds(cols), strict=True):
-            cut = int(end - side[start:end].sum())
-            label = _large_bucket(rows, int(start), cut, int(end), list(range(64)))[start:] if cut > start else np.arange(start, end)
-            moved = np.flatnonzero(label != np.arange(start, end))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[start + moved], pa.int64()), pa.array(ids[label[moved]], pa.int64())], ["a", "b"])
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, in their columns, without near copies: of each component the smallest id stays.
 
-
-def _checked(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in range(2, 6)]
-        keep = pa.array([alike(*row, like) for row in zip(*columns, strict=True)], pa.bool_())
-        yield batch.select([0, 1]).filter(keep)
-
-
-def alike_links(texts: DataFrame, first: DataFrame, like: Likeness, bucket: int = BUCKET) -> DataFrame:
-    """``a, b``: rows of ``first`` that are near copies, enough of them to connect all that are proposed.
-
-    ``texts`` has ``doc, text``; ``first`` has ``row, digest, id, bands, fp``, one row per distinct
-    shingle set. Rows that share a band key meet in a bucket, where sketches are compared bit-sliced.
-    Pairs of small buckets are written and checked by their sets. Larger buckets get the sets, so
-    what is joined by a checked pair is not compared again; above ``bucket`` rows they are dealt in
-    cells of two parts.
-    """
-    rows = first.select("row", "fp", F.posexplode("bands").alias("table", "key"))
-    sizes = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(rows.join(materialise(sizes, "bucket_sizes"), ["table", "key"]), "shared_buckets")
-    order = ["table", "key", "cell", "side", "fp", "row"]
-    whole = shared.where(F.col("n") <= PAIRED).select("table", "key", F.lit(0).alias("cell"), F.lit(0).alias("side"), "fp", "row")
-    whole = whole.repartition("table", "key").sortWithinPartitions(*order)
-    pairs = materialise(whole.mapInArrow(partial(_close_pairs, like=like), "a long, b long").distinct(), "close_pairs")
-
-    large = shared.where(F.col("n") > PAIRED)
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(large.select("row")).distinct()
-    wanted = materialise(first.select("row", "digest", "id").join(wanted, "row"), "compared")
-    named = texts.join(wanted.select(F.col("id").alias("doc")).distinct(), "doc", "left_semi").select("text")
-    sets = named.mapInArrow(partial(_shingle_sets, like=like), "digest binary, set binary, times binary")
-    sets = sets.join(wanted.select("row", "digest"), "digest").groupBy("row").agg(F.max("set").alias("set"), F.max("times").alias("times"))
-    sets = materialise(sets, "shingle_sets")
-
-    other = sets.select(F.col("row").alias("b"), F.col("set").alias("b_set"), F.col("times").alias("b_times"))
-    beside = pairs.join(sets, pairs["a"] == sets["row"]).join(other, "b").select("a", "b", "set", "times", "b_set", "b_times")
-    links = beside.mapInArrow(partial(_checked, like=like), "a long, b long")
-    if large.isEmpty():
-        return links
-    parts = F.when(F.col("n") > bucket, F.ceil(F.col("n") / (bucket // 2))).otherwise(1).cast("int")
-    cells = large.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    cells = cells.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high = F.least("own", "peer"), F.greatest("own", "peer")
-    cells = cells.select("table", "key", (low * F.col("parts") + high).alias("cell"), (F.col("own") > F.col("peer")).cast("int").alias("side"), "fp", "row")
-    dealt = cells.join(sets, "row").select(*order, "set", "times").repartition("table", "key", "cell").sortWithinPartitions(*order)
-    return links.unionByName(dealt.mapInArrow(partial(_alike_links, like=like), "a long, b long")).distinct()
-
-
-def simhash_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    bands: int = 20, rows: int = 5,
-) -> DataFrame:
-    """``node, component`` (ids) of the documents that have a near copy under another id.
-
-    Near copies have an exact Jaccard similarity of ``similarity`` in distinct shingles (see ``alike``).
-    Pairs are proposed by ``bands`` keys of ``rows`` smallest shingle hashes; at a similarity of 0.8
-    one pair in 2,800 shares none, and fewer above. A proposed pair never links without the exact check.
-    Texts without words are no copies of anything; rows without an id are left out.
-    """
-    like = Likeness(similarity, shingle, bands, rows)
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
-    texts = texts.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    prints = texts.mapInArrow(partial(_sketches, like=like), "doc long, digest binary, bands array<long>, fp long")
-    prints = materialise(prints, "fingerprints")
-    first = prints.groupBy("digest").agg(F.min("doc").alias("id"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
-    first = materialise(first.withColumn("row", F.monotonically_increasing_id()), "distinct_fingerprints")
-    same = prints.select("doc", "digest").join(first.select("digest", "id"), "digest").where("doc != id")
-    same = same.select(F.col("doc").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialise(alike_links(texts, first, like), "links")
-    names = first.select("row", "id").join(links.select(F.col("a").alias("row")).union(links.select("b")).distinct(), "row")
-    names = materialise(names, "linked")
-    ends = links.join(names.select(F.col("row").alias("a"), F.col("id").alias("a_id")), "a")
-    ends = ends.join(names.select(F.col("row").alias("b"), F.col("id").alias("b_id")), "b")
-    return connected_components(ends.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(same))
-
-
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the smallest id stays.
-
-    Same columns as ``docs``. Rows with a null id or a text without words always stay.
+    Components are those of ``simhash_components``. Rows without an id always stay, repeated rows stay or
+    go together, and an id with several texts goes only if all of them have a smaller id in their
+    component, so no component loses its last row. Texts without words are near copies of one another.
     """
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    gone = materialise(groups.where("node != component").select(F.col("node").alias("_simhash_gone")).distinct(), "near_copies")
-    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    return docs.join(counted(gone), (docs[id_col] == gone["_simhash_gone"]) & ~wordless, "left_anti")
+    groups = simhash_components(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col), id_col, text_col, shingle, radius)
+    own = F.col(id_col).cast("long") == F.col("component_id")
+    # an id is in the list once, so no key of the join is hot on both sides
+    gone = groups.groupBy(F.col(id_col).alias("_simhash_gone")).agg(F.max(own).alias("_own")).where("not _own").drop("_own")
+    gone = materialise(gone, "near_copies")
+    return docs.join(counted(gone), docs[id_col] == gone["_simhash_gone"], "left_anti")
