@@ -3,7 +3,8 @@
 Texts are compared with letters in lower case and white space runs as one space. A passage is a
 window of a benchmark item. If a document has it with at most k edits, the two share at least
 ``w + 1 - q * (k + 1)`` q-grams, and these lie on diagonals that differ by at most k, so they all fall
-in one of the bands of 2k + 2 diagonals that start every k + 1.
+in one of the bands of 2k + 2 diagonals that start every k + 1. Passages too short for that bound to be
+positive are looked for by shorter q-grams.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Longest q-grams; items with fewer characters are not looked for.
 Q = 10
 #: Characters of a passage, and between the starts of two passages of an item.
 WINDOW, STRIDE = 100, 10
@@ -59,37 +61,49 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 @dataclass
-class Index:
-    """q-grams of a shard of benchmark items, and their passages."""
+class Grams:
+    """The q-grams of those items whose passages are looked for by that q."""
 
-    ids: list
-    texts: list[str]
+    q: int
     grams: np.ndarray
     first: np.ndarray
     item: np.ndarray
     place: np.ndarray
     table: np.ndarray
-    least: np.ndarray
-    band: int
-    longest: int
 
     @staticmethod
-    def of(ids: list, texts: list[str]) -> Index:
-        hashes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n, text in enumerate(texts):
-            h = gram_hashes(_codes(text))
-            hashes.append(h)
-            item.append(np.full(len(h), n))
-            place.append(np.arange(len(h)))
+    def of(q: int, texts: dict[int, str]) -> Grams:
+        hashes = [gram_hashes(_codes(text), q) for text in texts.values()]
         flat = np.concatenate(hashes)
+        item = np.repeat(list(texts), [len(h) for h in hashes])
+        place = np.concatenate([np.arange(len(h)) for h in hashes])
         order = np.argsort(flat, kind="stable")
         grams, first = np.unique(flat[order], return_index=True)
         table = np.zeros(1 << TABLE_BITS, bool)
         table[_slot(grams)] = True
-        return Index(
-            ids, texts, grams, np.append(first, len(flat)), np.concatenate(item)[order], np.concatenate(place)[order],
-            table, np.array([_shared(min(WINDOW, len(t))) for t in texts]), int(EDITS * WINDOW) + 1, max(map(len, texts), default=0),
-        )
+        return Grams(q, grams, np.append(first, len(flat)), item[order], place[order], table)
+
+
+@dataclass
+class Index:
+    """A shard of benchmark items and their q-grams."""
+
+    ids: list
+    texts: list[str]
+    parts: list[Grams]
+    least: np.ndarray
+    band: int
+    longest: int
+
+    @staticmethod
+    def of(ids: list, texts: list[str]) -> Index:
+        by_q: dict[int, dict[int, str]] = {}
+        for n, text in enumerate(texts):
+            if len(text) >= Q:
+                by_q.setdefault(gram_size(min(WINDOW, len(text))), {})[n] = text
+        parts = [Grams.of(q, of) for q, of in sorted(by_q.items())]
+        least = np.array([_shared(min(WINDOW, len(t))) for t in texts], np.int64)
+        return Index(ids, texts, parts, least, int(EDITS * WINDOW) + 1, max(map(len, texts), default=0))
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
@@ -103,9 +117,14 @@ def passages(length: int) -> Iterator[tuple[int, int]]:
         yield start, min(length, start + WINDOW)
 
 
+def gram_size(width: int) -> int:
+    """The longest q up to ``Q`` for which a passage within its edit budget shares one q-gram at least."""
+    return min(Q, width // (int(EDITS * width) + 1))
+
+
 def _shared(width: int) -> int:
     """q-grams that a passage within its edit budget shares at least."""
-    return max(1, width + 1 - Q * (int(EDITS * width) + 1))
+    return width + 1 - gram_size(width) * (int(EDITS * width) + 1)
 
 
 def align(pattern: str, region: str, budget: int, low: int, high: int) -> tuple[int, int] | None:
@@ -136,33 +155,39 @@ def align(pattern: str, region: str, budget: int, low: int, high: int) -> tuple[
     return (int(row[best]), int(low + len(letters) + best)) if row[best] <= budget else None
 
 
-def _hits(text: str, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hits(text: str, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document place, item and item place of every shared q-gram."""
-    hashes = gram_hashes(_codes(text))
-    at = np.flatnonzero(index.table[_slot(hashes)])
-    found = np.searchsorted(index.grams, hashes[at])
-    same = (found < len(index.grams)) & (index.grams[np.minimum(found, len(index.grams) - 1)] == hashes[at])
+    hashes = gram_hashes(_codes(text), grams.q)
+    at = np.flatnonzero(grams.table[_slot(hashes)])
+    found = np.searchsorted(grams.grams, hashes[at])
+    same = (found < len(grams.grams)) & (grams.grams[np.minimum(found, len(grams.grams) - 1)] == hashes[at])
     at, found = at[same], found[same]
-    n = index.first[found + 1] - index.first[found]
-    entry = np.repeat(index.first[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(at, n), index.item[entry], index.place[entry]
+    n = grams.first[found + 1] - grams.first[found]
+    entry = np.repeat(grams.first[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(at, n), grams.item[entry], grams.place[entry]
+
 
+def _regions(text: str, starts: np.ndarray, index: Index, grams: Grams) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Document, item, band and sorted item places of the bands that share enough q-grams.
 
-def _regions(text: str, index: Index) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Item, band and sorted item places of the bands that share enough q-grams with a text."""
-    spot, item, place = _hits(text, index)
+    ``starts`` are the places in ``text`` where documents begin; bands are counted from there, so that
+    what is found in a document does not depend on those beside it.
+    """
+    spot, item, place = _hits(text, grams)
     if not len(spot):
         return
-    k = index.band
-    band = (spot - place + index.longest) // k
-    band, item, place = np.concatenate([band, band - 1]), np.tile(item, 2), np.tile(place, 2)
-    order = np.lexsort((place, band, item))
-    band, item, place = band[order], item[order], place[order]
-    new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (band[1:] != band[:-1])]))
+    doc = np.searchsorted(starts, spot, side="right") - 1
+    band = (spot - starts[doc] - place + index.longest) // index.band
+    doc, item, place = np.tile(doc, 2), np.tile(item, 2), np.tile(place, 2)
+    band = np.concatenate([band, band - 1])
+    order = np.lexsort((place, band, item, doc))
+    doc, band, item, place = doc[order], band[order], item[order], place[order]
+    edge = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
+    new = np.flatnonzero(np.concatenate([[True], edge]))
     size = np.diff(np.append(new, len(item)))
     enough = size >= index.least[item[new]]
     for a, n in zip(new[enough], size[enough], strict=True):
-        yield int(item[a]), int(band[a]), np.unique(place[a : a + n])
+        yield int(doc[a]), int(item[a]), int(band[a]), np.unique(place[a : a + n])
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -180,33 +205,34 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 def find_leaks(texts: list[str], index: Index) -> list[dict[int, tuple[int, int, int]]]:
     """Per normalised text and item the first passage found: start, end and edits."""
     found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-    if not len(index.grams):
-        return found
     # line ends, which normalised texts lack, keep passages from reaching over two texts
     between = "\n" * WINDOW
     for first, group in _groups(texts):
         joined = between.join(group)
         starts = np.cumsum([0, *(len(t) + WINDOW for t in group[:-1])])
+        # only a text that is alone can be longer than a piece
         for offset in range(0, len(joined), PIECE):
             # a passage that begins in a piece is found in it whole
             piece = joined[offset : offset + PIECE + 2 * WINDOW]
-            for item, band, places in _regions(piece, index):
-                hit = _verify(piece, index, item, band, places)
-                if hit:
-                    n = int(np.searchsorted(starts, offset + hit[1] - 1, side="right")) - 1
-                    place = (max(0, int(offset + hit[0] - starts[n])), int(offset + hit[1] - starts[n]), hit[2])
-                    found[first + n].setdefault(item, place)
+            for grams in index.parts:
+                for n, item, band, places in _regions(piece, starts, index, grams):
+                    if item in found[first + n]:
+                        continue
+                    hit = _verify(group[n] if len(group) > 1 else piece, index, item, band, places)
+                    if hit:
+                        found[first + n][item] = (offset + hit[0], offset + hit[1], hit[2])
     return found
 
 
 def _verify(piece: str, index: Index, item: int, band: int, places: np.ndarray) -> tuple[int, int, int] | None:
     """Start, end and edits of the first passage of the item that is there within its budget."""
     whole = index.texts[item]
+    q = gram_size(min(WINDOW, len(whole)))
     low = band * index.band - index.longest
     high = low + 2 * index.band - 1
     for start, end in passages(len(whole)):
         width = end - start
-        a, b = np.searchsorted(places, [start, end - Q + 1])
+        a, b = np.searchsorted(places, [start, end - q + 1])
         if b - a < _shared(width):
             continue
         budget = int(EDITS * width)
@@ -223,7 +249,7 @@ def _verify(piece: str, index: Index, item: int, band: int, places: np.ndarray)
 
 
 def _shards(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
-    """Indexes of the benchmark, each of bounded size; items shorter than a q-gram have none."""
+    """Indexes of the benchmark, each of bounded size; items under ``Q`` characters are in none."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // SHARD_CHARS) or 1
@@ -265,7 +291,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, in their columns, whose text holds no passage of the benchmark."""
+    """The rows of ``docs``, in their columns, whose text holds no passage of the benchmark.
+
+    Passages are those of ``contaminated``. Null and empty texts and null ids stay, repeated rows stay or
+    go together, and with an empty benchmark all rows stay.
+    """
     spark, at = docs.sparkSession, docs.columns.index(text_col)
     for index in _shards(benchmark, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(index)
