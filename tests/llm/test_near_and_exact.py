@@ -58,7 +58,7 @@ def test_blocks_find_every_close_pair_and_no_other(size):
     fp = np.array([centre ^ np.uint64(sum(1 << int(p) for p in rng.choice(order, rng.integers(0, 6), replace=False))) for _ in range(size)], np.uint64)
     zero = np.zeros(size, np.int64)
     for radius in (0, 1, 2, 3):
-        rows = simhash._Rows(fp, [], radius, 0)
+        rows = simhash._Rows(fp, radius)
         links = [(int(a), int(b)) for x, y in simhash._compare(zero, zero, zero, np.arange(size), rows) for a, b in zip(x, y)]
         pairs = [(i, j) for i in range(size) for j in range(i + 1, size) if int(fp[i] ^ fp[j]).bit_count() <= radius]
         assert groups(links, range(size)) == groups(pairs, range(size))
@@ -69,7 +69,7 @@ def test_links_of_full_buckets(spark, bucket):
     rng = random.Random(2)
     centres = [rng.getrandbits(64) for _ in range(12)]
     values = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(40)})
-    table = spark.createDataFrame([(0, signed(v), i) for i, v in enumerate(values)], "word int, fp bigint, id bigint")
+    table = spark.createDataFrame([(signed(v), i) for i, v in enumerate(values)], "fp bigint, id bigint")
     links = [tuple(r) for r in simhash.close_links(table, bucket=bucket).collect()]
     pairs = [(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 3]
     assert groups(links, range(len(values))) == groups(pairs, range(len(values)))
@@ -88,88 +88,40 @@ def test_simhash_of_odd_documents(spark, docs):
     assert simhash.simhash_components(docs.limit(0)).count() == 0
 
 
+def near_kept(rows):
+    """Ids of (id, text) rows that near dedup keeps."""
+    prints = [(i, slow_fingerprint(t)) for i, t in rows if i is not None]
+    values = sorted({f for _, f in prints})
+    root = groups([(a, b) for n, a in enumerate(values) for b in values[n + 1 :] if (a ^ b).bit_count() <= 3], values)
+    smallest = {}
+    for i, f in prints:
+        smallest[root[f]] = min(i, smallest.get(root[f], i))
+    return {i for i, f in prints if smallest[root[f]] == i}
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, docs):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     texts = []
     for n in range(40):
-        words = [word() for _ in range(300)]
+        words = [word() for _ in range(900)]
         texts.append((100 * n, " ".join(words)))
         for c in range(n % 3):
             copy = list(words)
-            copy[rng.randrange(300)] = word()
+            copy[rng.randrange(900)] = word()
             texts.append((100 * n + c + 1, " ".join(copy)))
+    texts += [(100, "".join(rng.choices("xyz ", k=400))), (9001, texts[0][1])]  # an id with two texts; a copy
     table = spark.createDataFrame(texts, "doc_id bigint, text string")
     kept = {r["doc_id"] for r in simhash.simhash_dedup(table).collect()}
-    assert kept == {100 * n for n in range(40)}
+    assert kept == near_kept(texts) and {100 * n for n in range(40)} <= kept and len(kept) < 50
     left = simhash.simhash_dedup(docs)
     assert left.columns == docs.columns
     ids = sorted(str(r["doc_id"]) for r in left.select("doc_id").collect())
-    assert ids == sorted(["1", "3", "4", "5", "6", "8", "9", "10", "None", "None"])
+    stay = near_kept(DOCS)
+    assert ids == sorted(str(i) for i, _ in DOCS if i is None or i in stay)
     assert simhash.simhash_dedup(docs.limit(0)).count() == 0
 
 
-def jaccard(a, b, n=5):
-    a, b = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split()))
-    return len(a & b) / len(a | b)
-
-
-EDITS = {
-    "substituted": lambda w, n, new: [new() if i % (len(w) // n) == 0 and i // (len(w) // n) < n else x for i, x in enumerate(w)],
-    "appended": lambda w, n, new: w + [new() for _ in range(n)],
-    "prepended": lambda w, n, new: [new() for _ in range(n)] + w,
-    "inserted": lambda w, n, new: w[: len(w) // 2] + [new() for _ in range(n)] + w[len(w) // 2 :],
-    "cut": lambda w, n, new: w[n:],
-}
-
-
-@pytest.mark.parametrize("words", [40, 300])
-def test_near_copies_of_every_edit_kind_are_those_of_exact_jaccard(spark, words):
-    rng = random.Random(words)
-    word = lambda: "".join(rng.choices("abcdefgh", k=6))
-    texts, want = [], []
-    for n in range(300):
-        kind = list(EDITS)[n % len(EDITS)]
-        base = [word() for _ in range(words)]
-        edits = rng.randint(1, max(1, words // (25 if kind == "substituted" else 4)))
-        copy = " ".join(EDITS[kind](base, edits, word))
-        texts += [(2 * n, " ".join(base)), (2 * n + 1, copy)]
-        want += [(2 * n + 1, 2 * n)] if jaccard(texts[-2][1], copy) >= 0.8 else []
-    assert 100 < len(want) < 290
-    rows = simhash.simhash_groups(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
-    found = {(r["node"], r["component"]) for r in rows if r["node"] != r["component"]}
-    assert found == set(want)
-
-
-def test_a_shared_line_repeated_often_makes_no_near_copy(spark):
-    rng = random.Random(7)
-    word = lambda: "".join(rng.choices("abcdefgh", k=6))
-    texts = []
-    for n in range(120):
-        line = [word() for _ in range(20)] if n % 2 == 0 else line
-        texts.append((n, " ".join([word() for _ in range(100)] + line * (10, 20, 40)[n // 2 % 3])))
-    assert max(jaccard(a, b) for (_, a), (_, b) in zip(texts[::2], texts[1::2])) < 0.2
-    assert simhash.simhash_groups(spark.createDataFrame(texts, "doc_id bigint, text string")).count() == 0
-
-
-@pytest.mark.parametrize("bucket", [4096, 8])
-def test_large_groups_of_near_copies_link_by_exact_jaccard(spark, monkeypatch, bucket):
-    monkeypatch.setattr(simhash.alike_links, "__defaults__", (bucket,))
-    rng = random.Random(8)
-    word = lambda: "".join(rng.choices("abcdefgh", k=6))
-    texts = []
-    for _ in range(3):
-        base = [word() for _ in range(100)]
-        for _ in range(70):
-            copy = base + [word() for _ in range(rng.randint(0, 40))]
-            copy[rng.randrange(100)] = word()
-            texts.append((len(texts), " ".join(copy)))
-    pairs = [(i, j) for i, a in texts for j, b in texts if i < j and i // 70 == j // 70 and jaccard(a, b) >= 0.8]
-    root = groups(pairs, range(len(texts)))
-    rows = simhash.simhash_groups(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
-    assert {n: c for n, c in ((r["node"], r["component"]) for r in rows) if n != c} == {n: c for n, c in root.items() if n != c}
-
-
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_duplicates(spark, docs, keep):
     pick = min if keep == "smallest" else max

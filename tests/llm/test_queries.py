@@ -8,11 +8,11 @@ import pytest
 import __spark_entry__ as contract
 import corpus_pipeline
 from check_oracles import compare
-from readgrove.llm import decontam, simhash
+from readgrove.llm import decontam
 from readgrove.llm.oracles import ORACLES
 from readgrove.llm.queries import QUERIES
 
-from .test_near_and_exact import groups
+from .test_near_and_exact import near_kept
 from .test_texts import checked
 
 TABLES = Path("/root/testdata/sf0.001")
@@ -21,7 +21,7 @@ pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="the given tables ar
 
 def test_one_query_per_operator_is_registered():
     names = contract.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in names and set(QUERIES) | {"pipeline"} <= set(names)
     assert set(ORACLES) <= set(contract.oracle_sql())
 
@@ -50,14 +50,8 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     last = {r["text"]: max(x["doc_id"] for x in seen["quality"] if x["text"] == r["text"]) for r in seen["quality"]}
     assert sorted(r["doc_id"] for r in seen["exact_dedup"]) == sorted(last.values())
 
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"], 1, 3) for r in seen["exact_dedup"] if r["text"].split()}
-    wide = {r["doc_id"]: simhash.fingerprint(r["text"], 5, 4) for r in seen["exact_dedup"]}
-    far = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(wide[a], wide[b]))
-    close = lambda a, b: any((x ^ y).bit_count() <= 3 for x, y in zip(prints[a], prints[b])) and far(a, b) <= simhash.wide_limit(0.8, 4)
-    ids = sorted(prints)
-    root = groups([(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if close(a, b)], ids)
-    kept = [r["doc_id"] for r in seen["exact_dedup"] if root.get(r["doc_id"], r["doc_id"]) == r["doc_id"]]
-    assert sorted(r["doc_id"] for r in seen["near_dedup"]) == sorted(kept)
+    near = near_kept([(r["doc_id"], r["text"]) for r in seen["exact_dedup"]])
+    assert sorted(r["doc_id"] for r in seen["near_dedup"]) == sorted(near) and len(near) < len(seen["exact_dedup"])
 
     passages = []
     for row in spark.read.parquet(str(TABLES / "benchmark.parquet")).collect():

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -284,6 +285,32 @@ def test_passages_within_the_budget_are_found_and_no_others():
             assert 0 <= hits[n][0] < hits[n][1] <= len(text)
 
 
+def test_a_passage_is_found_whatever_stands_beside_it():
+    rng = random.Random(19)
+    item = "".join(rng.choices("abcdefgh ", k=600)).strip()
+    item = decontam.normalise(item)
+    index = decontam.Index.of([1, 2], [item, decontam.normalise("".join(rng.choices("ijklmn ", k=300)))])
+    texts = [item[:150], item[250:400], "other words", item[100:260], index.texts[1][20:180], item[:150], "", item[250:400]]
+    alone = [decontam.find_leaks([t], index)[0] for t in texts]
+    assert [sorted(hits) for hits in alone] == [[0], [0], [], [0], [1], [0], [], [0]]
+    for _ in range(40):
+        order = rng.sample(range(len(texts)), len(texts))
+        assert decontam.find_leaks([texts[n] for n in order], index) == [alone[n] for n in order]
+
+
+def test_short_items_are_found_within_their_budget():
+    rng = random.Random(20)
+    for width in range(decontam.Q, 140):
+        item = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=width))
+        index = decontam.Index.of([width], [item])
+        window = min(width, decontam.WINDOW)
+        budget = int(decontam.EDITS * window)
+        letters = list(item[:window])
+        for n in range(budget):  # spread so that as few q-grams as can be stay whole
+            letters[(n + 1) * window // (budget + 1)] = "0"
+        assert decontam.find_leaks(["xyz " + "".join(letters) + " zyx"], index)[0], width
+
+
 def test_decontamination(spark, docs):
     item = "what is the capital of the kingdom of the far north and who has built its oldest bridge over the river"
     bench = spark.createDataFrame([(1, item), (2, None), (3, "tiny")], "item_id bigint, text string")
@@ -296,6 +323,54 @@ def test_decontamination(spark, docs):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.decontaminate(docs, bench.limit(0)).count() == len(DOCS)
 
 
+def slow_pool(vectors, text):
+    """Word by word what ``quality.Pooler`` counts and multiplies."""
+    words, forms = ({t: n + first for n, t in enumerate(known)} for known, first in ((vectors.words, 1), (vectors.shapes, 2)))
+    total, n = np.zeros(2 * quality.SIZE), 0
+    for part in quality.text_parts(text or ""):
+        last = None
+        for long in part.split():
+            for at in range(0, len(long), quality.LONG):
+                word = long[at : at + quality.LONG]
+                letters = "".join(c for c in word.lower() if c.isalpha())
+                sign = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isnumeric() else c for c in word)
+                sign = re.sub(r"(.)\1+", r"\1", sign)
+                total[: quality.SIZE] += vectors.word_table[words.get(letters, 0)]
+                total[quality.SIZE :] += vectors.shape_table[forms.get(sign, 0)] + (word == last) * vectors.shape_table[1]
+                last, n = word, n + 1
+    return total / max(n, 1)
+
+
+def random_vectors(seed, words, forms):
+    rng = np.random.default_rng(seed)
+    tables = [np.round(rng.normal(size=(n, quality.SIZE)) / quality.GRID) * quality.GRID for n in (len(words) + 1, len(forms) + 2)]
+    return quality.Vectors(words, forms, *tables)
+
+
+def test_pooling_equals_word_by_word(monkeypatch):
+    vectors = random_vectors(1, ["the", "cat", "écoute", "x" * 64], ["a", "A", "Aa", "a.", "0", "A!", "a0a"])
+    rng = random.Random(21)
+    parts = ["the", "The", "CAT!!", "cat.", "x" * 150, "12", "Écoute", " ", " ", "\n\t", "a1b", "...", "日本"]
+    texts = [None, "", " \n ", "x" * 1000, *("".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(400))]
+    want = [slow_pool(vectors, t) for t in texts]
+    assert (quality.Pooler(vectors).pool(texts) == np.array(want)).all()
+    assert all((quality.Pooler(vectors).pool([t])[0] == w).all() for t, w in zip(texts[:50], want))
+    # the end of a long text counts: not only a first stretch of it
+    assert (quality.Pooler(vectors).pool(["q" * 5000 + "."])[0] != quality.Pooler(vectors).pool(["q" * 5000 + "!"])[0]).any()
+    monkeypatch.setattr(quality, "PIECE", 40)
+    assert (quality.Pooler(vectors).pool(texts) == np.array([slow_pool(vectors, t) for t in texts])).all()
+
+
+def test_two_models_in_one_worker_score_by_their_own_vectors():
+    zero, layers = np.zeros(2 * quality.SIZE), [np.random.default_rng(3).normal(size=s) for s in ((2 * quality.SIZE, quality.HIDDEN), quality.HIDDEN, quality.HIDDEN, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["the cat"] * 3)], ["text"])
+    for seed in range(50):
+        model = quality.Model(random_vectors(seed, ["the", "cat"], ["a"]), zero, zero + 1, layers, 1.0)
+        want = model.probability(np.array([slow_pool(model.vectors, "the cat")] * 3))
+        assert (next(quality._scores(model, iter([batch]), 0))[1] == want).all()
+        del model
+
+
 def test_quality_learns_and_keeps_to_its_rows(spark, docs):
     rng = random.Random(10)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 8)))
