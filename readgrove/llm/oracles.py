@@ -59,6 +59,72 @@ LEFT JOIN told t ON t.node = s.node AND s.node <> ''
 """
 
 
+ORACLES["op11_fill_in_middle"] = r"""
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+    FROM documents
+), hashed AS (
+    SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+           ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+    FROM units
+), cut AS (
+    SELECT doc_id, text, n,
+           CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+           array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+           array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+           array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:n], '') AS suffix
+    FROM hashed
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), lists AS (
+    SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), words AS (
+    SELECT lang, p, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM lists
+), runs AS (
+    SELECT lang, word AS a, lead(word, 1) OVER piece AS b, lead(word, 2) OVER piece AS c, lead(word, 3) OVER piece AS d
+    FROM words WINDOW piece AS (PARTITION BY p ORDER BY i)
+), grams AS (
+    SELECT lang, m, phrase, count(*)::HUGEINT AS a FROM (
+        SELECT lang, 1 AS m, a AS phrase FROM runs UNION ALL SELECT lang, 2, a || ' ' || b FROM runs WHERE b IS NOT NULL
+        UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c FROM runs WHERE c IS NOT NULL
+        UNION ALL SELECT lang, 4, a || ' ' || b || ' ' || c || ' ' || d FROM runs WHERE d IS NOT NULL)
+    GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(a)::BIGINT AS n FROM grams WHERE m = 1 GROUP BY lang
+), often AS (
+    SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM grams WHERE a >= 30
+), cuts AS (
+    SELECT o.lang, o.m, o.phrase, o.a, k, x.a AS l, y.a AS r, (2000000 * o.a) // (x.a + y.a) AS score
+    FROM often o JOIN (VALUES (1), (2), (3)) c(k) ON c.k < o.m
+    JOIN often x ON x.lang = o.lang AND x.phrase = array_to_string(o.w[1:k], ' ')
+    JOIN often y ON y.lang = o.lang AND y.phrase = array_to_string(o.w[k + 1:o.m], ' ')
+), worst AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ones AS (
+    SELECT lang, array_to_string(w[s:s + size - 1], ' ') AS phrase, max(a) AS a
+    FROM often, (VALUES (2), (3)) t(size), (VALUES (1), (2), (3)) u(s) WHERE m > size AND s + size - 1 <= m GROUP BY ALL
+), left_over AS (
+    SELECT w.* FROM worst w LEFT JOIN inner_ones i ON i.lang = w.lang AND i.phrase = w.phrase WHERE i.a IS NULL OR 100 * i.a < 80 * w.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM left_over JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -82,12 +148,13 @@ WITH known AS (
     SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents
 ), forms AS (
     SELECT n, doc_id, 0 AS form, string_split(regexp_replace(regexp_replace(text, '
-[ 	]*
-', chr(1), 'g'), '([.!?])[ 	
+[ 	
+]*
+', chr(1), 'g'), '([.!?])[ 	
 ]+', '' || chr(1), 'g'), chr(1)) AS list
     FROM texts WHERE regexp_matches(text, '{CUES}')
     UNION ALL
-    SELECT n, doc_id, 1, string_split(regexp_replace(regexp_replace(text, '([.!?])[ 	
+    SELECT n, doc_id, 1, string_split(regexp_replace(regexp_replace(text, '([.!?])[ 	
 ]+', '' || chr(1), 'g'), '
 ', chr(1), 'g'), chr(1))
     FROM texts WHERE regexp_matches(text, '{CUES}')

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from readgrove.llm.collocations import collocations
 from readgrove.llm.decontam import contaminated
 from readgrove.llm.exact import exact_duplicates
 from readgrove.llm.licenses import find_licenses
+from readgrove.llm.middles import fill_in_middle, restored
 from readgrove.llm.packing import pack
 from readgrove.llm.pii import find_personal_data
 from readgrove.llm.quality import quality_scores
 from readgrove.llm.secrets import find_secrets
 from readgrove.llm.simhash import simhash_components
+from readgrove.llm.sketches import followed_sketches, resemblance, sketch_text
 from readgrove.llm.tokens import count_tokens
 from readgrove.llm.urls import judge_urls, rule_table
 
@@ -88,3 +92,30 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named or quoted in every document."""
     return find_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every document is cut for filling in, with digests of the output and of the text rebuilt from it."""
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness to it and to the next document."""
+    found = followed_sketches(table(spark, sf_dir, "documents"))
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch_text(own).alias("fingerprint"),
+        sketch_text(edited).alias("edited_fingerprint"), resemblance(own, edited).alias("near_edited"), resemblance(own, after).alias("near_next"),
+    )
