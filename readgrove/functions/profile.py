@@ -23,35 +23,52 @@ def list_array(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def token_profile(k: int):
-    """Column function: read -> ascending tokens; empty for reads shorter than ``k``."""
+def tokens_of(read: pa.Array, k: int, ambiguous: str = "as_a") -> pa.ListArray:
+    """Ascending tokens of each read; none for reads shorter than ``k``.
+
+    Letters outside the four bases count as the first one, or with ``ambiguous="skip"`` no window has any.
+    """
     bits = 2 * k
+    codes = np.zeros(256, np.int64)
+    for number, base in enumerate(BASES):
+        codes[[ord(base), ord(base.lower())]] = number
+    raw = np.frombuffer("".join(read.to_pylist()).encode("latin-1", "replace"), np.uint8)
+    letters = codes[raw]
+    lengths = pc.utf8_length(read).to_numpy(zero_copy_only=False).astype(np.int64)
+    windows = np.maximum(lengths - k + 1, 0)
+    offsets = np.concatenate(([0], np.cumsum(windows)))
+    row = np.repeat(np.arange(len(windows)), windows)
+    begins = np.cumsum(lengths) - lengths
+    at = np.arange(offsets[-1]) + np.repeat(begins - offsets[:-1], windows)
+    word = np.zeros(offsets[-1], np.int64)
+    for step in range(k):
+        word = (word << 2) | letters[at + step]
+    if ambiguous == "skip":
+        # odd letters before each place; a window is clean if none lie in it
+        odd = np.concatenate(([0], np.cumsum((letters == 0) & ~np.isin(raw, [ord(BASES[0]), ord(BASES[0].lower())]))))
+        clean = odd[at + k] == odd[at]
+        row, word = row[clean], word[clean]
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(windows)))))
+
+    tokens = np.sort((row << bits) | word) & ((1 << bits) - 1)
+    place = np.arange(len(tokens))
+    new_run = np.ones(len(tokens), bool)
+    new_run[1:] = (tokens[1:] != tokens[:-1]) | (row[1:] != row[:-1])
+    occurrence = place - np.maximum.accumulate(np.where(new_run, place, 0))
+    if occurrence.any():
+        tokens |= occurrence << bits
+        tokens = tokens[np.lexsort((tokens, row))]
+    return list_array(offsets, tokens)
+
+
+def token_profile(k: int, ambiguous: str = "as_a"):
+    """Column function: read -> ``tokens_of`` it."""
+    if ambiguous not in ("as_a", "skip"):
+        raise ValueError(f"unknown treatment of letters {ambiguous!r}")
 
     @F.arrow_udf(ArrayType(LongType()))
     def profile(read: pa.Array) -> pa.Array:
-        codes = np.zeros(256, np.int64)
-        for number, base in enumerate(BASES):
-            codes[[ord(base), ord(base.lower())]] = number
-        letters = codes[np.frombuffer("".join(read.to_pylist()).encode("latin-1", "replace"), np.uint8)]
-        lengths = pc.utf8_length(read).to_numpy(zero_copy_only=False).astype(np.int64)
-        windows = np.maximum(lengths - k + 1, 0)
-        offsets = np.concatenate(([0], np.cumsum(windows)))
-        row = np.repeat(np.arange(len(windows)), windows)
-        begins = np.cumsum(lengths) - lengths
-        at = np.arange(offsets[-1]) + np.repeat(begins - offsets[:-1], windows)
-        word = np.zeros(offsets[-1], np.int64)
-        for step in range(k):
-            word = (word << 2) | letters[at + step]
-
-        tokens = np.sort((row << bits) | word) & ((1 << bits) - 1)
-        place = np.arange(len(tokens))
-        new_run = np.ones(len(tokens), bool)
-        new_run[1:] = (tokens[1:] != tokens[:-1]) | (row[1:] != row[:-1])
-        occurrence = place - np.maximum.accumulate(np.where(new_run, place, 0))
-        if occurrence.any():
-            tokens |= occurrence << bits
-            tokens = tokens[np.lexsort((tokens, row))]
-        return list_array(offsets, tokens)
+        return tokens_of(read, k, ambiguous)
 
     return profile
 
@@ -99,6 +116,10 @@ def _offsets(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes)))
 
 
+def _row_targets(others: pa.Array):
+    return lambda _, row: [x.values.to_numpy() for x in others[row].values]
+
+
 @F.arrow_udf(ArrayType(DoubleType()))
 def overlap_distances(key: pa.Array, profile: pa.Array, others: pa.Array) -> pa.Array:
     """K-mer distance of each profile to every profile in ``others``, in order.
@@ -108,26 +129,40 @@ def overlap_distances(key: pa.Array, profile: pa.Array, others: pa.Array) -> pa.
     """
     if len(key) == 0:
         return pa.array([], pa.list_(pa.float64()))
-    targets = lambda _, row: [x.values.to_numpy() for x in others[row].values]
-    values, sizes = overlaps(key, profile, targets)
+    values, sizes = overlaps(key, profile, _row_targets(others))
     return list_array(_offsets(sizes), values)
 
 
-def distance_lookup(lists: DataFrame, key: str, profiles: str):
+def read_overlaps(k: int, ambiguous: str = "as_a"):
+    """``overlap_distances`` for reads without a profile, which is made on the way."""
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def distances(key: pa.Array, read: pa.Array, others: pa.Array) -> pa.Array:
+        if len(key) == 0:
+            return pa.array([], pa.list_(pa.float64()))
+        values, sizes = overlaps(key, tokens_of(read, k, ambiguous), _row_targets(others))
+        return list_array(_offsets(sizes), values)
+
+    return distances
+
+
+def distance_lookup(lists: DataFrame, key: str, profiles: str, k: int = 0, ambiguous: str = "as_a"):
     """Column function: (key, profile) -> distances to the key's ``profiles``, in order.
 
     ``lists`` has one row per key and is sent to every executor once, so rows carry only their own
-    profile. The caller has counted that it fits. A key without a row has no distances.
+    profile. The caller has counted that it fits. A key without a row has no distances. With ``k`` the
+    function takes the read instead of its profile, which is made on the way and goes nowhere.
     """
     rows = lists.select(key, profiles).toArrow()
     tokens = {k.as_py(): [x.values.to_numpy() for x in p.values] for k, p in zip(rows.column(0), rows.column(1))}
     shared = lists.sparkSession.sparkContext.broadcast(tokens)
 
     @F.arrow_udf(ArrayType(DoubleType()))
-    def distances(keys: pa.Array, profile: pa.Array) -> pa.Array:
+    def distances(keys: pa.Array, mine: pa.Array) -> pa.Array:
         if len(keys) == 0:
             return pa.array([], pa.list_(pa.float64()))
-        values, sizes = overlaps(keys, profile, lambda k, _: shared.value.get(k, ()))
+        profile = tokens_of(mine, k, ambiguous) if k else mine
+        values, sizes = overlaps(keys, profile, lambda key, _: shared.value.get(key, ()))
         return list_array(_offsets(sizes), values)
 
     return distances

@@ -38,6 +38,11 @@ def kmers(read: Column, k: int) -> Column:
     return F.when(F.length(read) >= k, windows).otherwise(F.array().cast("array<bigint>"))
 
 
+def reverse_complement(read: Column) -> Column:
+    """The read on the other strand; letters outside the four bases stay as they are."""
+    return F.reverse(F.translate(read, "ACGTacgt", "TGCAtgca"))
+
+
 def kmer_distance(shared: Column, windows_a: Column, windows_b: Column) -> Column:
     """``1 - shared / min(windows)``, with the shared k-mers counted as multisets."""
     return F.lit(1.0) - shared / F.least(windows_a, windows_b)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from readgrove.functions.sequence import seq_id
-from readgrove.session import small
+from readgrove.session import materialise, small
 
 MAX_HEADERS = 100_000
 HOT_ROW_BYTES = 64
@@ -60,3 +60,18 @@ def stage_counts(reads: DataFrame, derep: DataFrame, n: int = 2) -> DataFrame:
         F.count(F.lit(1)).alias("unique"), F.count_if(F.col("abundance") >= n).alias("abundant")
     )
     return total.unionByName(unique.unpivot([], ["unique", "abundant"], "stage", "n"))
+
+
+def dereplicate_counted(reads: DataFrame, n: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The unique reads as a written table, and their ``stage_counts``, in the one pass that writes them.
+
+    Spark counts the rows as they go by, so nothing is read again to be counted.
+    """
+    read, kept = Observation(), Observation()
+    seen = reads.observe(read, F.count(F.lit(1)).alias("input"))
+    counts = F.count(F.lit(1)).alias("unique"), F.count_if(F.col("abundance") >= n).alias("abundant")
+    unique = materialise(dereplicate(seen).observe(kept, *counts), "derep")
+    # of a plan that it knows to be empty Spark counts nothing
+    found = dict.fromkeys(("input", "unique", "abundant"), 0) if unique.isEmpty() else {**read.get, **kept.get}
+    stages = [(name, int(value)) for name, value in found.items()]
+    return unique, reads.sparkSession.createDataFrame(stages, "stage string, n bigint")

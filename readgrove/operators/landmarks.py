@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readgrove.functions.profile import distance_lookup, overlap_distances, token_profile
+from readgrove.functions.bounds import read_distances, read_lookup
+from readgrove.functions.profile import distance_lookup, read_overlaps, token_profile
 from readgrove.functions.sequence import pick_key
 from readgrove.session import BROADCAST_BYTES, attach, materialise, small
 
@@ -94,29 +95,40 @@ class _Rule:
     seed: int
     carry: int
     distinct: bool
+    metric: str
+    ambiguous: str
 
 
-def _beside(members: DataFrame, lists: DataFrame, done: int, extent: Extent, rule: _Rule, measure: bool = True) -> DataFrame:
+def _beside(members: DataFrame, lists: DataFrame, done: int, extent: Extent, rule: _Rule, measure: bool = True, exact: bool = True) -> DataFrame:
     """Members with ``fresh``: distances to the landmarks of their cluster not among their ``dists`` yet.
 
+    If not ``exact``, alignment distances above ``d_min`` may come as 1, so that most pairs need no alignment.
+
     The new landmarks of all clusters, at most ``carry`` of each, go to every executor once while
-    their counted bytes allow it; then a row holds no profile but its own.
+    their counted bytes allow it. A row holds its read; its profile is made where it is compared, since
+    that takes less than to write and read the profile.
     """
-    profiles = F.transform(F.slice("lms", done + 1, extent.landmarks + 1), lambda lm: lm["profile"])
+    aligned = rule.metric == "alignment"
+    most = F.lit(1.0) if exact else F.col("d_min")
+    shown = F.transform(F.slice("lms", done + 1, extent.landmarks + 1), lambda lm: lm["read" if aligned else "profile"])
     columns = ["cluster", F.size("lms").alias("ord")]
     if rule.distinct:
         columns.append(F.transform("lms", lambda lm: lm["seq_id"]).alias("chosen"))
     per_cluster = 8 * extent.longest * min(rule.carry, max(1, extent.landmarks))
     lookup = measure and extent.clusters * per_cluster <= BROADCAST_BYTES
     if measure and not lookup:
-        columns.append(profiles.alias("fresh"))
+        columns.append(shown.alias("fresh"))
     row_bytes = 256 + (per_cluster if measure and not lookup else 0)
     joined = attach(members, lists.select(*columns), ["cluster"], extent.clusters, row_bytes, lists, extent.reads)
     if lookup:
-        fresh = distance_lookup(lists.select("cluster", profiles.alias("fresh")), "cluster", "fresh")
-        return joined.withColumn("fresh", fresh("cluster", "profile"))
+        shown = lists.select("cluster", shown.alias("fresh"))
+        if aligned:
+            return joined.withColumn("fresh", read_lookup(shown, "cluster", "fresh")("cluster", "read", most))
+        return joined.withColumn("fresh", distance_lookup(shown, "cluster", "fresh", rule.k, rule.ambiguous)("cluster", "read"))
+    if measure and aligned:
+        return joined.withColumn("fresh", read_distances("read", "fresh", most))
     if measure:
-        return joined.withColumn("fresh", overlap_distances("cluster", "profile", "fresh"))
+        return joined.withColumn("fresh", read_overlaps(rule.k, rule.ambiguous)("cluster", "read", "fresh"))
     return joined
 
 
@@ -125,7 +137,7 @@ def _pick_next(members: DataFrame, lists: DataFrame, done: int, step: int, exten
 
     The step number is read from the lists, so that all steps share their generated code.
     """
-    joined = _beside(members, lists.where(F.col("m") > F.size("lms")), done, extent, rule, step > done)
+    joined = _beside(members, lists.where(F.col("m") > F.size("lms")), done, extent, rule, step > done, exact=False)
     key = pick_key(rule.seed, F.col("cluster"), F.col("ord"), F.col("seq_id"))
     d_min = F.col("d_min")
     if step > done:
@@ -146,7 +158,7 @@ def _pick_next(members: DataFrame, lists: DataFrame, done: int, step: int, exten
         F.col("pick") == key
     )
     new = matched.groupBy("cluster").agg(F.min(F.struct("seq_id", "read")).alias("new"))
-    landmark = F.struct("new.seq_id", "new.read", token_profile(rule.k)("new.read").alias("profile"))
+    landmark = F.struct("new.seq_id", "new.read", token_profile(rule.k, rule.ambiguous)("new.read").alias("profile"))
     new = new.select("cluster", landmark.alias("new"))
     grown = F.when(F.col("new").isNotNull(), F.array_append("lms", F.col("new"))).otherwise(F.col("lms"))
     new = small(new, extent.clusters, 256 + 10 * extent.longest)
@@ -159,7 +171,6 @@ def _absorb(members: DataFrame, lists: DataFrame, done: int, extent: Extent, rul
     return measured.select(
         "seq_id",
         "read",
-        "profile",
         "bucket",
         "cluster",
         F.concat("dists", "fresh").alias("dists"),
@@ -175,10 +186,15 @@ def select_landmarks(
     seed: int = 0,
     carry: int = 8,
     distinct_landmarks: bool = False,
+    metric: str = "kmer",
+    ambiguous: str = "as_a",
 ) -> tuple[DataFrame, DataFrame]:
     """Landmarks of every active cluster, and the distances of the members to them.
 
-    ``members`` holds ``seq_id, read, profile, bucket, cluster``, ``active`` a row ``cluster, size,
+    Distances are of k-mers or, with ``metric="alignment"``, of alignments; then while landmarks are chosen
+    only pairs are aligned that edit distance and length do not show to be farther than the nearest one.
+
+    ``members`` holds ``seq_id, read, bucket, cluster``, ``active`` a row ``cluster, size,
     m`` per cluster to treat. The first landmark is any member; each next one is any member whose
     distance to those chosen is at least the median of the bucket medians. Returns
     ``landmarks(cluster, lm_ord, seq_id, read, profile)`` and the members of the active clusters
@@ -187,8 +203,10 @@ def select_landmarks(
     A step measures the landmarks since the last write anew, at most ``carry`` of them; then the
     distances are written beside the members.
     """
-    rule = _Rule(k, seed, carry, distinct_landmarks)
-    kept = ["seq_id", "read", "profile", "bucket", "cluster"]
+    if metric not in ("alignment", "kmer"):
+        raise ValueError(f"unknown metric {metric!r}")
+    rule = _Rule(k, seed, carry, distinct_landmarks, metric, ambiguous)
+    kept = ["seq_id", "read", "bucket", "cluster"]
     members = members.select(*kept, F.array().cast("array<double>").alias("dists"), F.lit(1.0).alias("d_min"))
     empty = F.array().cast("array<struct<seq_id:string,read:string,profile:array<bigint>>>")
     lists = active.select("cluster", "size", "m", empty.alias("lms"))

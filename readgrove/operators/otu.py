@@ -46,13 +46,21 @@ def number_otus(centroids: DataFrame) -> DataFrame:
 
 
 def rename_otus(counts: DataFrame, otus: DataFrame) -> DataFrame:
-    """``otu_num, otu, sample, n``: counts under unit names, matched by cluster and centroid."""
-    names = otus.select("cluster", "centroid", "otu_num", "otu")
+    """``otu_num, otu, sample, n``: counts under unit names, matched by cluster and centroid.
+
+    Clusters may be numbers on one side and their text on the other, as a table's name is.
+    """
+    names = otus.select(F.col("cluster").cast("string").alias("cluster"), "centroid", "otu_num", "otu")
+    counts = counts.withColumn("cluster", F.col("cluster").cast("string"))
     return counts.join(names, ["cluster", "centroid"]).select("otu_num", "otu", "sample", "n")
 
 
 def merge_otu_tables(parts: list[DataFrame], otus: DataFrame) -> DataFrame:
-    """Partial counts of many clusters as one long table under unit names."""
+    """Partial counts of many clusters as one long table under unit names.
+
+    The parts have ``cluster, centroid, sample, n``. A unit is a centroid of a cluster: two clusters may name
+    a centroid alike.
+    """
     merged = reduce(DataFrame.unionByName, parts)
     return rename_otus(merged, otus).groupBy("otu_num", "otu", "sample").agg(F.sum("n").alias("n"))
 

@@ -1,4 +1,4 @@
-"""Picking units inside the clusters: length-sorted greedy centroids, or any function of yours."""
+"""Picking units inside the clusters: length-sorted greedy centroids, or a picker of your own."""
 
 from __future__ import annotations
 
@@ -6,19 +6,23 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, LongType
 
-from readgrove.functions.alignment import align_batch, alignment_distance
-from readgrove.functions.profile import list_array, overlap_distances, overlaps, token_profile
+from readgrove.functions.bounds import identity_from
+from readgrove.functions.profile import list_array, token_profile
 from readgrove.functions.sequence import seq_id
-from readgrove.session import BROADCAST_BYTES, attach, materialise, number_rows, small
+from readgrove.session import materialise, number_rows, small
 
+#: Reads that a picker of one's own gets of each cluster in its first round, and in any.
 FIRST_BATCH, LARGEST_BATCH = 32, 1024
+#: K-mers that more than this share of all units have come last among a unit's keys; at most that many times a read's k-mers.
+COMMON = 64
+
+Picker = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def length_rank(reads: DataFrame) -> DataFrame:
@@ -32,79 +36,76 @@ def length_rank(reads: DataFrame) -> DataFrame:
     return ranked.withColumn("rank", (F.col("_number") - F.col("_first") + 1).cast("int")).drop("_number", "_first")
 
 
-def _possible(shared, length, windows, head_length, head_windows, identity: float, k: int):
-    """Whether two texts with that many k-mers in common can be as similar as ``identity``.
+# ---- which reads can be that much alike
+
+
+def key_size(identity: float) -> int:
+    """Letters of the k-mers by which pairs of that identity are found, so that most of them survive the misses."""
+    return int(np.clip(0.4 * identity / max(1 - identity, 1e-9), 4, 12))
+
+
+def _mixed(tokens: np.ndarray) -> np.ndarray:
+    h = (tokens.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def pair_keys(identity: float, k: int, common):
+    """Column function: (profile, length) -> keys of which two reads of at least ``identity`` share one.
 
-    A miss column spoils at most ``k`` windows, so an alignment with ``e`` of them leaves at least
-    ``windows - k * e`` k-mers in common, and the identity allows at most
-    ``(1 - identity) / identity * shorter length`` misses.
+    A read of n letters allows for ``m = n * (1 - identity) / identity`` misses, each of which spoils at
+    most k of its w windows, so partners share ``w - k * m`` k-mers and, in any common order, one among
+    the first ``k * m + 1``. The order is by hash, with the ``common`` k-mers (a broadcast) last.
+    Reads too short for that bound share the key -1 besides; equal reads are not looked for.
     """
-    misses = np.floor(np.minimum(length, head_length) * (1 - identity) / identity + 1e-9)
-    return shared >= np.maximum(windows, head_windows) - k * misses - 1e-6
-
-
-def _head_centroids(identity: float, k: int):
-    """The centroids among the first reads of a cluster; all earlier reads are settled."""
-
-    def pick(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("rank")
-        text = batch["text"].to_numpy()
-        profiles = [np.asarray(p, np.int64) for p in batch["profile"]]
-        length, windows = np.array([len(t) for t in text]), np.array([len(p) for p in profiles])
-        tokens, owner = np.concatenate(profiles), np.repeat(np.arange(len(batch)), windows)
-        is_open = np.ones(len(batch), bool)
-        chosen = []
-        for head in range(len(batch)):
-            if not is_open[head]:
-                continue
-            chosen.append(head)
-            is_open[head] = False
-            same = np.zeros(len(tokens), bool)
-            if windows[head]:
-                slot = np.minimum(np.searchsorted(profiles[head], tokens), windows[head] - 1)
-                same = profiles[head][slot] == tokens
-            shared = np.bincount(owner[same], minlength=len(batch))
-            rows = np.flatnonzero(is_open & _possible(shared, length, windows, length[head], windows[head], identity, k))
-            distance = align_batch(list(text[rows]), [text[head]] * len(rows))
-            is_open[rows[np.round(1 - distance, 12) >= identity]] = False
-        return batch.iloc[chosen][["cluster", "uid", "header", "text", "profile", "rank"]]
-
-    return pick
-
-
-def _near_lookup(heads: DataFrame, identity: float, k: int):
-    """Column function: (cluster, profile, length) -> ranks of the heads that are possible centroids.
-
-    The heads are sent to every executor once; the caller has counted them.
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def keys(profile: pa.Array, length: pa.Array) -> pa.Array:
+        windows = pc.list_value_length(profile).to_numpy(zero_copy_only=False).astype(np.int64)
+        misses = np.floor(length.to_numpy(zero_copy_only=False) * (1 - identity) / identity + 1e-9).astype(np.int64)
+        tokens = profile.flatten().to_numpy()
+        row = np.repeat(np.arange(len(windows)), windows)
+        order = np.lexsort((_mixed(tokens), np.isin(tokens, common.value), row))
+        tokens, row = tokens[order], row[order]
+        place = np.arange(len(tokens)) - np.repeat(np.cumsum(windows) - windows, windows)
+        keep = (place <= k * misses[row]) & (misses[row] > 0)
+        meets_all = np.flatnonzero((windows < k * misses + 1) & (misses > 0))
+        tokens, row = np.concatenate([tokens[keep], np.full(len(meets_all), -1)]), np.concatenate([row[keep], meets_all])
+        order = np.argsort(row, kind="stable")
+        counts = np.bincount(row, minlength=len(windows))
+        return list_array(np.concatenate([[0], np.cumsum(counts)]), tokens[order].astype(np.int64))
+
+    return keys
+
+
+def _unit_keys(units: DataFrame, n_units: int, identity: float) -> DataFrame:
+    """``key, number``: the keys of every unit, told apart by cluster."""
+    k = key_size(identity)
+    profiled = units.select("number", "cluster", F.length("text").alias("length"), token_profile(k)("text").alias("profile"))
+    share = max(2, n_units // COMMON)
+    often = profiled.select(F.explode("profile").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share)
+    # at most COMMON k-mers for each k-mer of a read
+    common = units.sparkSession.sparkContext.broadcast(np.array([r["token"] for r in often.select("token").collect()], np.int64))
+    keyed = profiled.select("number", "cluster", F.explode(pair_keys(identity, k, common)("profile", "length")).alias("token"))
+    return keyed.select(F.xxhash64("cluster", "token").alias("key"), "number")
+
+
+# ---- greedy centroids
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, identity: float) -> DataFrame:
+    """``number, other, identity`` of those distinct pairs that are in one cluster and that much alike.
+
+    A unit that many pairs name is unique in ``texts``, so the joins can split it.
     """
-    rows = heads.select("cluster", "rank", "profile", F.length("text").alias("length")).orderBy("cluster", "rank").toArrow()
-    found: dict[str, list[list]] = {}
-    for cluster, rank, profile, length in zip(*(rows.column(i) for i in range(4))):
-        columns = found.setdefault(cluster.as_py(), [[], [], [], []])
-        for column, value in zip(columns, (rank.as_py(), length.as_py(), len(profile), profile.values.to_numpy())):
-            column.append(value)
-    arrays = {c: (np.array(r), np.array(n), np.array(w), p) for c, (r, n, w, p) in found.items()}
-    shared_heads = heads.sparkSession.sparkContext.broadcast(arrays)
-    nothing = np.zeros(0, np.int64)
-
-    @F.arrow_udf(ArrayType(IntegerType()))
-    def near(cluster: pa.Array, profile: pa.Array, length: pa.Array) -> pa.Array:
-        if len(cluster) == 0:
-            return pa.array([], pa.list_(pa.int32()))
-        by_cluster = [shared_heads.value.get(c, (nothing, nothing, nothing, ())) for c in cluster.to_pylist()]
-        distance, sizes = overlaps(cluster, profile, lambda c, _: shared_heads.value.get(c, ((), (), (), ()))[3])
-        rank, head_length, head_windows = (np.concatenate([h[i] for h in by_cluster]) for i in range(3))
-        mine = np.repeat(length.to_numpy(zero_copy_only=False), sizes)
-        windows = np.repeat(pc.list_value_length(profile).to_numpy(zero_copy_only=False), sizes)
-        shared = np.round((1 - distance) * np.minimum(windows, head_windows))
-        keep = _possible(shared, mine, windows, head_length, head_windows, identity, k)
-        kept = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
-        return list_array(np.concatenate(([0], np.cumsum(kept))), rank[keep].astype(np.int32))
-
-    return near
-
-
-def greedy_centroids(assigned: DataFrame, identity: float = 0.97, k: int = 8) -> tuple[DataFrame, DataFrame]:
+    mine = texts.select("number", F.col("cluster").alias("c"), F.col("text").alias("left"))
+    theirs = texts.select(F.col("number").alias("other"), F.col("cluster").alias("d"), F.col("text").alias("right"))
+    beside = pairs.join(mine, "number").join(theirs, "other").where("c = d")
+    found = beside.select("number", "other", identity_from(identity)("left", "right").alias("identity"))
+    return found.where("identity is not null")
+
+
+def greedy_centroids(assigned: DataFrame, identity: float = 0.97) -> tuple[DataFrame, DataFrame]:
     """Greedy clustering of every cluster: ``members`` and ``centroids``.
 
     Reads come longest first, then by header. A read joins the earliest centroid with at least
@@ -112,108 +113,115 @@ def greedy_centroids(assigned: DataFrame, identity: float = 0.97, k: int = 8) ->
     headers. Returns ``members(cluster, query, target, identity)``, without the centroids
     themselves, and ``centroids(cluster, centroid, read)``.
 
-    A cluster is never gathered in one task. Each round takes the first open reads of every
-    cluster, a bounded number, finds the centroids among them, and compares all open reads with
-    these on Spark. No earlier centroid is missing at that point, so the result is the sequential
-    one. Equal reads are one unit until the end.
+    A read is a centroid if and only if no earlier centroid is that much alike. So in a round all open reads
+    without an earlier open read alike become centroids at once, and all reads alike to these are
+    settled: the rounds follow chains of reads alike, not the number of centroids, and the result is
+    the sequential one. Reads alike share a key (``pair_keys``). Each is first compared with the
+    first open read of its keys, which settles groups of any size without their pairs; only reads that
+    found none are compared with all earlier ones of their keys. Equal reads are one unit.
     """
     text = F.upper("read")
-    keyed = assigned.select("cluster", "header", "read", text.alias("text"), seq_id(text).alias("uid"))
-    units = keyed.groupBy("cluster", "uid", "text").agg(
-        F.min(F.struct("header", "read")).alias("first"), F.count(F.lit(1)).alias("size")
-    )
-    units = units.select("cluster", "uid", "text", "first.header", "first.read", "size")
-    units = materialise(units.withColumn("profile", token_profile(k)("text")), "units")
-    total, n_units, longest = units.agg(F.sum("size"), F.count(F.lit(1)), F.max(F.length("text"))).first()
-    named = units.withColumn("cluster", F.col("cluster").cast("string"))
-    open_units = named.select("cluster", "uid", "text", "header", "profile")
-    order = Window.partitionBy("cluster").orderBy(F.desc(F.length("text")), "header")
-    batch_size, settled, left = FIRST_BATCH, [], n_units
-    while left:
-        # the rank limit is applied before the shuffle, so a hot cluster sends few rows
-        first = open_units.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= batch_size)
-        schema = "cluster string, uid string, header string, text string, profile array<bigint>, rank int"
-        heads = materialise(first.groupBy("cluster").applyInPandas(_head_centroids(identity, k), schema), "centroids")
-        n_heads, n_clusters = heads.agg(F.count(F.lit(1)), F.count_distinct("cluster")).first()
-        head_bytes = 9 * longest + 128
-        if n_heads * head_bytes <= BROADCAST_BYTES:
-            near = _near_lookup(heads, identity, k)("cluster", "profile", F.length("text"))
-            marked = open_units.select("cluster", "uid", near.alias("near"))
-        else:
-            owned = open_units.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-            entry = F.struct("rank", "text", "profile")
-            listed = heads.groupBy("cluster").agg(F.sort_array(F.collect_list(entry)).alias("heads"))
-            row_bytes = 256 + batch_size * head_bytes
-            beside = _near(attach(open_units, listed, ["cluster"], n_clusters, row_bytes, owned, left), identity, k)
-            marked = beside.select("cluster", "uid", "near")
-        marked = materialise(marked, "near")
-
-        pairs = marked.select("cluster", "uid", F.explode("near").alias("rank"))
-        texts = heads.select("cluster", "rank", F.col("uid").alias("target_uid"), F.col("header").alias("target"), F.col("text").alias("head"))
-        pairs = pairs.join(open_units.select("cluster", "uid", "text"), ["cluster", "uid"])
-        pairs = pairs.join(small(texts, n_heads, head_bytes), ["cluster", "rank"])
-        aligned = pairs.withColumn("identity", F.round(1 - alignment_distance("text", "head"), 12))
-        match = F.min(F.struct("rank", "target_uid", "target", "identity")).alias("best")
-        placed = aligned.where(F.col("identity") >= identity).groupBy("cluster", "uid").agg(match)
-        settled.append(materialise(placed.select("cluster", "uid", "best.*"), "settled"))
-
-        done = settled[-1].select("cluster", "uid")
-        open_units = materialise(open_units.join(small(done, done.count(), 128), ["cluster", "uid"], "left_anti"), "open")
-        left = open_units.count()
-        batch_size = min(2 * batch_size, LARGEST_BATCH)
-
-    if not settled:
-        empty = assigned.sparkSession.createDataFrame([], "cluster string, uid string, rank int, target_uid string, target string, identity double")
-        settled = [empty]
-    placed = reduce(DataFrame.unionByName, settled).drop("rank")
-    centroids = named.join(placed.where(F.col("uid") == F.col("target_uid")).select("cluster", "uid"), ["cluster", "uid"], "left_semi")
-    members = attach(
-        keyed.select(F.col("cluster").cast("string").alias("cluster"), "uid", "header"),
-        placed.drop("target_uid"), ["cluster", "uid"], n_units, 256, named, total or 0, owner=["cluster", "uid"],
-    ).where(F.col("header") != F.col("target"))
+    keyed = assigned.select(F.col("cluster").cast("string").alias("cluster"), "header", "read", text.alias("text"), seq_id(text).alias("uid"))
+    units = keyed.groupBy("cluster", "uid", "text").agg(F.min(F.struct("header", "read")).alias("first"))
+    units = units.select("cluster", "uid", "text", "first.header", "first.read")
+    units = materialise(number_rows(units, ["cluster", F.desc(F.length("text")), "header"], "number"), "units")
+    n_units = units.count()
+    texts = units.select("number", "cluster", "text")
+    keys = materialise(_unit_keys(units, n_units, identity), "unit_keys")
+
+    open_keys, open_units = keys, units.select("number")
+    chosen, settled = [], []
+    while True:
+        # the first open read of each key
+        leaders = materialise(open_keys.groupBy("key").agg(F.min("number").alias("other")), "leaders")
+        led = open_keys.join(leaders, "key").where("other < number").select("number", "other").distinct()
+        led = materialise(led, "led")
+        held = materialise(_alike(led, texts, identity).select("number").distinct(), "held")
+        free = materialise(open_units.join(held, "number", "left_anti"), "free")
+        # those that found none, against all earlier ones
+        own = open_keys.join(free, "number", "left_semi")
+        beside = open_keys.withColumnRenamed("number", "other")
+        rest = own.join(beside, "key").where("other < number").select("number", "other").distinct()
+        rest = rest.join(led, ["number", "other"], "left_anti")
+        held = materialise(_alike(rest, texts, identity).select("number").distinct(), "held")
+        centroids = materialise(free.join(held, "number", "left_anti"), "round_centroids")
+        chosen.append(centroids)
+        # whoever is alike to one of them; a read settled before may find an earlier centroid
+        heads = keys.join(centroids, "number", "left_semi").withColumnRenamed("number", "other")
+        near = keys.join(heads, "key").where("other < number").select("number", "other").distinct()
+        if settled:
+            before = reduce(DataFrame.unionByName, settled).groupBy("number").agg(F.min("other").alias("earliest"))
+            near = near.join(before, "number", "left").where("earliest is null or earliest > other").drop("earliest")
+        settled.append(materialise(_alike(near, texts, identity), "settled"))
+        done = settled[-1].select("number").distinct().unionByName(centroids)
+        open_units = materialise(open_units.join(done, "number", "left_anti"), "open")
+        if open_units.isEmpty():
+            break
+        open_keys = materialise(open_keys.join(open_units, "number", "left_semi"), "open_keys")
+
+    centroids = reduce(DataFrame.unionByName, chosen)
+    # a handful of centroids for each unit
+    every = reduce(DataFrame.unionByName, settled).groupBy("number").agg(F.array_min(F.collect_list(F.struct("other", "identity"))).alias("best"))
+    targets = every.select("number", F.col("best.other").alias("target_number"), "best.identity")
+    targets = targets.unionByName(centroids.select("number", F.col("number").alias("target_number"), F.lit(1.0).alias("identity")))
+    named = units.select("number", "cluster", "uid")
+    heads = units.select(F.col("number").alias("target_number"), F.col("header").alias("target"))
+    placed = materialise(targets.join(named, "number").join(heads, "target_number").select("cluster", "uid", "target", "identity"), "placed")
+    # a unit is once in ``placed``, so one of very many equal reads can be split
+    members = keyed.select("cluster", "uid", "header").join(placed, ["cluster", "uid"]).where(F.col("header") != F.col("target"))
     return (
         members.select("cluster", F.col("header").alias("query"), "target", "identity"),
-        centroids.select("cluster", F.col("header").alias("centroid"), "read"),
+        units.join(centroids, "number", "left_semi").select("cluster", F.col("header").alias("centroid"), "read"),
     )
 
 
-def _near(beside: DataFrame, identity: float, k: int) -> DataFrame:
-    """``_near_lookup`` for heads that stand in the rows, as ``near``."""
-    measured = beside.withColumn("d", overlap_distances("cluster", "profile", F.col("heads.profile")))
-    text, windows = F.col("text"), F.size("profile")
-
-    def judge(head, d):
-        misses = F.floor(F.least(F.length(text), F.length(head["text"])) * (1 - identity) / identity + 1e-9)
-        shared = (1 - d) * F.least(windows, F.size(head["profile"]))
-        possible = shared >= F.greatest(windows, F.size(head["profile"])) - k * misses - 1e-6
-        return F.when(possible, head["rank"])
+# ---- a picker of one's own
 
-    return measured.withColumn("near", F.array_compact(F.zip_with("heads", "d", judge))).drop("heads", "d")
 
+def pick_in_rounds(assigned: DataFrame, picker: Picker) -> tuple[DataFrame, DataFrame]:
+    """Units by a picker that works on DataFrames, a bounded head of every cluster at a time.
 
-def subcluster(
-    assigned: DataFrame,
-    identity: float = 0.97,
-    picker: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Pick units in every cluster with the built-in greedy rule, or with ``picker``.
-
-    A ``picker`` gets all reads ``cluster, header, read`` of one cluster, longest first, and
-    returns ``query, target, identity``, a centroid being its own target. It needs a cluster whole
-    and so runs in one task per cluster; the built-in rule never does.
+    Reads come longest first, then by header. In each round ``picker(heads, open_reads)`` gets the first
+    open reads of every cluster, twice as many as before up to ``LARGEST_BATCH``, and all open reads,
+    both as ``cluster, header, read, rank``. It returns claims ``cluster, query, target, identity``:
+    at least one for every head, which is its own target if it is a centroid, and any for other open reads.
+    Of several targets the one of the lowest rank counts. Claimed reads are not open any more. No cluster is
+    ever in one task unless the picker puts it there.
     """
-    if picker is None:
-        return greedy_centroids(assigned, identity)
-    def run(reads: pd.DataFrame) -> pd.DataFrame:
-        ordered = reads.assign(size=-reads["read"].str.len()).sort_values(["size", "header"]).drop(columns="size")
-        picked = picker(ordered)
-        return picked.assign(cluster=reads["cluster"].iloc[0])[["cluster", "query", "target", "identity"]]
-
     named = assigned.select(F.col("cluster").cast("string").alias("cluster"), "header", "read")
-    picked = materialise(
-        named.groupBy("cluster").applyInPandas(run, "cluster string, query string, target string, identity double"),
-        "picked",
-    )
+    ranked = materialise(length_rank(named), "ranked")
+    order = Window.partitionBy("cluster").orderBy("rank")
+    ranks = ranked.select("cluster", F.col("header").alias("target"), F.col("rank").alias("target_rank"))
+    open_reads, claimed, batch = ranked, [], FIRST_BATCH
+    while True:
+        # the rank limit is applied before the shuffle, so a hot cluster sends few rows
+        heads = open_reads.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= batch).drop("_nth")
+        heads = materialise(heads, "heads")
+        if heads.isEmpty():
+            break
+        claims = picker(heads, open_reads).select(F.col("cluster").cast("string").alias("cluster"), "query", "target", F.col("identity").cast("double").alias("identity"))
+        claims = claims.join(open_reads.select("cluster", F.col("header").alias("query")), ["cluster", "query"], "left_semi")
+        claims = claims.join(ranks, ["cluster", "target"])
+        first = F.array_min(F.collect_list(F.struct("target_rank", "target", "identity"))).alias("first")
+        claims = claims.groupBy("cluster", "query").agg(first).select("cluster", "query", "first.target", "first.identity")
+        claims = materialise(claims, "claims")
+        taken = claims.select("cluster", F.col("query").alias("header"))
+        missing = heads.join(taken, ["cluster", "header"], "left_anti").first()
+        if missing is not None:
+            raise ValueError(f"the picker left the head {missing['header']!r} of cluster {missing['cluster']!r} without a claim")
+        claimed.append(claims)
+        open_reads = materialise(open_reads.join(taken, ["cluster", "header"], "left_anti"), "open_reads")
+        batch = min(2 * batch, LARGEST_BATCH)
+
+    if not claimed:
+        empty = "cluster string, query string, target string, identity double"
+        claimed = [assigned.sparkSession.createDataFrame([], empty)]
+    picked = reduce(DataFrame.unionByName, claimed)
     own = picked.where(F.col("query") == F.col("target")).select("cluster", F.col("target").alias("header"))
-    centroids = named.join(own, ["cluster", "header"]).select("cluster", F.col("header").alias("centroid"), "read")
+    centroids = named.join(own, ["cluster", "header"], "left_semi").select("cluster", F.col("header").alias("centroid"), "read")
     return picked.where(F.col("query") != F.col("target")), centroids
+
+
+def subcluster(assigned: DataFrame, identity: float = 0.97, picker: Picker | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pick units in every cluster with the built-in greedy rule, or with ``picker`` in rounds."""
+    return greedy_centroids(assigned, identity) if picker is None else pick_in_rounds(assigned, picker)

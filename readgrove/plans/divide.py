@@ -7,7 +7,8 @@ is split, no order matters, and the control tables stay on the cluster. With a t
 needs at most about that many sizes on the driver.
 
 Reads are never moved: a round reads its clusters' rows, adds the child number, and writes them
-once. A read's label is its row in the last round whose cluster stayed a leaf.
+once, without their k-mer profiles, which are made where reads are compared. What a round needs only for
+itself is deleted at its end. A read's label is its row in the last round whose cluster stayed a leaf.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from readgrove.functions.sequence import child_index, landmark_count, landmark_q
 from readgrove.operators.kmers import profiles
 from readgrove.operators.landmarks import Extent, select_landmarks
 from readgrove.operators.splits import bisect, landmark_graph, medoid_radius, side_of
-from readgrove.session import attach, materialise
+from readgrove.session import attach, materialise, scratch_scope
 
 #: Clusters from this number on stay leaves: their children's numbers would not fit a bigint.
 DEEPEST = 1 << 61
@@ -43,6 +44,8 @@ class DivideParams:
     seed: int = 0
     buckets: int = 16
     graph_metric: str = "alignment"
+    member_metric: str = "kmer"
+    ambiguous: str = "as_a"
     distinct_landmarks: bool = False
     carry: int = 8
 
@@ -65,7 +68,7 @@ class Round:
 
     decisions: DataFrame  # cluster, size, radius, status, left_size, right_size
     landmarks: DataFrame  # cluster, lm_ord, seq_id, read, side
-    parts: DataFrame  # seq_id, read, profile, bucket, cluster (a child number)
+    parts: DataFrame  # seq_id, read, bucket, cluster (a child number)
 
 
 @dataclass
@@ -81,8 +84,13 @@ class Division:
 
 def split(members: DataFrame, active: DataFrame, extent: Extent, params: DivideParams) -> Round:
     """Split every cluster of ``active(cluster, size, m)`` once; ``members`` may hold others too."""
+    with scratch_scope(members.sparkSession):
+        return _split(members, active, extent, params)
+
+
+def _split(members: DataFrame, active: DataFrame, extent: Extent, params: DivideParams) -> Round:
     landmarks, measured = select_landmarks(
-        members, active, extent, params.word_size, params.seed, params.carry, params.distinct_landmarks
+        members, active, extent, params.word_size, params.seed, params.carry, params.distinct_landmarks, params.member_metric, params.ambiguous
     )
     edges = materialise(landmark_graph(landmarks, params.graph_metric), "edges")
     sides = bisect(edges, params.iterations, params.seed)
@@ -104,7 +112,7 @@ def split(members: DataFrame, active: DataFrame, extent: Extent, params: DivideP
     joined = attach(measured, cut, ["cluster"], extent.clusters, 1024, verdict, extent.reads)
     child = child_index(F.col("cluster"), side_of(F.col("dists"), F.col("sides")))
     parts = materialise(
-        joined.select("seq_id", "read", "profile", "bucket", child.alias("cluster")), "parts"
+        joined.select("seq_id", "read", "bucket", child.alias("cluster")), "parts", keep=True
     )
 
     # a split that moves every read to one side is none
@@ -125,7 +133,7 @@ def split(members: DataFrame, active: DataFrame, extent: Extent, params: DivideP
     sided = landmarks.join(verdict.select("cluster", "sides"), "cluster").select(
         "cluster", "lm_ord", "seq_id", "read", side
     )
-    return Round(materialise(decisions, "decisions"), sided, parts)
+    return Round(materialise(decisions, "decisions", keep=True), materialise(sided, "sided_landmarks", keep=True), parts)
 
 
 def _divisible(sizes: DataFrame, params: DivideParams) -> DataFrame:
@@ -190,6 +198,11 @@ def _grow_all(start, root_size, n, longest, params):
     return rounds, leaf_tables, None
 
 
+def _numbers(spark, clusters: list[int]) -> DataFrame:
+    """A table of clusters to split, at most as many as the leaf target."""
+    return spark.createDataFrame([(c,) for c in clusters], "cluster bigint")
+
+
 def _grow_to_target(start, root_size, n, longest, params):
     """Split in batches until the replay asks for no more. The same result as ``_grow_all``.
 
@@ -209,7 +222,7 @@ def _grow_to_target(start, root_size, n, longest, params):
             # clusters of several rounds can be due together; each is read from its own table
             tables = [start] + [r.parts for r in rounds]
             due = [
-                tables[at].where(F.col("cluster").isin([c for c in wanted if home[c] == at]))
+                tables[at].join(F.broadcast(_numbers(spark, [c for c in wanted if home[c] == at])), "cluster", "left_semi")
                 for at in sorted({home[c] for c in wanted})
             ]
             rounds.append(split(_all(due), active, extent, params))
@@ -230,8 +243,8 @@ def divide(seqs: DataFrame, params: DivideParams | None = None) -> Division:
     """Cluster ``seqs(seq_id, read)``, the abundant unique reads."""
     params = params or DivideParams()
     spark = seqs.sparkSession
-    root = profiles(seqs.select("seq_id", "read"), params.word_size, params.buckets)
-    start = materialise(root.withColumn("cluster", F.lit(1).cast("bigint")), "root")
+    root = profiles(seqs.select("seq_id", "read"), params.word_size, params.buckets, params.ambiguous)
+    start = materialise(root.drop("profile").withColumn("cluster", F.lit(1).cast("bigint")), "root")
     n, longest = start.agg(F.count(F.lit(1)), F.max(F.length("read"))).first()
     root_size = spark.createDataFrame([(1, n)] if n else [], "cluster bigint, size bigint")
     grow = _grow_all if params.num_leaves == 0 else _grow_to_target
@@ -273,7 +286,8 @@ def _leaf_landmarks(start, root_size, longest, rounds, tree, params) -> DataFram
     if not rounds:
         active = root_size.select("cluster", "size", landmark_count(F.col("size")).alias("m"))
         landmarks, _ = select_landmarks(
-            start, active, Extent.of(active, longest), params.word_size, params.seed, params.carry, params.distinct_landmarks
+            start, active, Extent.of(active, longest), params.word_size, params.seed, params.carry, params.distinct_landmarks,
+            params.member_metric, params.ambiguous,
         )
         return materialise(landmarks.select(*columns), "leaf_landmarks")
     chosen = _all([r.landmarks for r in rounds])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,19 +17,51 @@ CHECKPOINT_DIR, WAREHOUSE_DIR = "spark.checkpoint.dir", "spark.sql.warehouse.dir
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints, else one below the warehouse."""
-    root = spark.conf.get(CHECKPOINT_DIR, None)
-    if not root:
-        # set by SparkContext.setCheckpointDir; the trailing part is the context's own folder
-        root = spark.sparkContext.getCheckpointDir()
+    """The shared folder the cluster names for checkpoints, else one below the warehouse.
+
+    A cluster has to name one of the two: the default warehouse is a folder of the driver's own machine.
+    """
+    context = spark.sparkContext
+    # the second is set by SparkContext.setCheckpointDir; its trailing part is the context's own folder
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not root:
-        root = f"{spark.conf.get(WAREHOUSE_DIR).rstrip('/')}/scratch"
+        named = context.getConf().get(WAREHOUSE_DIR)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} or {WAREHOUSE_DIR} to a folder that all executors share")
+        root = f"{(named or spark.conf.get(WAREHOUSE_DIR)).rstrip('/')}/scratch"
     return root.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path nobody used before, below the shared scratch folder."""
-    return f"{_own_scratch(spark)}/{uuid.uuid4().hex}/{name}"
+#: Folders made inside each open ``scratch_scope``, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path nobody used before, below the shared scratch folder.
+
+    It lives as long as the innermost ``scratch_scope``, or with ``keep`` as the one around that.
+    """
+    folder = f"{_own_scratch(spark)}/{uuid.uuid4().hex}"
+    scopes = _SCOPES[:-1] if keep else _SCOPES
+    if scopes:
+        scopes[-1].append(folder)
+    return f"{folder}/{name}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made inside when it ends; what is to stay must be written elsewhere or kept."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for folder in _SCOPES.pop():
+            delete(spark, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _own_scratch(spark: SparkSession) -> str:
@@ -35,18 +70,17 @@ def _own_scratch(spark: SparkSession) -> str:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all scratch tables of this application; results that read them must be stored before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, _own_scratch(spark))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a shared Parquet table and read it back.
 
     Cuts the lineage, survives the loss of any executor, keeps column pruning, and gives the
-    optimizer the real size of the table for its later joins.
+    optimizer the real size of the table for its later joins. For ``keep`` see ``scratch_path``.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch_path(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

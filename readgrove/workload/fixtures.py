@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readgrove.functions.sequence import landmark_count
+from readgrove.functions.sequence import landmark_count, reverse_complement
 from readgrove.operators.derep import abundant, dereplicate, header_sets
 from readgrove.operators.kmers import profiles
 from readgrove.session import materialise, small
@@ -47,12 +47,36 @@ def reads_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(F.broadcast(bases), "fam").select("fam", "header", read.alias("read"))
 
 
+def either_strand(reads: DataFrame) -> DataFrame:
+    """About half the reads, by the first digit of ``seq_id``, as their reverse complement."""
+    read = F.when(F.substr("seq_id", F.lit(1), F.lit(1)) < "8", reverse_complement(F.col("read"))).otherwise(F.col("read"))
+    return reads.withColumn("read", read)
+
+
+def reads_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cluster, fam, header, read``: four clusters with a family of reads for each part, nearly all unique."""
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    part = F.col("l_partkey").cast("string")
+    number = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")
+    header = F.concat(F.lit("s"), (F.col("l_suppkey") % 8).cast("string"), F.lit("_"), number, F.lit("p"), part)
+    base = F.translate(F.concat(*(F.md5(F.concat(F.lit(x), part)) for x in "abcd")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    place, letter = (F.col("l_orderkey") % 128).cast("int") + 1, F.substr(F.lit("ACGT"), (F.col("l_linenumber") % 4).cast("int") + 1, F.lit(1))
+    read = F.concat(F.substr(base, F.lit(1), place - 1), letter, F.substr(base, place + 1))
+    rows = lines.select((F.col("l_partkey") % 4).alias("cluster"), F.col("l_partkey").alias("fam"), header.alias("header"), read.alias("read"))
+    return rows.groupBy("cluster", "fam", "header").agg(F.max("read").alias("read"))
+
+
 def reads_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``header, read, source``: the base letters of every whole document, where there are enough."""
+    """``header, read, source``: the base letters of every whole document, where there are enough for a k-mer."""
+    return reads_any(spark, sf_dir).where(F.length("read") >= K)
+
+
+def reads_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``header, read, source``: the base letters of every whole document that has one."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     read = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
     header = F.concat_ws("_", "source", F.col("doc_id").cast("string"))
-    return docs.select(header.alias("header"), read.alias("read"), "source").where(F.length("read") >= K)
+    return docs.select(header.alias("header"), read.alias("read"), "source").where(F.length("read") > 0)
 
 
 def pairs_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +91,13 @@ def pairs_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "customer")).select(key.alias("pair"), first.alias("a"), second.alias("b"))
 
 
+def segment_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cluster, lm_ord, read``: the first customer's short read of every market segment."""
+    first = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("cluster")).agg(F.min("c_custkey").alias("pair"))
+    marks = pairs_syn(spark, sf_dir).join(F.broadcast(first), "pair")  # as many as there are segments
+    return marks.select("cluster", F.lit(0).alias("lm_ord"), F.col("a").alias("read"))
+
+
 def unique_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq_id, read, abundance, fam`` of every unique read of the families."""
     reads = reads_syn(spark, sf_dir)

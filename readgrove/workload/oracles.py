@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from readgrove.workload.queries import FAMILIES, ITERATIONS, SAMPLES, TIGHT_RADIUS
 
 K = 8
@@ -19,16 +21,36 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                substr('ACGT', CAST(l_linenumber % 4 AS INT) + 1, 1) AS ch, l_partkey % 16 AS fam
         FROM lineitem"""),
     "reads_syn": (["lines"], "SELECT fam, header, concat(substr(base, 1, pos - 1), ch, substr(base, pos + 1)) AS read FROM lines"),
-    "reads_doc": ([], f"""
+    "reads_any": ([], """
         SELECT header, read, source FROM (
           SELECT concat(source, '_', CAST(doc_id AS VARCHAR)) AS header, source,
                  regexp_replace(upper(text), '[^ACGT]', '', 'g') AS read FROM documents)
-        WHERE length(read) >= {K}"""),
+        WHERE length(read) > 0"""),
+    "reads_doc": (["reads_any"], f"SELECT * FROM reads_any WHERE length(read) >= {K}"),
     "unique_syn": (["reads_syn"], """
         SELECT md5(read) AS seq_id, read, count(DISTINCT header) AS abundance, min(fam) AS fam FROM reads_syn GROUP BY read"""),
     "seqs_syn": (["unique_syn"], "SELECT * FROM unique_syn WHERE abundance >= 2"),
     "seqs_doc": (["reads_doc"], """
         SELECT md5(read) AS seq_id, read, count(DISTINCT header) AS abundance FROM reads_doc GROUP BY read"""),
+    "turned": (["unique_syn"], """
+        SELECT seq_id, CASE WHEN substr(seq_id, 1, 1) < '8' THEN reverse(translate(read, 'ACGT', 'TGCA')) ELSE read END AS read FROM unique_syn"""),
+    "facing": (["turned"], """
+        SELECT seq_id, '+' AS strand, read FROM turned UNION ALL SELECT seq_id, '-', reverse(translate(read, 'ACGT', 'TGCA')) FROM turned"""),
+    "facing_words": (["facing"], f"""
+        SELECT seq_id, strand, word, count(*) AS cnt FROM (
+          SELECT seq_id, strand, substr(read, i, {K}) AS word FROM (
+            SELECT seq_id, strand, read, unnest(range(1, length(read) - {K} + 2)) AS i FROM facing))
+        GROUP BY seq_id, strand, word"""),
+    "many": ([], """
+        SELECT cluster, fam, header, max(read) AS read FROM (
+          SELECT l_partkey % 4 AS cluster, l_partkey AS fam,
+                 concat('s', CAST(l_suppkey % 8 AS VARCHAR), '_', CAST(l_orderkey * 10 + l_linenumber AS VARCHAR), 'p', CAST(l_partkey AS VARCHAR)) AS header,
+                 concat(substr(base, 1, CAST(l_orderkey % 128 AS INT)), substr('ACGT', CAST(l_linenumber % 4 AS INT) + 1, 1),
+                        substr(base, CAST(l_orderkey % 128 AS INT) + 2)) AS read
+          FROM (SELECT *, translate(concat(md5(concat('a', CAST(l_partkey AS VARCHAR))), md5(concat('b', CAST(l_partkey AS VARCHAR))),
+                                           md5(concat('c', CAST(l_partkey AS VARCHAR))), md5(concat('d', CAST(l_partkey AS VARCHAR)))),
+                                    '0123456789abcdef', 'ACGTACGTACGTACGT') AS base FROM lineitem))
+        GROUP BY ALL"""),
     "members": (["seqs_syn"], """
         SELECT seq_id, read, fam + 16 AS cluster,
                CAST(('0x' || substr(md5(read), 1, 8)) AS BIGINT) % 16 AS bucket FROM seqs_syn"""),
@@ -138,6 +160,9 @@ def _iterate(iterations: int) -> None:
 _iterate(ITERATIONS)
 
 
+ALIGNED: dict[str, str] = {}
+
+
 def _picks() -> None:
     """Landmark selection with one view per step over every cluster."""
     def pick(step: int) -> str:
@@ -163,6 +188,12 @@ def _picks() -> None:
             FROM near_{i} n JOIN t ON t.cluster = n.cluster WHERE d_min >= mom GROUP BY n.cluster""")
     VIEWS["picked"] = ([f"pick_{i}" for i in range(STEPS)], " UNION ALL ".join(
         f"SELECT cluster, {i} AS lm_ord, seq_id FROM pick_{i}" for i in range(STEPS)))
+    # the same by alignment: reads of a family differ in two places at most, which no gap improves
+    for i in range(1, STEPS):
+        ALIGNED[f"near_{i}"] = f"""
+            SELECT n.* REPLACE (least(n.d_min, hamming(n.read, q.read) / 128.0) AS d_min)
+            FROM near_{i - 1} n JOIN pick_{i - 1} p ON p.cluster = n.cluster JOIN members q ON q.seq_id = p.seq_id AND q.cluster = p.cluster
+            WHERE n.m > {i}"""
 
 
 _picks()
@@ -201,13 +232,14 @@ _SAMPLE_SUMS = ", ".join(f"CAST(sum(CASE WHEN sample = '{s}' THEN n ELSE 0 END)
 
 _NEAREST = """
     SELECT seq_id, cluster, lm_ord, identity, strand FROM (
-      SELECT c.seq_id, l.cluster, CAST(l.lm_ord AS INT) AS lm_ord, {identity} AS identity, '+' AS strand,
-             row_number() OVER (PARTITION BY c.seq_id ORDER BY round(1 - (1 - c.shared / c.windows), 12) DESC, l.cluster, l.lm_ord) AS rn
-      FROM (SELECT a.seq_id, b.seq_id AS lm_id, sum(least(a.cnt, b.cnt)) AS shared, any_value(least(x.windows, y.windows)) AS windows
-            FROM words a JOIN words b ON a.word = b.word JOIN spans x ON x.seq_id = a.seq_id JOIN spans y ON y.seq_id = b.seq_id
-            WHERE b.seq_id IN (SELECT seq_id FROM landmarks) GROUP BY 1, 2) c
-      JOIN landmarks l ON l.seq_id = c.lm_id JOIN unique_syn u ON u.seq_id = c.seq_id
-      WHERE c.shared / c.windows >= 0.6) WHERE rn = 1"""
+      SELECT f.seq_id, l.cluster, CAST(l.lm_ord AS INT) AS lm_ord, {identity} AS identity, f.strand,
+             row_number() OVER (PARTITION BY f.seq_id ORDER BY {identity} DESC, l.cluster, l.lm_ord, f.strand) AS rn
+      FROM (SELECT a.seq_id, a.strand, b.seq_id AS lm_id, sum(least(a.cnt, b.cnt)) AS shared
+            FROM facing_words a JOIN words b ON a.word = b.word
+            WHERE b.seq_id IN (SELECT seq_id FROM landmarks) GROUP BY ALL) c
+      JOIN landmarks l ON l.seq_id = c.lm_id JOIN facing f ON f.seq_id = c.seq_id AND f.strand = c.strand
+      JOIN spans w ON w.seq_id = c.lm_id
+      WHERE c.shared / w.windows >= 0.6) WHERE rn = 1"""
 
 _SPLIT_EDGES = """
     SELECT a.cluster, a.lm_ord AS src, b.lm_ord AS dst, 1.0 - hamming(x.read, y.read) / 128.0 AS weight
@@ -249,7 +281,19 @@ def _best(*states: str) -> tuple[str, str]:
     return score, f"CASE {cases} END"
 
 
-def _sweep_sql() -> str:
+_SHORT = """
+    SELECT c_custkey AS pair, substr(translate(md5(c_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, CAST(c_custkey % 13 + 12 AS INT)) AS a, c_mktsegment
+    FROM customer"""
+_PAIRS = """
+    SELECT pair, a, CASE WHEN pair % 2 = 0 THEN other
+                    ELSE concat(substr(a, 1, cut), substr(a, cut + CAST(pair % 4 AS INT) + 1), substr(other, 1, CAST(pair % 3 AS INT))) END AS b
+    FROM (SELECT c_custkey AS pair, CAST(c_custkey % 5 + 3 AS INT) AS cut,
+                 substr(translate(md5(c_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, CAST(c_custkey % 13 + 12 AS INT)) AS a,
+                 substr(translate(md5(concat(c_name, 'x')), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, CAST(c_custkey % 11 + 12 AS INT)) AS other
+          FROM customer)"""
+
+
+def _sweep_sql(pairs: str = _PAIRS) -> str:
     """Global affine alignment, three states a cell, one anti-diagonal a recursion.
 
     A cell's columns are scores ``s`` and counts ``c`` (misses * 1000 + matches) of the states m (letters
@@ -270,13 +314,7 @@ def _sweep_sql() -> str:
     start = ", ".join(f"CASE WHEN i = 0 THEN 0 ELSE {never} END AS {n}s1, 0 AS {n}c1, {never} AS {n}s0, 0 AS {n}c0" for n in "mab")
     lags = ", ".join(f"lag({n}{k}) OVER w AS y{n}{k}" for n in names for k in "01")
     return f"""
-WITH RECURSIVE pairs AS (
-    SELECT pair, a, CASE WHEN pair % 2 = 0 THEN other
-                    ELSE concat(substr(a, 1, cut), substr(a, cut + CAST(pair % 4 AS INT) + 1), substr(other, 1, CAST(pair % 3 AS INT))) END AS b
-    FROM (SELECT c_custkey AS pair, CAST(c_custkey % 5 + 3 AS INT) AS cut,
-                 substr(translate(md5(c_name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, CAST(c_custkey % 13 + 12 AS INT)) AS a,
-                 substr(translate(md5(concat(c_name, 'x')), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, CAST(c_custkey % 11 + 12 AS INT)) AS other
-          FROM customer)
+WITH RECURSIVE pairs AS ({pairs}
 ), sweep AS (
     SELECT pair, a, b, length(a) AS la, length(b) AS lb, 0 AS d, i, {start}
     FROM (SELECT pair, a, b, unnest(range(0, length(a) + 1)) AS i FROM pairs)
@@ -295,14 +333,94 @@ FROM (SELECT pair, {last[1]} AS n FROM sweep WHERE d = la + lb AND i = la)
 """
 
 
+#: Splits of the division that SQL replays, one view each for its labels, landmarks and cut.
+SPLITS = 3
+
+_KMER_EDGES = """
+    SELECT a.cluster, a.lm_ord AS src, b.lm_ord AS dst, coalesce(s.shared, 0) / least(x.windows, y.windows) AS weight
+    FROM picked a JOIN picked b ON a.cluster = b.cluster AND a.lm_ord < b.lm_ord
+    JOIN spans x ON x.seq_id = a.seq_id JOIN spans y ON y.seq_id = b.seq_id
+    LEFT JOIN (SELECT p.seq_id AS i, q.seq_id AS j, sum(least(p.cnt, q.cnt)) AS shared
+               FROM (SELECT * FROM words WHERE seq_id IN (SELECT seq_id FROM picked)) p
+               JOIN (SELECT * FROM words WHERE seq_id IN (SELECT seq_id FROM picked)) q ON p.word = q.word
+               GROUP BY 1, 2) s ON s.i = a.seq_id AND s.j = b.seq_id"""
+
+
+def _division() -> None:
+    """The largest cluster is split, three times in turn: copies of the views of one split, each over its own reads."""
+    steps = [f"{name}_{i}" for i in range(STEPS) for name in ("near", "pick")]
+    steps += ["picked", "edges", "ends", "degrees", *(f"values_{i}" for i in range(ITERATIONS + 1)), "cut"]
+    VIEWS["labels_0"] = (["seqs_syn"], "SELECT seq_id, 1 AS cluster FROM seqs_syn")
+    for n in range(SPLITS):
+        VIEWS[f"largest_{n}"] = ([f"labels_{n}"], f"SELECT cluster, count(*) AS size FROM labels_{n} GROUP BY cluster ORDER BY size DESC, cluster LIMIT 1")
+        VIEWS[f"quotas_s{n}"] = ([f"largest_{n}"], f"SELECT cluster, size, greatest(CAST(ceil(log2(size)) AS INT) - 1, 1) AS m FROM largest_{n}")
+        VIEWS[f"members_s{n}"] = ([f"labels_{n}", f"largest_{n}", "members"], f"""
+            SELECT m.seq_id, m.read, m.bucket, l.cluster FROM members m JOIN labels_{n} l USING (seq_id) JOIN largest_{n} USING (cluster)""")
+        renamed = re.compile(rf"\b({'|'.join([*steps, 'members', 'quotas'])})\b")
+        for name in steps:
+            needs, body = VIEWS[name]
+            if name == "edges":
+                needs, body = ["picked", "words", "spans"], _KMER_EDGES
+            VIEWS[f"{name}_s{n}"] = ([renamed.sub(rf"\1_s{n}", x) for x in needs], renamed.sub(rf"\1_s{n}", body))
+        VIEWS[f"labels_{n + 1}"] = ([f"labels_{n}", f"members_s{n}", f"picked_s{n}", f"cut_s{n}", "words", "spans"], f"""
+            WITH dist AS (
+              SELECT m.seq_id, m.cluster, p.lm_ord, 1 - coalesce(s.shared, 0) / least(a.windows, b.windows) AS d
+              FROM members_s{n} m JOIN picked_s{n} p ON p.cluster = m.cluster
+              JOIN spans a ON a.seq_id = m.seq_id JOIN spans b ON b.seq_id = p.seq_id
+              LEFT JOIN (SELECT w.seq_id, v.seq_id AS lm_id, sum(least(w.cnt, v.cnt)) AS shared
+                         FROM words w JOIN words v ON w.word = v.word
+                         WHERE w.seq_id IN (SELECT seq_id FROM members_s{n}) AND v.seq_id IN (SELECT seq_id FROM picked_s{n}) GROUP BY 1, 2) s
+                ON s.seq_id = m.seq_id AND s.lm_id = p.seq_id),
+            means AS (
+              SELECT d.seq_id, d.cluster, round(avg(CASE WHEN side = 0 THEN d END), 12) AS l, round(avg(CASE WHEN side = 1 THEN d END), 12) AS r
+              FROM dist d JOIN cut_s{n} c ON c.cluster = d.cluster AND c.lm_ord = d.lm_ord GROUP BY 1, 2)
+            SELECT l.seq_id, CASE WHEN m.seq_id IS NULL THEN l.cluster WHEN m.l <= m.r THEN 2 * l.cluster ELSE 2 * l.cluster + 1 END AS cluster
+            FROM labels_{n} l LEFT JOIN means m ON m.seq_id = l.seq_id AND m.cluster = l.cluster""")
+    passed = " UNION ALL ".join(
+        f"SELECT 2 * p.cluster + c.side AS cluster, p.lm_ord, p.seq_id FROM picked_s{n} p JOIN cut_s{n} c ON c.cluster = p.cluster AND c.lm_ord = p.lm_ord"
+        for n in range(SPLITS))
+    VIEWS["leaf_landmarks"] = ([f"{name}_s{n}" for n in range(SPLITS) for name in ("picked", "cut")] + [f"labels_{SPLITS}", "seqs_syn"], f"""
+        SELECT k.cluster, k.lm_ord, k.seq_id, s.read FROM ({passed}) k JOIN seqs_syn s USING (seq_id)
+        WHERE k.cluster IN (SELECT cluster FROM labels_{SPLITS})""")
+    VIEWS["leaf_hits"] = (["leaf_landmarks", "words", "spans", "reads_syn"], """
+        WITH near AS (
+          SELECT seq_id, cluster FROM (
+            SELECT c.seq_id, l.cluster, row_number() OVER (PARTITION BY c.seq_id ORDER BY round(c.shared / least(x.windows, y.windows), 12) DESC, l.cluster, l.lm_ord) AS rn
+            FROM (SELECT a.seq_id, b.seq_id AS lm_id, sum(least(a.cnt, b.cnt)) AS shared FROM words a JOIN words b ON a.word = b.word
+                  WHERE b.seq_id IN (SELECT seq_id FROM leaf_landmarks) GROUP BY 1, 2) c
+            JOIN leaf_landmarks l ON l.seq_id = c.lm_id JOIN spans x ON x.seq_id = c.seq_id JOIN spans y ON y.seq_id = c.lm_id
+            WHERE c.shared / least(x.windows, y.windows) >= 0.6) WHERE rn = 1)
+        SELECT header, cluster FROM (
+          SELECT r.header, concat('cluster_', CAST(n.cluster AS VARCHAR)) AS cluster, row_number() OVER (PARTITION BY r.header ORDER BY n.seq_id DESC) AS rn
+          FROM (SELECT DISTINCT header, md5(read) AS seq_id FROM reads_syn) r JOIN near n USING (seq_id)) WHERE rn = 1""")
+
+
+_division()
+
+
+def _short_sql() -> str:
+    """Every short read, on both strands, against the first one of each market segment."""
+    words = "list_transform(range(1, length({0}) - 2), lambda i: substr({0}, i, 4))".format
+    pairs = f"""
+    WITH reads AS ({_SHORT}), marks AS (
+        SELECT c_mktsegment AS cluster, a AS b FROM reads JOIN (SELECT min(pair) AS pair FROM reads GROUP BY c_mktsegment) USING (pair)
+    ), facing AS (SELECT pair, '+' AS strand, a FROM reads UNION ALL SELECT pair, '-', reverse(translate(a, 'ACGT', 'TGCA')) FROM reads)
+    SELECT concat(CAST(pair AS VARCHAR), '|', strand, '|', cluster) AS pair, a, b FROM facing, marks
+    WHERE list_has_any({words('a')}, {words('b')})"""
+    return f"""
+SELECT CAST(split_part(pair, '|', 1) AS BIGINT) AS seq_id, split_part(pair, '|', 3) AS cluster, 0 AS lm_ord, round(1 - d, 9) AS identity, split_part(pair, '|', 2) AS strand
+FROM ({_sweep_sql(pairs)}) WHERE 1 - d >= 0.5
+QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY round(1 - d, 9) DESC, cluster, strand) = 1"""
+
+
 ORACLES: dict[str, str] = {
     "fasta_scan": _with(["reads_syn"], "SELECT concat(header, chr(10), read, chr(10)) AS value FROM reads_syn"),
-    "fasta_parse": _with(["reads_doc"], "SELECT header, read FROM reads_doc"),
+    "fasta_parse": _with(["reads_any"], "SELECT header, read FROM reads_any"),
     "header_lookup": _with(["by_header"], "SELECT header, read FROM by_header"),
     "hits_scan": _with(["hits_syn"], "SELECT header_set, cluster FROM hits_syn"),
-    "hits_union": _with(["hits_syn", "reads_doc"], """
+    "hits_union": _with(["hits_syn", "reads_any"], """
         SELECT header_set, cluster FROM hits_syn
-        UNION ALL SELECT concat('Set(', header, ')'), source FROM reads_doc"""),
+        UNION ALL SELECT concat('Set(', header, ')'), source FROM reads_any"""),
     "members_scan": _with(["members_syn"], "SELECT query, target FROM members_syn"),
     "centroid_scan": _with(["centroids_syn"], "SELECT CAST(cluster AS VARCHAR) AS cluster, centroid, read FROM centroids_syn"),
     "otu_table_scan": _with(["counts_syn"], """
@@ -316,9 +434,9 @@ ORACLES: dict[str, str] = {
     "landmark_sink": _with(["landmarks"], "SELECT concat('cluster_', CAST(cluster AS VARCHAR)) AS header, read FROM landmarks"),
     "cluster_fanout_sink": _with(["assigned_syn"], """
         SELECT concat('cluster_', CAST(cluster AS VARCHAR)) AS cluster, header, read FROM assigned_syn"""),
-    "cluster_union": _with(["assigned_syn", "reads_doc"], """
+    "cluster_union": _with(["assigned_syn", "reads_any"], """
         SELECT concat('cluster_', CAST(cluster AS VARCHAR)) AS cluster, header, read FROM assigned_syn
-        UNION ALL SELECT source, header, read FROM reads_doc"""),
+        UNION ALL SELECT source, header, read FROM reads_any"""),
     "cluster_count": _with(["assigned_syn"], "SELECT count(DISTINCT cluster) AS n_clusters FROM assigned_syn"),
     "centroid_sink": _with(["otus_syn"], "SELECT concat('OTU_', CAST(otu_num AS VARCHAR)) AS otu, read FROM otus_syn"),
     "otu_table": _with(["named_syn"], f"SELECT otu, {_SAMPLE_SUMS} FROM named_syn GROUP BY otu, otu_num ORDER BY otu_num"),
@@ -327,7 +445,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT DISTINCT otu FROM named_syn) o CROSS JOIN (SELECT DISTINCT sample FROM named_syn) s
         LEFT JOIN named_syn k ON k.otu = o.otu AND k.sample = s.sample GROUP BY ALL"""),
     "abundance_filter": _with(["seqs_syn"], "SELECT seq_id, abundance FROM seqs_syn"),
-    "base_code": _with(["reads_doc"], "SELECT header, translate(read, 'ACGT', '0103') AS code FROM reads_doc"),
+    "base_code": _with(["reads_any"], "SELECT header, translate(read, 'ACGT', '0103') AS code FROM reads_any"),
     "kmer_index": _with(["seqs_doc"], f"SELECT word, CAST({_digits('word')} AS BIGINT) AS kmer FROM (SELECT DISTINCT word FROM ({_WINDOWS}))"),
     "kmer_explode": _with(["seqs_doc"], f"SELECT seq_id, CAST(pos AS INT) AS pos, CAST({_digits('word')} AS BIGINT) AS kmer FROM ({_WINDOWS})"),
     "kmer_counts": _with(["seqs_doc"], f"""
@@ -338,15 +456,19 @@ ORACLES: dict[str, str] = {
     "header_set_explode": _with(["reads_syn", "seqs_syn"], """
         SELECT r.header, concat('cluster_', CAST(s.fam + 16 AS VARCHAR)) AS cluster
         FROM (SELECT DISTINCT header, md5(read) AS seq_id FROM reads_syn) r JOIN seqs_syn s USING (seq_id)"""),
-    "sample_extract": _with(["reads_doc", "reads_syn"], """
+    "sample_extract": _with(["reads_any", "reads_syn"], """
         SELECT header, split_part(header, '_', 1) AS sample
-        FROM (SELECT header FROM reads_doc UNION ALL SELECT header FROM reads_syn)"""),
+        FROM (SELECT header FROM reads_any UNION ALL SELECT header FROM reads_syn)"""),
     "cluster_filter": _with(["members"], "SELECT seq_id, cluster FROM members WHERE cluster = 16"),
     "alignment_sweep": _sweep_sql(),
     "divide_unlimited": _with(["seqs_syn"], """
         SELECT count(*) AS labels, count(DISTINCT seq_id) AS reads, count(*)::BIGINT AS in_leaves,
                0::BIGINT AS outside_leaves, 0::BIGINT AS nested FROM seqs_syn"""),
     "short_reads": f"SELECT count(*) AS n_short FROM documents WHERE length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) < {K}",
+    "subcluster_many": _with(["many"], """
+        SELECT CAST(m.cluster AS VARCHAR) AS cluster, m.header AS query, f.header AS target, round(1 - hamming(m.read, f.read) / 128.0, 9) AS identity
+        FROM many m JOIN (SELECT fam, min(header) AS header, arg_min(read, header) AS read FROM many GROUP BY fam) f ON f.fam = m.fam
+        WHERE m.header <> f.header"""),
     "subcluster_picker": _with(["assigned_syn"], """
         SELECT CAST(cluster AS VARCHAR) AS cluster, header AS query, target, 1.0::DOUBLE AS identity
         FROM (SELECT *, first_value(header) OVER (PARTITION BY cluster ORDER BY length(read) DESC, header) AS target FROM assigned_syn)
@@ -381,9 +503,10 @@ ORACLES: dict[str, str] = {
     "medoid_radius": _with(["radii"], "SELECT cluster, round(radius, 9) AS radius FROM radii"),
     "radius_stop": _with(["radii"], f"SELECT cluster, round(radius, 9) AS radius FROM radii WHERE radius <= {TIGHT_RADIUS}"),
     "pic_bisect": _with(["cut"], "SELECT cluster, CAST(lm_ord AS INT) AS lm_ord, side FROM cut"),
-    "nearest_landmark": _with(["words", "spans", "landmarks"], _NEAREST.format(identity="round(c.shared / c.windows, 9)")),
+    "nearest_landmark": _with(["words", "spans", "landmarks", "facing_words"], _NEAREST.format(identity="round(c.shared / w.windows, 9)")),
     "nearest_landmark_aligned": _with(
-        ["words", "spans", "landmarks"], _NEAREST.format(identity="round(1 - hamming(u.read, l.read) / 128.0, 9)")),
+        ["words", "spans", "landmarks", "facing_words"], _NEAREST.format(identity="round(1 - hamming(f.read, l.read) / 128.0, 9)")),
+    "nearest_landmark_short": _short_sql(),
     "hit_dedupe": _with(["header_hits"], "SELECT header, cluster FROM header_hits"),
     "assign_all": _with(["by_header", "header_hits"], f"""
         , slots AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS slot FROM (SELECT DISTINCT cluster FROM header_hits))
@@ -396,6 +519,11 @@ ORACLES: dict[str, str] = {
         SELECT header, read FROM by_header WHERE header IN (SELECT header FROM header_hits)"""),
     "observed_clusters": _with(["hits_syn"], "SELECT DISTINCT cluster FROM hits_syn"),
     "cluster_members": _with(["assigned_syn"], "SELECT cluster, count(*) AS n_reads FROM assigned_syn GROUP BY cluster"),
+    "select_landmarks_aligned": _with(["picked"], "SELECT cluster, CAST(lm_ord AS INT) AS lm_ord, seq_id FROM picked", ALIGNED),
+    "kmer_counts_strict": _with(["reads_doc"], f"""
+        , odd AS (SELECT DISTINCT translate(read, 'G', 'N') AS read FROM reads_doc), windows AS (
+          SELECT md5(read) AS seq_id, substr(read, i, {K}) AS word FROM (SELECT read, unnest(range(1, length(read) - {K} + 2)) AS i FROM odd))
+        SELECT seq_id, CAST({_digits('word')} AS BIGINT) AS kmer, count(*) AS cnt FROM windows WHERE NOT contains(word, 'N') GROUP BY seq_id, word"""),
     "stage_counts": _with(["reads_syn", "unique_syn"], """
         SELECT 'input' AS stage, count(*) AS n FROM reads_syn UNION ALL SELECT 'unique', count(*) FROM unique_syn
         UNION ALL SELECT 'abundant', count(*) FROM unique_syn WHERE abundance >= 2"""),
@@ -425,12 +553,12 @@ ORACLES: dict[str, str] = {
           SELECT *, row_number() OVER (PARTITION BY cluster
                     ORDER BY {_key("concat_ws('|', '0', CAST(cluster AS VARCHAR), '0', seq_id)")}, seq_id) AS rn
           FROM members) WHERE rn = 1"""),
-    "length_rank": _with(["reads_doc"], """
+    "length_rank": _with(["reads_any"], """
         SELECT source AS cluster, header,
-               CAST(row_number() OVER (PARTITION BY source ORDER BY length(read) DESC, header) AS INT) AS rank FROM reads_doc"""),
-    "otu_numbering": _with(["reads_doc"], """
+               CAST(row_number() OVER (PARTITION BY source ORDER BY length(read) DESC, header) AS INT) AS rank FROM reads_any"""),
+    "otu_numbering": _with(["reads_any"], """
         SELECT source AS cluster, header AS centroid, n AS otu_num, concat('OTU_', CAST(n AS VARCHAR)) AS otu FROM (
-          SELECT *, row_number() OVER (ORDER BY source, length(read) DESC, header) - 1 AS n FROM reads_doc)"""),
+          SELECT *, row_number() OVER (ORDER BY source, length(read) DESC, header) - 1 AS n FROM reads_any)"""),
     "select_landmarks": _with(["picked"], "SELECT cluster, lm_ord, seq_id FROM picked"),
     "split_once": _split_once(),
     "subcluster": _with(["assigned_syn", "centroids_syn"], """
@@ -438,3 +566,16 @@ ORACLES: dict[str, str] = {
                round(1 - hamming(a.read, c.read) / 128.0, 9) AS identity
         FROM assigned_syn a JOIN centroids_syn c ON c.cluster = a.cluster WHERE a.header <> c.centroid"""),
 }
+ORACLES["divide_kmer"] = _with([f"labels_{SPLITS}"], f"SELECT seq_id, CAST(cluster AS BIGINT) AS cluster FROM labels_{SPLITS}")
+ORACLES["leaf_landmarks_kmer"] = _with(["leaf_landmarks"], "SELECT CAST(cluster AS BIGINT) AS cluster, CAST(lm_ord AS INT) AS lm_ord, seq_id, read FROM leaf_landmarks")
+ORACLES["otu_end_to_end_kmer"] = _with(["leaf_hits", "by_header", "unique_syn"], f"""
+    , slots AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS slot FROM (SELECT DISTINCT cluster FROM leaf_hits)),
+    placed AS (
+      SELECT r.header, r.read, coalesce(h.cluster, s.cluster) AS cluster FROM by_header r LEFT JOIN leaf_hits h ON h.header = r.header
+      LEFT JOIN slots s ON s.slot = {_key("concat_ws('|', 'fallback|0', r.header)")} % (SELECT count(*) FROM slots)),
+    units AS (SELECT p.*, u.fam, min(p.header) OVER (PARTITION BY p.cluster, u.fam) AS centroid FROM placed p JOIN unique_syn u ON u.read = p.read),
+    otus AS (SELECT cluster, centroid, row_number() OVER (ORDER BY cluster, centroid) - 1 AS otu_num FROM (SELECT DISTINCT cluster, centroid FROM units))
+    SELECT otu_num, concat('OTU_', CAST(otu_num AS VARCHAR)) AS otu, split_part(header, '_', 1) AS sample, count(*) AS n
+    FROM units JOIN otus USING (cluster, centroid) WHERE header <> centroid GROUP BY ALL""")
+ORACLES["stage_counts_observed"] = ORACLES["stage_counts"]
+ORACLES["nearest_landmark_stream"] = ORACLES["nearest_landmark_aligned"]

@@ -12,6 +12,7 @@ from readgrove.plans.divide import DivideParams, divide, split
 from readgrove.plans.otu_run import build_otus
 from readgrove.session import materialise, scratch_path, small
 from readgrove.sources import fasta, tables
+from readgrove.streaming.assign import assign_new_files
 from readgrove.workload import fixtures as X
 
 K, FAMILIES, SAMPLES = X.K, X.FAMILIES, X.SAMPLES
@@ -42,7 +43,7 @@ def fasta_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def fasta_parse(spark: SparkSession, sf: str) -> DataFrame:
     folded = F.regexp_replace(F.lower("read"), "(.{60})", "$1\n")
-    path = _fasta_of(X.reads_doc(spark, sf).withColumn("read", folded), "folded")
+    path = _fasta_of(X.reads_any(spark, sf).withColumn("read", folded), "folded")
     return fasta.parse_fasta(fasta.read_fasta(spark, path))
 
 
@@ -65,7 +66,7 @@ def hits_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hits_union(spark: SparkSession, sf: str) -> DataFrame:
-    docs = X.reads_doc(spark, sf).select(
+    docs = X.reads_any(spark, sf).select(
         F.concat(F.lit("Set("), F.col("header"), F.lit(")")).alias("header_set"), F.col("source").alias("cluster")
     )
     return tables.read_hits(spark, [_hits_path(X.hits_syn(spark, sf)), _hits_path(docs)])
@@ -94,21 +95,13 @@ def otu_table_scan(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_otu_table(spark, path, "sample", "centroid")
 
 
-def _partial_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """One written table per cluster, each with columns of its own, read back together."""
-    counts = materialise(otu.otu_counts(X.members_syn(spark, sf)), "counts")
-    paths = []
-    for cluster in range(FAMILIES, 2 * FAMILIES):
-        paths.append(scratch_path(spark, f"cluster_{cluster}"))
-        tables.write_counts(counts.where(F.col("cluster") == cluster), paths[-1], "sample", "centroid")
-    return tables.read_otu_table(spark, paths, "sample", "centroid")
-
-
 @query
 def otu_table_merge(spark: SparkSession, sf: str) -> DataFrame:
-    named = otu.number_otus(X.centroids_syn(spark, sf))
-    counts = _partial_tables(spark, sf).join(named.select("centroid", "cluster"), "centroid")
-    return otu.merge_otu_tables([counts], named).where("n > 0")
+    """One written table per cluster, each with columns of its own, read back together."""
+    path = scratch_path(spark, "partial_tables")
+    tables.write_count_tables(otu.otu_counts(X.members_syn(spark, sf)), path, "cluster", "sample", "centroid")
+    counts = tables.read_otu_table(spark, path, "sample", "centroid", table="cluster")
+    return otu.merge_otu_tables([counts], otu.number_otus(X.centroids_syn(spark, sf))).where("n > 0")
 
 
 # ---- sinks ---------------------------------------------------------------------------------
@@ -152,7 +145,7 @@ def cluster_fanout_sink(spark: SparkSession, sf: str) -> DataFrame:
 def cluster_union(spark: SparkSession, sf: str) -> DataFrame:
     paths = [scratch_path(spark, "clusters"), scratch_path(spark, "clusters")]
     fasta.write_clusters(_named(X.assigned_syn(spark, sf)), paths[0])
-    fasta.write_clusters(X.reads_doc(spark, sf).withColumnRenamed("source", "cluster"), paths[1])
+    fasta.write_clusters(X.reads_any(spark, sf).withColumnRenamed("source", "cluster"), paths[1])
     return fasta.read_clusters(spark, paths)
 
 
@@ -197,7 +190,7 @@ def abundance_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def base_code(spark: SparkSession, sf: str) -> DataFrame:
     ambiguous = F.translate(F.lower("read"), "g", "n")
-    return X.reads_doc(spark, sf).select("header", S.base_code(ambiguous).alias("code"))
+    return X.reads_any(spark, sf).select("header", S.base_code(ambiguous).alias("code"))
 
 
 @query
@@ -227,7 +220,7 @@ def header_set_explode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sample_extract(spark: SparkSession, sf: str) -> DataFrame:
-    heads = X.reads_doc(spark, sf).select("header").unionByName(X.reads_syn(spark, sf).select("header"))
+    heads = X.reads_any(spark, sf).select("header").unionByName(X.reads_syn(spark, sf).select("header"))
     return heads.select("header", S.sample_of(F.col("header")).alias("sample"))
 
 
@@ -347,8 +340,9 @@ def pic_bisect(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, sf: str, metric: str) -> DataFrame:
-    reads = materialise(kmers.profiles(X.unique_syn(spark, sf).select("seq_id", "read"), K), "reads")
-    found = search.nearest_landmark(reads, _family(spark, sf)[1], metric=metric)
+    unique = X.either_strand(X.unique_syn(spark, sf).select("seq_id", "read"))
+    reads = materialise(kmers.profiles(unique, K), "reads")
+    found = search.nearest_landmark(reads, _family(spark, sf)[1], metric=metric, strand="both", k=K)
     return found.withColumn("identity", F.round("identity", 9))
 
 
@@ -362,6 +356,27 @@ def nearest_landmark_aligned(spark: SparkSession, sf: str) -> DataFrame:
     return _search(spark, sf, "alignment")
 
 
+@query
+def nearest_landmark_short(spark: SparkSession, sf: str) -> DataFrame:
+    """The best of few landmarks for short irregular reads: the likeliest by k-mers often is not."""
+    reads = kmers.profiles(X.pairs_syn(spark, sf).select(F.col("pair").alias("seq_id"), F.col("a").alias("read")), 4)
+    marks = kmers.profiles(X.segment_landmarks(spark, sf), 4)
+    found = search.nearest_landmark(reads, marks, 0.5, strand="both", k=4)
+    return found.withColumn("identity", F.round("identity", 9))
+
+
+@query
+def nearest_landmark_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The search of ``nearest_landmark_aligned`` over files of reads that come in as a stream."""
+    path = scratch_path(spark, "incoming")
+    reads = X.either_strand(X.unique_syn(spark, sf).select("seq_id", "read"))
+    fasta.write_fasta(reads.withColumnRenamed("seq_id", "header").repartition(4), path)
+    sink, checkpoint = scratch_path(spark, "found"), scratch_path(spark, "stream")
+    found = assign_new_files(spark, path, _family(spark, sf)[1], sink, checkpoint, strand="both", k=K, files_at_once=2)
+    found = found.withColumnRenamed("header", "seq_id").drop("batch")
+    return found.withColumn("identity", F.round("identity", 9))
+
+
 def _header_hits(spark: SparkSession, sf: str) -> DataFrame:
     hits = assign.explode_header_sets(X.hits_syn(spark, sf))
     return materialise(assign.dedupe_hits(hits, "seq_id"), "hits")
@@ -426,6 +441,18 @@ def kmer_counts(spark: SparkSession, sf: str) -> DataFrame:
     return kmers.kmer_counts(X.seqs_doc(spark, sf), K)
 
 
+@query
+def kmer_counts_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """K-mer counts of reads with letters outside the four bases, whose windows are left out."""
+    reads = X.reads_doc(spark, sf).withColumn("read", F.translate("read", "G", "N"))
+    return kmers.kmer_counts(derep.dereplicate(reads), K, ambiguous="skip")
+
+
+@query
+def stage_counts_observed(spark: SparkSession, sf: str) -> DataFrame:
+    return derep.dereplicate_counted(X.reads_syn(spark, sf))[1]
+
+
 @query
 def cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return splits.cluster_sizes(X.members_fixed(spark, sf))
@@ -479,13 +506,13 @@ def seeded_pick(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def length_rank(spark: SparkSession, sf: str) -> DataFrame:
-    docs = X.reads_doc(spark, sf).withColumnRenamed("source", "cluster")
+    docs = X.reads_any(spark, sf).withColumnRenamed("source", "cluster")
     return picker.length_rank(docs).select("cluster", "header", "rank")
 
 
 @query
 def otu_numbering(spark: SparkSession, sf: str) -> DataFrame:
-    docs = X.reads_doc(spark, sf).select(F.col("source").alias("cluster"), F.col("header").alias("centroid"), "read")
+    docs = X.reads_any(spark, sf).select(F.col("source").alias("cluster"), F.col("header").alias("centroid"), "read")
     return otu.number_otus(docs).select("cluster", "centroid", "otu_num", "otu")
 
 
@@ -506,6 +533,13 @@ def select_landmarks(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.select("cluster", "lm_ord", "seq_id")
 
 
+@query
+def select_landmarks_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    members = materialise(X.members_fixed(spark, sf), "members")
+    chosen, _ = landmarks.select_landmarks(members, *_active(members), k=K, metric="alignment")
+    return chosen.select("cluster", "lm_ord", "seq_id")
+
+
 @query
 def split_once(spark: SparkSession, sf: str) -> DataFrame:
     members = materialise(X.members_fixed(spark, sf), "members")
@@ -549,14 +583,23 @@ def short_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def subcluster_picker(spark: SparkSession, sf: str) -> DataFrame:
-    """Units by a picker of one's own: the first read of a cluster takes all others."""
+    """Units by a picker of one's own, in rounds: the first read of a cluster takes all others."""
 
-    def first_takes_all(reads):
-        return reads[["header"]].rename(columns={"header": "query"}).assign(target=reads["header"].iloc[0], identity=1.0)
+    def first_takes_all(heads, open_reads):
+        first = heads.where(F.col("rank") == 1).select("cluster", F.col("header").alias("target"))
+        claims = open_reads.join(small(first, first.count(), 128), "cluster")
+        return claims.select("cluster", F.col("header").alias("query"), "target", F.lit(1.0).alias("identity"))
 
     return picker.subcluster(X.assigned_syn(spark, sf), picker=first_takes_all)[0]
 
 
+@query
+def subcluster_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy units where a cluster has very many centroids."""
+    members, _ = picker.subcluster(X.reads_many(spark, sf).drop("fam"))
+    return members.withColumn("identity", F.round("identity", 9))
+
+
 @query
 def leaf_landmarks(spark: SparkSession, sf: str) -> DataFrame:
     return _division(spark, sf).leaf_landmarks
@@ -574,6 +617,25 @@ def otu_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
     return build_otus(reads, DivideParams(num_leaves=8)).counts
 
 
+#: Four leaves by k-mer graphs, a division that SQL can follow split by split.
+FOUR = DivideParams(num_leaves=4, graph_metric="kmer")
+
+
+@query
+def divide_kmer(spark: SparkSession, sf: str) -> DataFrame:
+    return divide(X.seqs_syn(spark, sf), FOUR).labels.select("seq_id", "cluster")
+
+
+@query
+def leaf_landmarks_kmer(spark: SparkSession, sf: str) -> DataFrame:
+    return divide(X.seqs_syn(spark, sf), FOUR).leaf_landmarks
+
+
+@query
+def otu_end_to_end_kmer(spark: SparkSession, sf: str) -> DataFrame:
+    return build_otus(X.reads_syn(spark, sf).select("header", "read"), FOUR, metric="kmer").counts
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """``cluster, size, n_landmarks`` of the leaves of the divided reads."""
     done = _division(spark, sf)

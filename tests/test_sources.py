@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from readgrove.operators import otu
 from readgrove.operators.derep import abundant, dereplicate, header_sets, stage_counts
 from readgrove.sources import fasta, tables
 
@@ -90,6 +91,30 @@ def test_tables_of_other_columns_are_read_under_their_own_headers(spark, tmp_pat
     assert text == "sample\tc1\tc2\ns1\t3\t0\ns2\t0\t4\n"
 
 
+def test_counts_keep_the_table_they_come_from(spark, tmp_path):
+    rows = [(4, "s1", "c1", 3), (4, "s2", "c2", 4), (5, "s1", "c1", 7), (5, "s3", "c9", 8), (None, "s1", "c1", 9), (6, "s1", "c1", 1)]
+    counts = spark.createDataFrame(rows, "cluster bigint, sample string, centroid string, n bigint")
+    tables.write_count_tables(counts, str(tmp_path / "t"), "cluster", "sample", "centroid")
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["cluster=4", "cluster=5", "cluster=6"]
+    text = "".join(p.read_text() for p in sorted((tmp_path / "t" / "cluster=5").glob("part-*")))
+    assert text == "sample\tc1\tc9\ns1\t7\t0\ns3\t0\t8\n"
+    found = tables.read_otu_table(spark, str(tmp_path / "t"), "sample", "centroid", table="cluster").where("n > 0")
+    assert {tuple(r) for r in found.collect()} == {(str(c), s, m, n) for c, s, m, n in rows if c is not None}
+    (tmp_path / "cluster_7_table.txt").write_text("\tc1\tc3\ns1\t5\t0\n")
+    one = tables.read_otu_table(spark, str(tmp_path / "cluster_7_table.txt"), "sample", "centroid", corner="", table="cluster", name="(cluster_[0-9]+)_table")
+    assert {tuple(r) for r in one.collect()} == {("cluster_7", "s1", "c1", 5), ("cluster_7", "s1", "c3", 0)}
+
+
+def test_two_clusters_that_name_a_centroid_alike_are_two_units(spark, tmp_path):
+    rows = [(4, "s1", "c1", 3), (5, "s1", "c1", 7), (5, "s2", "c2", 1)]
+    counts = spark.createDataFrame(rows, "cluster bigint, sample string, centroid string, n bigint")
+    tables.write_count_tables(counts, str(tmp_path / "t"), "cluster", "sample", "centroid")
+    read = tables.read_otu_table(spark, str(tmp_path / "t"), "sample", "centroid", table="cluster")
+    heads = spark.createDataFrame([(4, "c1", "ACGT"), (5, "c1", "ACG"), (5, "c2", "AC")], "cluster bigint, centroid string, read string")
+    merged = otu.merge_otu_tables([read], otu.number_otus(heads)).where("n > 0")
+    assert {(r["otu"], r["sample"], r["n"]) for r in merged.collect()} == {("OTU_0", "s1", 3), ("OTU_1", "s1", 7), ("OTU_2", "s2", 1)}
+
+
 def test_a_table_of_very_many_columns(spark, tmp_path):
     counts = spark.range(20_000).selectExpr("concat('s', id % 3) sample", "concat('c', id) centroid", "id + 1 n")
     tables.write_counts(counts, str(tmp_path / "t"), "sample", "centroid")

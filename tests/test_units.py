@@ -1,11 +1,12 @@
 import random
 
-import pandas as pd
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import readgrove.session as session
-from readgrove.operators import assign, otu, picker
+from readgrove.operators import assign, otu, picker, search
 from readgrove.operators.kmers import profiles
 from readgrove.operators.search import nearest_landmark
 from readgrove.plans.divide import DivideParams
@@ -33,35 +34,70 @@ def test_attach_beyond_the_limit(spark):
         assert sorted(map(tuple, got.select("cluster", "id", "x").collect())) == want
 
 
-def best_landmark(read, landmarks, metric, k, floor=0.6):
-    order = []
+def turned(read):
+    return read[::-1].translate(str.maketrans("ACGTacgt", "TGCAtgca"))
+
+
+def best_landmark(read, landmarks, metric, k, strands, floor=0.6):
+    """The best of all landmarks that share a k-mer, by comparing with every one."""
+    found = []
     for cluster, ord_, text in landmarks:
-        similarity = round(1 - brute.kmer_distance(read, text, k), 12)
-        order.append((-similarity, cluster, ord_, text))
-    for negative, cluster, ord_, text in sorted(order):
-        if negative == 0:
-            return None
-        value = -negative if metric == "kmer" else round(1 - brute.alignment_distance(read, text), 12)
-        if value >= floor:
-            return cluster, ord_, value
-        if metric == "kmer":
-            return None
-    return None
+        for turn, strand in enumerate(strands):
+            mine = turned(read) if strand == "-" else read
+            similarity = round(1 - brute.kmer_distance(mine, text, k), 12)
+            if similarity > 0:
+                value = similarity if metric == "kmer" else round(1 - brute.alignment_distance(mine, text), 12)
+                if value >= floor:
+                    found.append((-value, cluster, ord_, turn, strand))
+    if not found:
+        return None
+    value, cluster, ord_, _, strand = min(found)
+    return cluster, ord_, -value, strand
 
 
-@pytest.mark.parametrize("metric", ["kmer", "alignment"])
-def test_nearest_landmark_matches_brute_force(spark, metric):
-    k, rng = 4, random.Random(4)
+@pytest.fixture(scope="module")
+def searched():
+    rng = random.Random(4)
     reads = sorted(families(7, 5, 14, 36, 9)) + [random_read(rng, n) for n in (4, 7, 20, 50, 80)]
     landmarks = [(i % 6 + 2, i // 6, r) for i, r in enumerate(reads[::4] + [reads[0], random_read(rng, 9)])]
-    seqs = spark.createDataFrame([(r, r) for r in set(reads)], "seq_id string, read string")
+    return sorted({turned(r) if i % 3 == 0 else r for i, r in enumerate(reads)}), landmarks
+
+
+@pytest.mark.parametrize("metric", ["kmer", "alignment"])
+@pytest.mark.parametrize("strand", ["plus", "both"])
+@pytest.mark.parametrize("limit", [1 << 28, 2000])
+def test_nearest_landmark_matches_brute_force(spark, searched, metric, strand, limit):
+    k, (reads, landmarks) = 4, searched
+    seqs = spark.createDataFrame([(r, r) for r in reads], "seq_id string, read string").repartition(3)
     marks = spark.createDataFrame(landmarks, "cluster bigint, lm_ord int, read string")
-    found = nearest_landmark(profiles(seqs, k), profiles(marks, k), 0.6, metric).collect()
-    got = {r["seq_id"]: (r["cluster"], r["lm_ord"], r["identity"]) for r in found}
-    want = {r: best_landmark(r, landmarks, metric, k) for r in set(reads)}
+    found = nearest_landmark(profiles(seqs, k), profiles(marks, k), 0.6, metric, strand, k, limit).collect()
+    got = {r["seq_id"]: (r["cluster"], r["lm_ord"], r["identity"], r["strand"]) for r in found}
+    strands = "+-" if strand == "both" else "+"
+    want = {r: best_landmark(r, landmarks, metric, k, strands) for r in reads}
     assert len(found) == len(got)
     assert got == {r: v for r, v in want.items() if v is not None}
-    assert {r["strand"] for r in found} == {"+"}
+    assert {r["strand"] for r in found} == set(strands)
+
+
+def test_the_search_stops_early_and_shuffles_no_tokens(spark, searched):
+    k, (reads, landmarks) = 4, searched
+    seqs = profiles(spark.createDataFrame([(r, r) for r in reads], "seq_id string, read string"), k)
+    marks = profiles(spark.createDataFrame(landmarks, "cluster bigint, lm_ord int, read string"), k)
+    plan = nearest_landmark(seqs, marks, k=k, strand="both")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    index = search.Index.of(marks.orderBy("cluster", "lm_ord").toArrow())
+    rows = seqs.where(F.length("read") >= k).toArrow()
+    texts = rows["read"].to_pylist()
+    table = index.shared(rows["profile"].combine_chunks())
+    assert all(table[i, j] == round((1 - brute.kmer_distance(texts[i], index.reads[j], k)) * (min(len(texts[i]), len(index.reads[j])) - k + 1))
+               for i in range(0, len(texts), 7) for j in range(len(index.reads)))
+    best, aligned = search._by_alignment([table], [texts], index, 0.6, k)
+    assert 0 < aligned < 0.5 * (table > 0).sum()
+    # some reads only find their best landmark after the likeliest one
+    windows = np.maximum(0, np.minimum.outer([len(t) for t in texts], index.length) - k + 1)
+    likeliest = (table / np.maximum(windows, 1)).argmax(axis=1)
+    hit = best.landmark >= 0
+    assert (likeliest[hit] != best.landmark[hit]).any()
 
 
 def test_hits_and_fallback(spark):
@@ -102,10 +138,9 @@ def assigned_rows():
     return rows
 
 
-@pytest.mark.parametrize("room", [1 << 28, 1])
-def test_greedy_centroids_match_the_sequential_rule(spark, assigned_rows, monkeypatch, room):
-    monkeypatch.setattr(picker, "FIRST_BATCH", 3)
-    monkeypatch.setattr(picker, "BROADCAST_BYTES", room)
+@pytest.mark.parametrize("common", [64, 1 << 20])
+def test_greedy_centroids_match_the_sequential_rule(spark, assigned_rows, monkeypatch, common):
+    monkeypatch.setattr(picker, "COMMON", common)
     df = spark.createDataFrame(assigned_rows, "cluster string, header string, read string")
     members, centroids = picker.subcluster(df, 0.95)
     want_members, want_centroids = {}, set()
@@ -131,20 +166,88 @@ def test_reads_shorter_than_a_kmer_are_picked_too(spark):
     assert nothing.count() == 0 and none.count() == 0
 
 
-def test_custom_picker(spark, assigned_rows):
-    df = spark.createDataFrame(assigned_rows, "cluster string, header string, read string")
+@pytest.mark.parametrize("identity", [0.9, 0.8, 0.6])
+def test_chains_of_reads_alike_are_settled_in_order(spark, identity):
+    """Random walks: each read is alike to the last few, so centroids depend on centroids before them."""
+    rng, rows = random.Random(int(100 * identity)), []
+    for cluster in range(3):
+        for walk in range(4):
+            read = list(random_read(rng, 40))
+            for step in range(25):
+                rows.append((cluster, f"s{walk}_{rng.randrange(10**9)}", "".join(read)))
+                place = rng.randrange(len(read))
+                if rng.random() < 0.4:
+                    read.insert(place, rng.choice("ACGT"))
+                elif rng.random() < 0.4 and len(read) > 8:
+                    del read[place]
+                else:
+                    read[place] = rng.choice("ACGT")
+    members, centroids = picker.greedy_centroids(spark.createDataFrame(rows, "cluster int, header string, read string"), identity)
+    want_members, want_centroids = {}, set()
+    for cluster in range(3):
+        found, heads = brute.greedy([(h, r) for c, h, r in rows if c == cluster], identity)
+        want_members.update({(str(cluster), q): t for q, t in found.items()})
+        want_centroids |= {(str(cluster), h) for h, _ in heads}
+    assert {(r["cluster"], r["query"]): (r["target"], round(r["identity"], 12)) for r in members.collect()} == want_members
+    assert {(r["cluster"], r["centroid"]) for r in centroids.collect()} == want_centroids and len(want_centroids) > 12
 
-    def first_only(reads: pd.DataFrame) -> pd.DataFrame:
-        head = reads["header"].iloc[0]
-        return pd.DataFrame({"query": reads["header"], "target": head, "identity": 1.0})
 
-    members, centroids = picker.subcluster(df, picker=first_only)
+def test_many_reads_far_from_one_another_are_one_round(spark):
+    """20,000 centroids in one cluster, beside a group of reads alike to one of them."""
+    rng = random.Random(5)
+    alone = [("c", f"a_{i:05d}", random_read(rng, 100)) for i in range(20_000)]
+    base = alone[777][2]
+    alike = [("c", f"b_{i}", base[:i] + ("A" if base[i] != "A" else "C") + base[i + 1 :]) for i in range(100)]
+    rounds = []
+    kept, picker.materialise = picker.materialise, lambda df, name: rounds.append(name) or session.materialise(df, name)
+    try:
+        members, centroids = picker.greedy_centroids(spark.createDataFrame(alone + alike, "cluster string, header string, read string"))
+    finally:
+        picker.materialise = kept
+    assert rounds.count("round_centroids") == 1 and centroids.count() == 20_000
+    assert {(m["query"], m["target"]) for m in members.collect()} == {(h, "a_00777") for _, h, _ in alike}
+
+
+def first_takes_all(heads, open_reads):
+    first = heads.where(F.col("rank") == 1).select("cluster", F.col("header").alias("target"))
+    return open_reads.join(first, "cluster").select("cluster", F.col("header").alias("query"), "target", F.lit(1.0).alias("identity"))
+
+
+def same_start(heads, open_reads):
+    """A read joins the first read of the cluster that begins with the same letters."""
+    start = F.substring(F.upper("read"), 1, 2)
+    lead = Window.partitionBy("cluster", start).orderBy("rank")
+    first = heads.withColumn("nth", F.row_number().over(lead)).where("nth = 1").select("cluster", start.alias("start"), F.col("header").alias("target"))
+    named = open_reads.withColumn("start", start)
+    return named.join(first, ["cluster", "start"]).select("cluster", F.col("header").alias("query"), "target", F.lit(0.5).alias("identity"))
+
+
+def test_a_picker_that_takes_everything(spark, assigned_rows):
+    df = spark.createDataFrame(assigned_rows, "cluster string, header string, read string")
+    members, centroids = picker.subcluster(df, picker=first_takes_all)
     assert centroids.count() == 3 and members.count() == len(assigned_rows) - 3
     for row in centroids.collect():
         mine = sorted((-len(r), h) for c, h, r in assigned_rows if c == row["cluster"])
         assert row["centroid"] == mine[0][1]
 
 
+def test_a_picker_works_in_rounds_and_must_claim_its_heads(spark, assigned_rows, monkeypatch):
+    monkeypatch.setattr(picker, "FIRST_BATCH", 1)
+    monkeypatch.setattr(picker, "LARGEST_BATCH", 2)
+    df = spark.createDataFrame(assigned_rows, "cluster string, header string, read string")
+    members, centroids = picker.subcluster(df, picker=same_start)
+    first = {}
+    for cluster, header, read in sorted(assigned_rows, key=lambda r: (r[0], -len(r[2]), r[1])):
+        first.setdefault((cluster, read[:2].upper()), header)
+    assert {(r["cluster"], r["centroid"]) for r in centroids.collect()} == {(c, h) for (c, _), h in first.items()}
+    found = {(r["cluster"], r["query"]): r["target"] for r in members.collect()}
+    assert found == {(c, h): first[c, r[:2].upper()] for c, h, r in assigned_rows if first[c, r[:2].upper()] != h}
+    with pytest.raises(ValueError, match="without a claim"):
+        picker.subcluster(df, picker=lambda heads, reads: first_takes_all(heads, reads).where("query = target"))
+    nothing, none = picker.subcluster(df.limit(0), picker=first_takes_all)
+    assert nothing.count() == 0 and none.count() == 0
+
+
 def test_tables(spark):
     members = spark.createDataFrame(
         [("c4", "s1_1", "s1_9"), ("c4", "s1_2", "s1_9"), ("c4", "s2_1", "s1_9"), ("c5", "s2_7", "s3_3")],
