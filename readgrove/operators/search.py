@@ -150,7 +150,7 @@ def _by_alignment(shared: list[np.ndarray], reads: list[list[str]], index: Index
 
 def _hits(batches: Iterator[pa.RecordBatch], shared, min_identity: float, metric: str, k: int, names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows ``seq_id``, then read and profile of each strand, to the best hit of each read that has one."""
-    index = shared.value
+    index = Index(**shared.value)
     for batch in batches:
         step = max(1, CELLS // max(1, len(index.reads)))
         for at in range(0, batch.num_rows, step):
@@ -192,7 +192,7 @@ class Frozen:
         n = 1 if n == 1 else 2 * n
         key = F.pmod(F.xxhash64("cluster", "lm_ord"), F.lit(n))
         tables = (index.where(key == part).orderBy("cluster", "lm_ord").toArrow() for part in range(n))
-        parts = [context.broadcast(Index.of(table)) for table in tables]
+        parts = [context.broadcast(vars(Index.of(table))) for table in tables]
         return Frozen(parts, index.limit(0).toArrow().schema, {f.name: f.dataType for f in index.schema})
 
 

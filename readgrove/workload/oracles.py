@@ -142,7 +142,7 @@ def _iterate(iterations: int) -> None:
     for i in range(1, iterations + 1):
         VIEWS[f"values_{i}"] = ([f"values_{i - 1}", "ends", "degrees"], f"""
             SELECT cluster, v, y / sum(abs(y)) OVER (PARTITION BY cluster) AS x FROM (
-              SELECT b.cluster, b.v, sum(b.weight / g.degree * p.x) AS y
+              SELECT b.cluster, b.v, sum(b.weight / CASE WHEN g.degree > 0 THEN g.degree ELSE 1 END * p.x) AS y
               FROM ends b JOIN degrees g ON g.cluster = b.cluster AND g.v = b.v
               JOIN values_{i - 1} p ON p.cluster = b.cluster AND p.v = b.u GROUP BY b.cluster, b.v)""")
     VIEWS["cut"] = ([f"values_{iterations}"], f"""
@@ -336,14 +336,22 @@ FROM (SELECT pair, {last[1]} AS n FROM sweep WHERE d = la + lb AND i = la)
 #: Splits of the division that SQL replays, one view each for its labels, landmarks and cut.
 SPLITS = 3
 
+# the few landmarks' words first, so that no plan joins all words with all words
 _KMER_EDGES = """
+    WITH mine AS MATERIALIZED (SELECT w.seq_id, w.word, w.cnt FROM words w JOIN (SELECT DISTINCT seq_id FROM picked) p ON p.seq_id = w.seq_id),
+    s AS MATERIALIZED (SELECT p.seq_id AS i, q.seq_id AS j, sum(least(p.cnt, q.cnt)) AS shared FROM mine p JOIN mine q ON p.word = q.word GROUP BY 1, 2)
     SELECT a.cluster, a.lm_ord AS src, b.lm_ord AS dst, coalesce(s.shared, 0) / least(x.windows, y.windows) AS weight
     FROM picked a JOIN picked b ON a.cluster = b.cluster AND a.lm_ord < b.lm_ord
     JOIN spans x ON x.seq_id = a.seq_id JOIN spans y ON y.seq_id = b.seq_id
-    LEFT JOIN (SELECT p.seq_id AS i, q.seq_id AS j, sum(least(p.cnt, q.cnt)) AS shared
-               FROM (SELECT * FROM words WHERE seq_id IN (SELECT seq_id FROM picked)) p
-               JOIN (SELECT * FROM words WHERE seq_id IN (SELECT seq_id FROM picked)) q ON p.word = q.word
-               GROUP BY 1, 2) s ON s.i = a.seq_id AND s.j = b.seq_id"""
+    LEFT JOIN s ON s.i = a.seq_id AND s.j = b.seq_id"""
+
+_KMER_NEAR = """
+    WITH mine AS MATERIALIZED (SELECT w.word, w.cnt FROM words w JOIN pick_{before} p ON p.seq_id = w.seq_id),
+    s AS MATERIALIZED (SELECT x.seq_id, sum(least(x.cnt, y.cnt)) AS shared FROM words x JOIN mine y ON x.word = y.word GROUP BY 1)
+    SELECT n.* REPLACE (least(n.d_min, 1 - coalesce(s.shared, 0) / least(a.windows, b.windows)) AS d_min)
+    FROM near_{before} n JOIN pick_{before} p ON p.cluster = n.cluster
+    JOIN spans a ON a.seq_id = n.seq_id JOIN spans b ON b.seq_id = p.seq_id LEFT JOIN s ON s.seq_id = n.seq_id
+    WHERE n.m > {before} + 1"""
 
 
 def _division() -> None:
@@ -355,22 +363,23 @@ def _division() -> None:
         VIEWS[f"largest_{n}"] = ([f"labels_{n}"], f"SELECT cluster, count(*) AS size FROM labels_{n} GROUP BY cluster ORDER BY size DESC, cluster LIMIT 1")
         VIEWS[f"quotas_s{n}"] = ([f"largest_{n}"], f"SELECT cluster, size, greatest(CAST(ceil(log2(size)) AS INT) - 1, 1) AS m FROM largest_{n}")
         VIEWS[f"members_s{n}"] = ([f"labels_{n}", f"largest_{n}", "members"], f"""
-            SELECT m.seq_id, m.read, m.bucket, l.cluster FROM members m JOIN labels_{n} l USING (seq_id) JOIN largest_{n} USING (cluster)""")
+            SELECT m.seq_id, m.read, m.bucket, l.cluster FROM labels_{n} l JOIN largest_{n} g ON g.cluster = l.cluster JOIN members m ON m.seq_id = l.seq_id""")
         renamed = re.compile(rf"\b({'|'.join([*steps, 'members', 'quotas'])})\b")
         for name in steps:
             needs, body = VIEWS[name]
             if name == "edges":
                 needs, body = ["picked", "words", "spans"], _KMER_EDGES
+            elif name.startswith("near_") and name != "near_0":
+                body = _KMER_NEAR.format(before=int(name[5:]) - 1)
             VIEWS[f"{name}_s{n}"] = ([renamed.sub(rf"\1_s{n}", x) for x in needs], renamed.sub(rf"\1_s{n}", body))
         VIEWS[f"labels_{n + 1}"] = ([f"labels_{n}", f"members_s{n}", f"picked_s{n}", f"cut_s{n}", "words", "spans"], f"""
-            WITH dist AS (
+            WITH mine AS MATERIALIZED (SELECT w.seq_id, w.word, w.cnt FROM words w JOIN (SELECT DISTINCT seq_id FROM picked_s{n}) p ON p.seq_id = w.seq_id),
+            s AS MATERIALIZED (SELECT w.seq_id, v.seq_id AS lm_id, sum(least(w.cnt, v.cnt)) AS shared FROM words w JOIN mine v ON w.word = v.word GROUP BY 1, 2),
+            dist AS (
               SELECT m.seq_id, m.cluster, p.lm_ord, 1 - coalesce(s.shared, 0) / least(a.windows, b.windows) AS d
               FROM members_s{n} m JOIN picked_s{n} p ON p.cluster = m.cluster
               JOIN spans a ON a.seq_id = m.seq_id JOIN spans b ON b.seq_id = p.seq_id
-              LEFT JOIN (SELECT w.seq_id, v.seq_id AS lm_id, sum(least(w.cnt, v.cnt)) AS shared
-                         FROM words w JOIN words v ON w.word = v.word
-                         WHERE w.seq_id IN (SELECT seq_id FROM members_s{n}) AND v.seq_id IN (SELECT seq_id FROM picked_s{n}) GROUP BY 1, 2) s
-                ON s.seq_id = m.seq_id AND s.lm_id = p.seq_id),
+              LEFT JOIN s ON s.seq_id = m.seq_id AND s.lm_id = p.seq_id),
             means AS (
               SELECT d.seq_id, d.cluster, round(avg(CASE WHEN side = 0 THEN d END), 12) AS l, round(avg(CASE WHEN side = 1 THEN d END), 12) AS r
               FROM dist d JOIN cut_s{n} c ON c.cluster = d.cluster AND c.lm_ord = d.lm_ord GROUP BY 1, 2)
@@ -383,12 +392,12 @@ def _division() -> None:
         SELECT k.cluster, k.lm_ord, k.seq_id, s.read FROM ({passed}) k JOIN seqs_syn s USING (seq_id)
         WHERE k.cluster IN (SELECT cluster FROM labels_{SPLITS})""")
     VIEWS["leaf_hits"] = (["leaf_landmarks", "words", "spans", "reads_syn"], """
-        WITH near AS (
+        WITH mine AS MATERIALIZED (SELECT w.seq_id, w.word, w.cnt FROM words w JOIN (SELECT DISTINCT seq_id FROM leaf_landmarks) p ON p.seq_id = w.seq_id),
+        c AS MATERIALIZED (SELECT a.seq_id, b.seq_id AS lm_id, sum(least(a.cnt, b.cnt)) AS shared FROM words a JOIN mine b ON a.word = b.word GROUP BY 1, 2),
+        near AS (
           SELECT seq_id, cluster FROM (
             SELECT c.seq_id, l.cluster, row_number() OVER (PARTITION BY c.seq_id ORDER BY round(c.shared / least(x.windows, y.windows), 12) DESC, l.cluster, l.lm_ord) AS rn
-            FROM (SELECT a.seq_id, b.seq_id AS lm_id, sum(least(a.cnt, b.cnt)) AS shared FROM words a JOIN words b ON a.word = b.word
-                  WHERE b.seq_id IN (SELECT seq_id FROM leaf_landmarks) GROUP BY 1, 2) c
-            JOIN leaf_landmarks l ON l.seq_id = c.lm_id JOIN spans x ON x.seq_id = c.seq_id JOIN spans y ON y.seq_id = c.lm_id
+            FROM c JOIN leaf_landmarks l ON l.seq_id = c.lm_id JOIN spans x ON x.seq_id = c.seq_id JOIN spans y ON y.seq_id = c.lm_id
             WHERE c.shared / least(x.windows, y.windows) >= 0.6) WHERE rn = 1)
         SELECT header, cluster FROM (
           SELECT r.header, concat('cluster_', CAST(n.cluster AS VARCHAR)) AS cluster, row_number() OVER (PARTITION BY r.header ORDER BY n.seq_id DESC) AS rn
