@@ -33,8 +33,8 @@ COVERED = 80
 SCALE = 2_000_000
 #: Bytes of texts that a task counts at once, and that it cuts into words at once.
 STRETCH, PART = 16 << 20, 2 << 20
-#: Bits of the map of frequent phrases: that many for each, and that many in all, 16 MB.
-BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Bits of the map of frequent phrases: that many for each, so that few rare ones pass, and that many in all, 8 MB.
+BITS_EACH, MOST_BITS = 256, 1 << 26
 #: Prefixes with more than 1 / HEAVY of all words, at most so many, have their stripes cut in SLOTS.
 HEAVY, SLOTS = 4096, 64
 #: Entries of stripes sent on at once.
