@@ -1,9 +1,12 @@
 """Personal data in texts: fixed formats, and candidates that boosted trees select.
 
-High-recall generators propose spans. Gradient-boosted trees, fitted on a bounded sample of
-candidates, score them by their format and context; the fixed formats are the labels, but what they
-validate (check digits, ranges, lengths) is not shown to the trees. A candidate outside the
-fixed formats becomes a span if its calibrated probability passes the threshold of its kind.
+High-recall generators propose overlapping spans. Validators that know more than the fixed formats label
+them: mail that is spelled out and comes to a domain, addresses of either version, check digits whatever
+stands between the digits, national phone plans. Gradient-boosted trees, fitted on a bounded sample of
+candidates, score format and context, not what the validators compute. The sample also has its own
+fixed-format spans written in other formats in their places, since a corpus may hold few of these. A
+candidate outside the fixed formats becomes a span if it is valid and its calibrated probability passes the
+threshold of its kind; of overlapping ones the likeliest.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from ipaddress import ip_address
 
 import numpy as np
 import pandas as pd
@@ -33,8 +37,8 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 
 #: Rows: documents whose candidates are looked at for fitting, and candidates fitted on, at most.
 SAMPLE_DOCS, FIT_ROWS = 20_000, 20_000
-#: Longest candidate, and how far around it the context reaches.
-LONGEST, AROUND = 60, 32
+#: Groups of digits that make a candidate at most, and how far around it the context reaches.
+GROUPS, AROUND = 8, 32
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 #: Share of selected candidates that must be right among those kept apart for calibration.
 PRECISION = 0.99
@@ -90,14 +94,79 @@ def spans_text(spans: list[Span]) -> str:
 
 # ---- candidates
 
-MAILBOX = re.compile(r"[^\s@<>\"']{1,40}@[^\s@<>\"',;]{2,60}")
-SPELLED = re.compile(r"[\w.+-]{1,40} ?[\[(]? ?at ?[\])]? ?[\w-]{1,40}(?: ?[\[(]? ?dot ?[\])]? ?[\w-]{1,20}){1,3}", re.I)
-NUMBERS = re.compile(r"\+?\(?[0-9][0-9 ().-]*[0-9]")
-COLONS = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}")
+# a run is looked at from its start only, so the time stays linear in the text
+MAILBOX = re.compile(r"(?<![^\s<>\"',;:()\[\]])[^\s@<>\"',;:()\[\]]+@[^\s@<>\"',;:()\[\]]+")
+AT, DOT = r"(?: ?[\[({] ?(?:at|AT) ?[\])}] ?| (?:at|AT) )", r"(?: ?[\[({] ?(?:dot|DOT) ?[\])}] ?| (?:dot|DOT) )"
+SPELLED = re.compile(rf"(?<![\w.+-])[\w.+-]+{AT}[\w-]+(?:{DOT}[\w-]+)+")
+NUMBERS = re.compile(r"\+?\(?[0-9](?:[ ().\-/]{0,3}[0-9])*")
+COLONS = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])")
+DIGITS = re.compile("[0-9]+")
 CUES = [
-    re.compile("mail|correo|write|contact", re.I), re.compile(r"\bip\b|host|server|address", re.I),
-    re.compile("card|visa|carte|tarjeta|karte", re.I), re.compile("phone|tel|call|mobile|fax", re.I),
+    re.compile("mail|correo|write|contact|schreib|courriel", re.I), re.compile(r"\bip\b|host|server|address|adresse", re.I),
+    re.compile("card|visa|carte|tarjeta|karte", re.I), re.compile("phone|tel|call|mobile|fax|anruf|appel|llam", re.I),
 ]
+#: Ends of domains that spelled-out mail is believed of, besides those of two letters.
+DOMAIN_ENDS = {"com", "org", "net", "edu", "gov", "info", "example", "test"}
+#: National phone numbers: an area code in brackets or from a leading zero, or three groups of which the last has four digits.
+NATIONAL = re.compile(r"\([0-9]{2,5}\)[ -]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|0[0-9]{1,4}(?:[ ./-][0-9]{2,4}){2,4}")
+
+
+#: A word for a telephone with nothing but marks and blanks after it, right before a number.
+CALLED = re.compile(f"(?:{CUES[3].pattern})[^0-9(]*$", re.I)
+
+
+def spelled_out(body: str) -> str | None:
+    """The mail address that a spelled-out one comes to, if it has a domain."""
+    mail = re.sub(DOT, ".", re.sub(AT, "@", body, count=1))
+    end = mail.rsplit(".", 1)[-1].lower()
+    believed = end in DOMAIN_ENDS or len(end) == 2 and end.isalpha()
+    return mail if believed and re.fullmatch(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", mail) else None
+
+
+def valid(kind: int, body: str, before: str) -> bool:
+    """Whether a candidate is that kind of personal data, by rules of its own for each kind."""
+    digits = NOT_DIGIT.sub("", body)
+    if kind == 0:
+        if "@" not in body:
+            return spelled_out(body) is not None
+        local, _, domain = body.partition("@")
+        labels = domain.rstrip(".").split(".")
+        return bool(local) and len(labels) > 1 and all(x.replace("-", "").isalnum() for x in labels) and labels[-1].isalpha() and len(labels[-1]) > 1
+    if kind == 1:
+        try:
+            return ip_address(body).version == 4 or len(body) > 6
+        except ValueError:
+            return False
+    if kind == 2:
+        return 14 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn(digits)
+    if body.startswith("+"):
+        return 10 <= len(digits) <= 15
+    return 9 <= len(digits) <= 12 and NATIONAL.fullmatch(body) is not None or 7 <= len(digits) <= 12 and CALLED.search(before[-16:]) is not None
+
+
+def _number_spans(start: int, body: str) -> Iterator[Span]:
+    """A run of numbers, whole and in stretches of its groups, so that a list of numbers is found number by number."""
+    groups = [(m.start(), m.end()) for m in DIGITS.finditer(body)]
+    for n, (first, _) in enumerate(groups):
+        begin = first - (body[first - 1] in "(+" if first else 0)
+        if begin and body[begin - 1] == "+":
+            begin -= 1
+        for _, end in groups[n : n + GROUPS]:
+            count = sum(map(str.isdigit, body[first:end]))
+            if count > 19:
+                break
+            span = body[begin:end]
+            if span.count("(") != span.count(")"):
+                continue
+            if span.count(".") == 3 and DOTTED.fullmatch(span):
+                yield start + begin, 1, start + end
+            if count >= 14:
+                yield start + begin, 2, start + end
+            if 7 <= count <= 15:
+                yield start + begin, 3, start + end
+
+
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 
 
 def candidates(text: str) -> list[Span]:
@@ -105,19 +174,14 @@ def candidates(text: str) -> list[Span]:
     found = []
     if "@" in text:
         found += [(m.start(), 0, m.end()) for m in MAILBOX.finditer(text)]
-    if "dot" in text:
+    if "dot" in text or "DOT" in text:
         found += [(m.start(), 0, m.end()) for m in SPELLED.finditer(text)]
+    if ":" in text:
+        found += [(m.start(), 1, m.end()) for m in COLONS.finditer(text) if m.end() - m.start() > 6]
     if DIGIT.search(text):
-        found += [(m.start(), 1, m.end()) for m in COLONS.finditer(text)]
         for m in NUMBERS.finditer(text):
-            if m.end() - m.start() <= LONGEST:
-                digits = sum(map(str.isdigit, m[0]))
-                if m[0].count(".") >= 3:
-                    found.append((m.start(), 1, m.end()))
-                if digits >= 12:
-                    found.append((m.start(), 2, m.end()))
-                if 7 <= digits <= 17:
-                    found.append((m.start(), 3, m.end()))
+            if m.end() - m.start() >= 7:
+                found += _number_spans(m.start(), m[0])
     return found
 
 
@@ -125,14 +189,17 @@ def features(text: str, span: Span, others: int) -> list[float]:
     """Format and context of a candidate."""
     start, kind, end = span
     body = text[start:end]
-    groups = [len(g) for g in re.findall("[0-9]+", body)]
+    groups = [len(g) for g in DIGITS.findall(body)]
     before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    low = body.lower()
     return [
         *(float(kind == k) for k in range(4)), len(body), sum(groups), len(groups), max(groups, default=0), min(groups, default=0),
-        groups[0] if groups else 0, groups[-1] if groups else 0, body.count(" "), body.count("-"), body.count("."), body.count("("),
-        body.count("@"), float(body.startswith("+")), sum(map(str.isalpha, body)), sum(map(str.isupper, body)), body.rfind(".") - body.rfind("@"),
+        groups[0] if groups else 0, groups[-1] if groups else 0, body.count(" "), body.count("-"), body.count("."), body.count("("), body.count(":"),
+        body.count("@"), float(body.startswith("+")), float(body.startswith("(")), float(body.startswith("0")), sum(map(str.isalpha, body)), sum(map(str.isupper, body)),
+        len(body) - max(body.rfind("."), low.rfind("dot ") + 3), body.rfind(".") - body.rfind("@"), float("at" in low), float("dot" in low), len({*groups}),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in " \n" or not before), float(after[:1] in " \n.," or not after),
-        sum(map(str.isdigit, before)), sum(map(str.isdigit, after)), float(bool(CUES[kind].search(before))), float(others),
+        float(before[-2:-1].isdigit()), float(after[1:2].isdigit()), sum(map(str.isdigit, before)), sum(map(str.isdigit, after)),
+        float(bool(CUES[kind].search(before))), float(others),
     ]
 
 
@@ -160,15 +227,53 @@ class Taken:
 
 
 def described(text: str) -> tuple[list[Span], np.ndarray, np.ndarray]:
-    """Candidates of a text, their features, and whether a fixed format of their kind holds them."""
+    """Candidates of a text, their features, and whether they are valid."""
     spans = candidates(text)
-    base = base_spans(text) if spans else []
-    held = [Taken([s for s in base if s[1] == k]) for k in range(len(KINDS))]
     rows = [features(text, span, len(spans)) for span in spans]
-    labels = [held[k].meets(a, b) for a, k, b in spans]
+    labels = [valid(k, text[a:b], text[max(0, a - AROUND) : a]) for a, k, b in spans]
     return spans, np.array(rows, np.float64), np.array(labels, np.int64)
 
 
+def rewritten(text: str, span: Span, turn: int) -> tuple[str, Span]:
+    """A text with a span of a fixed format written in another one, and the new span; ``turn`` picks the format."""
+    start, kind, end = span
+    body = text[start:end]
+    digits = NOT_DIGIT.sub("", body)
+    if kind == 0:
+        at, dot = ((" at ", " dot "), ("[at]", "[dot]"), (" (at) ", " (dot) "))[turn % 3]
+        name, _, domain = body.partition("@")
+        labels = domain.split(".")
+        if labels[-1].lower() not in DOMAIN_ENDS:
+            labels[-1] = ("com", "org", "de")[turn % 3]
+        new = re.sub("[^A-Za-z0-9_.+-]", "", name) + at + dot.join(labels)
+    elif kind == 1:
+        parts = [f"{int(p):x}" for p in body.split(".")]
+        new = ("2001:db8::{}:{}:{}:{}", "fe80:0:0:0:{}:{}:{}:{}", "2a02:{}:{}:{}:{}::1")[turn % 3].format(*parts)
+    elif kind == 2:
+        mark = (".", "/", "  ")[turn % 3]
+        new = mark.join(digits[n : n + 4] for n in range(0, len(digits), 4))
+    else:
+        last = digits[-10:]
+        new = (f"({last[:3]}) {last[3:6]}-{last[6:]}", f"{last[:3]}-{last[3:6]}-{last[6:]}", f"0{last[1:4]} {last[4:7]} {last[7:]}")[turn % 3]
+    return text[:start] + new + text[end:], (start, kind, start + len(new))
+
+
+def sampled(text: str, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to fit on: the candidates of a text, and of its rewritten spans those candidates that meet them."""
+    spans, x, y = described(text)
+    rows, labels = [*x], [*y]
+    for n, span in enumerate(base_spans(text) if spans else []):
+        other, (start, _, end) = rewritten(text, span, turn + n)
+        around = max(0, start - 4 * AROUND)
+        piece = other[around : end + 4 * AROUND]
+        found = candidates(piece)
+        for a, k, b in found:
+            if a < end - around and start - around < b:
+                rows.append(np.array(features(piece, (a, k, b), len(found)), np.float64))
+                labels.append(int(valid(k, piece[a:b], piece[max(0, a - AROUND) : a])))
+    return np.array(rows, np.float64), np.array(labels, np.int64)
+
+
 # ---- boosted trees
 
 
@@ -275,8 +380,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
         for frame in frames:
             out = []
             for key, text in zip(frame["key"], frame["text"], strict=True):
-                spans, x, y = described(text or "")
-                out += [(key, n, int(y[n]), x[n]) for n in range(len(spans))]
+                x, y = sampled(text or "", key % 3)
+                out += [(key, n, int(y[n]), x[n]) for n in range(len(y))]
             yield pd.DataFrame(out, columns=["key", "n", "y", "x"])
 
     rows = texts.mapInPandas(run, "key long, n int, y int, x array<double>")
@@ -295,14 +400,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
 
 def added_spans(text: str, base: list[Span], model: Boosted) -> list[Span]:
-    """Selected candidates that meet no span of the fixed formats, the likeliest first where they overlap."""
+    """Selected valid candidates that meet no span of the fixed formats, the likeliest first where they overlap."""
+    taken, added = Taken(base), []
     spans = candidates(text)
-    if not spans:
+    free = [s for s in spans if not taken.meets(s[0], s[2]) and valid(s[1], text[s[0] : s[2]], text[max(0, s[0] - AROUND) : s[0]])]
+    if not free:
         return []
-    p = model.probability(np.array([features(text, s, len(spans)) for s in spans], np.float64))
-    taken, added = Taken(base), []
-    for n in np.argsort(-p, kind="stable"):
-        a, k, b = spans[n]
+    p = model.probability(np.array([features(text, s, len(spans)) for s in free], np.float64))
+    # of about equally likely ones the longer
+    for n in sorted(range(len(free)), key=lambda i: (-round(p[i], 2), free[i][0] - free[i][2], free[i])):
+        a, k, b = free[n]
         if p[n] >= model.bounds[k] and not taken.meets(a, b):
             taken.add(a, b)
             added.append((a, k, b))
