@@ -20,15 +20,29 @@ WITH RECURSIVE rules(verdict, host, path) AS (
     VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
            ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), found AS (
-    SELECT url, unnest([
-        regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0),
-        regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0)]) AS tag
+    SELECT DISTINCT url, regexp_extract(url, '^(?s)(.*?)://', 1) AS scheme, regexp_extract(url, '^(?s)(.*?://[^/?#]*)', 1) AS root,
+           regexp_extract(url, '^(?s).*?://[^/?#]*([^?#]*)', 1) AS path, regexp_replace(unnest(list_concat(
+               list_transform(list_filter(regexp_extract_all(html, '(?is)<link\\b[^>]*>'), lambda tag: regexp_matches(tag, '(?is)\\brel\\s*=\\s*["'']?canonical\\b')),
+                              lambda tag: regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)),
+               list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\\b[^>]*>'), lambda tag: regexp_matches(tag, '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
+                              lambda tag: regexp_extract(tag, '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)))), '&(amp|AMP|#38|#x26);', '&', 'g') AS link
     FROM pages WHERE contains(url, '://')
-), targets AS (
-    SELECT url, regexp_extract(tag, '(?is)\\b(?:href|url)\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target FROM found WHERE tag <> ''
+), resolved AS (
+    SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link
+                     WHEN starts_with(link, '/') THEN root || link WHEN starts_with(link, '?') THEN root || path || link
+                     WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(link, '#') THEN NULL
+                     ELSE root || CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(?s)(.*/)', 1) ELSE '/' END || link END AS target
+    FROM found WHERE link <> ''
+), parted AS (
+    SELECT url, regexp_extract(target, '^(?s)(.*?://[^/?#]*)', 1) AS head, regexp_extract(target, '^(?s).*?://[^/?#]*([^?#]*)', 1) AS path,
+           regexp_extract(target, '^(?s).*?://[^/?#]*[^?#]*(.*)$', 1) AS rest
+    FROM resolved WHERE target IS NOT NULL
 ), whole AS (
-    SELECT url, CASE WHEN target LIKE '/%' AND target NOT LIKE '//%' THEN regexp_extract(url, '^(?s)(.*?://[^/?#]*)', 1) || target ELSE target END AS target
-    FROM targets
+    SELECT url, head || CASE WHEN NOT contains(path, '/.') THEN path ELSE array_to_string(list_reduce(
+               list_transform(string_split(regexp_replace(path, '/(\\.{1,2})$', '/\\1/'), '/'), lambda part: [part]),
+               lambda kept, part: CASE WHEN part[1] = '..' THEN kept[1:greatest(len(kept) - 1, 1)] WHEN part[1] = '.' THEN kept ELSE list_concat(kept, part) END), '/') END
+           || rest AS target
+    FROM parted
 ), links AS (
     SELECT DISTINCT
            lower(regexp_extract(url, '^(?s)(.*?://[^/?#]*)', 1)) || regexp_extract(url, '^(?s).*?://[^/?#]*([^#]*)', 1) AS s,

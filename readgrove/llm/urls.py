@@ -69,20 +69,47 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("url").agg(best.alias("best")).select("url", "best.rule", "best.verdict")
 
 
-def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``source, target`` addresses of canonical and redirect links in whole pages.
+def without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; it never rises above the root."""
+    parts = F.split(F.regexp_replace(path, "/(\\.{1,2})$", "/$1/"), "/", -1)
+    step = lambda kept, part: (
+        F.when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))))
+        .when(part == ".", kept)
+        .otherwise(F.array_append(kept, part))
+    )
+    walked = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.slice(parts, 1, 1), step)
+    return F.when(path.contains("/."), F.array_join(walked, "/")).otherwise(path)
+
+
+def resolve(base: Column, link: Column) -> Column:
+    """The address that a link on the page ``base`` names; null where it names no page of a host.
 
-    Only absolute links can be followed to another page of the table, and links relative to
-    the host's root.
+    Links may be whole, begin with ``//``, ``/``, ``?`` or a name, and hold ``&amp;`` and dot segments.
     """
+    link = F.regexp_replace(link, "&(?:amp|AMP|#38|#x26);", "&")
+    scheme, root = F.regexp_extract(base, "^(?s)(.*?)://", 1), F.regexp_extract(base, "^(?s)(.*?://[^/?#]*)", 1)
+    path = url_path(base)
+    folder = F.when(path.contains("/"), F.regexp_extract(path, "^(?s)(.*/)", 1)).otherwise(F.lit("/"))
+    whole = (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(root, path, link))
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | link.startswith("#") | (link == ""), F.lit(None))
+        .otherwise(F.concat(root, folder, link))
+    )
+    head, rest = F.regexp_extract(whole, "^(?s)(.*?://[^/?#]*)", 1), F.regexp_extract(whole, "^(?s).*?://[^/?#]*[^?#]*(.*)$", 1)
+    return F.concat(head, without_dots(url_path(whole)), rest)
+
+
+def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``source, target`` addresses of all canonical and redirect links in whole pages, resolved against the page."""
     url, html = F.col(url_col), F.col(html_col)
-    found = F.array(F.regexp_extract(html, CANONICAL, 1), F.regexp_extract(html, REFRESH, 1))
+    found = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1)))
     has = F.lower(html)
     links = pages.where(url.contains("://") & (has.contains("canonical") | has.contains("refresh")))
     links = links.select(url.cast("string").alias("source"), F.explode(F.array_distinct(found)).alias("target"))
-    root = F.regexp_extract("source", "^(?s)(.*?://[^/?#]*)", 1)
-    target = F.when(F.col("target").startswith("/") & ~F.col("target").startswith("//"), F.concat(root, "target")).otherwise(F.col("target"))
-    return links.withColumn("target", target).where(F.col("target").contains("://"))
+    return links.select("source", resolve(F.col("source"), F.col("target")).alias("target")).where("target is not null")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -117,10 +144,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, links: DataFrame | None = Non
 
 def _aliases(urls: DataFrame, ruled: DataFrame, edges: DataFrame) -> DataFrame:
     """Verdicts of urls without a rule that are linked, over any number of links, to ruled ones."""
-    node = F.xxhash64
-    comp = connected_components(edges.select(node("s").alias("a"), node("t").alias("b")))
-    named = urls.select("url", node(url_key(F.col("url"))).alias("node")).join(comp, "node")
-    named = materialise(named, "linked_urls")
+    # linked addresses get numbers, which cannot meet as hashes can
+    ends = edges.select(F.explode(F.array("s", "t")).alias("key")).distinct()
+    keys = materialise(ends.withColumn("node", F.monotonically_increasing_id()), "addresses")
+    numbered = edges.join(keys.select(F.col("key").alias("s"), F.col("node").alias("a")), "s")
+    numbered = numbered.join(keys.select(F.col("key").alias("t"), F.col("node").alias("b")), "t")
+    comp = connected_components(materialise(numbered.select("a", "b"), "numbered_links"))
+    named = urls.select("url", url_key(F.col("url")).alias("key")).join(keys, "key").join(comp, "node")
+    named = materialise(named.select("url", "component"), "linked_urls")
     told = named.join(ruled, "url", "left")
     allowed = F.max(F.when(F.col("verdict") == "allow", 1).otherwise(0))
     blocked = F.max(F.when(F.col("verdict") == "block", 1).otherwise(0))
