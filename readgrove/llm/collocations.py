@@ -47,8 +47,9 @@ ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 ONE_END = re.compile(rb"[.,;:!?\n-\r]")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
-STRIPE = "lang string, prefix string, slot int, next array<string>, times array<long>"
-MERGED = STRIPE + ", total long, best long"
+# between tasks the entries of a stripe are two texts, next words and times, parted by spaces: a third of the bytes of arrays
+STRIPE = "lang string, prefix string, slot int, next string, times string"
+MERGED = "lang string, prefix string, slot int, next array<string>, times array<long>, total long, best long"
 
 
 # ---- words and hashes in a task
@@ -222,6 +223,11 @@ def _joined(words: pa.Array, numbers: list[np.ndarray]) -> pa.Array:
     return parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
 
 
+def _entries(offsets: pa.Array, words: pa.Array, times: np.ndarray) -> list[pa.Array]:
+    """The words and times of each stripe as texts."""
+    return [pc.binary_join(pa.ListArray.from_arrays(offsets, column), " ") for column in (words, pa.array(times).cast(pa.string()))]
+
+
 def _stripes(batches: Iterator[pa.RecordBatch], size: int, shared) -> Iterator[pa.RecordBatch]:
     """Texts to the stripes of their prefixes of ``size`` words; those of heavy prefixes are cut by next word."""
     maps, heavy = shared.value
@@ -247,7 +253,7 @@ def _stripes(batches: Iterator[pa.RecordBatch], size: int, shared) -> Iterator[p
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([lang] * len(names), pa.string()), names, pa.array(slot[edge[start:stop]], pa.int32()),
-                    pa.ListArray.from_arrays(offsets, words.take(pa.array(after[a:b]))), pa.ListArray.from_arrays(offsets, pa.array(times[a:b], pa.int64())),
+                    *_entries(offsets, words.take(pa.array(after[a:b])), times[a:b]),
                 ],
                 ["lang", "prefix", "slot", "next", "times"],
             )
@@ -260,11 +266,12 @@ def _sums(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa
     new = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     first = np.flatnonzero(np.concatenate([[True], new]))
     run = np.concatenate([[0], np.cumsum(new)])
-    entries = np.repeat(run, pc.list_value_length(batch.column(3)).to_numpy())
-    coded = batch.column(3).flatten().dictionary_encode()
+    listed = pc.split_pattern(batch.column(3), " ")
+    entries = np.repeat(run, pc.list_value_length(listed).to_numpy())
+    coded = listed.flatten().dictionary_encode()
     pair, place = np.unique(entries * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_inverse=True)
     times = np.zeros(len(pair), np.int64)
-    np.add.at(times, place, batch.column(4).flatten().to_numpy())
+    np.add.at(times, place, pc.split_pattern(batch.column(4), " ").flatten().cast(pa.int64()).to_numpy())
     run, word = np.divmod(pair, max(1, len(coded.dictionary)))
     return first, np.searchsorted(run, np.arange(len(first) + 1)), run, coded.dictionary.take(pa.array(word)), times
 
@@ -299,8 +306,8 @@ def _merge(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.Rec
         if last:
             yield told([k.slice(0, last) for k in keys], offsets[: last + 1], run[:cut], word.slice(0, cut), times[:cut])
         one = pa.array([0, len(times) - cut], pa.int32())
-        lists = [pa.ListArray.from_arrays(one, v) for v in (pa.concat_arrays([word.slice(cut)]), pa.array(times[cut:]))]
-        wait = pa.RecordBatch.from_arrays([*(pa.concat_arrays([k.slice(last)]) for k in keys), *lists], schema=batch.schema)
+        texts = _entries(one, pa.concat_arrays([word.slice(cut)]), times[cut:])
+        wait = pa.RecordBatch.from_arrays([*(pa.concat_arrays([k.slice(last)]) for k in keys), *texts], schema=batch.schema)
     if wait is not None:
         _, offsets, run, word, times = _sums(wait)
         yield told([wait.column(n) for n in range(3)], offsets, run, word, times)
