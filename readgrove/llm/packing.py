@@ -21,8 +21,8 @@ from readgrove.session import materialise
 
 CAPACITY = 4096
 END_ID = 1
-#: Words a worker remembers at most, some 25 MB; then it keeps those of the texts at hand.
-REMEMBERED = 150_000
+#: Words a worker remembers at most, some 100 MB; then it keeps those it has met again.
+REMEMBERED = 500_000
 #: Documents and characters cut into words at a time, and words encoded as one text.
 SLICE, SLICE_CHARS, CHUNK = 256, 1 << 20, 512
 MARKS = "!#$%&()*+,-./:;=?@[]^_{|}~"
@@ -48,6 +48,8 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        #: words asked for again after they were learned
+        self.again: set[str] = set()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[n for token, n in vocab.items() if token.endswith("</w>")]] = True
@@ -61,13 +63,31 @@ class WordEncoder:
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(words):
                 data, edge = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                for n, word in enumerate(words):
-                    self.known[word] = data[edge[n] : edge[n + 1]]
+                self.known.update(zip(words, map(data.__getitem__, map(slice, edge, edge[1:])), strict=False))
             else:  # a letter that folds to more than letters
                 others = others + words
         for word, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.known[word] = np.array(found.ids, "<u4").tobytes()
 
+    def _learn_new(self, new: set[str]) -> None:
+        """Letters and the marks behind them are pieces of their own, so such a word is learned in two."""
+        known, plain, others, joined = self.known, {}, {}, []
+        for word in new:
+            stem = word if word.isalpha() else word.rstrip(MARKS)
+            if not _letters(stem):
+                others[word] = None
+                continue
+            if stem not in known:
+                plain[stem] = None
+            if len(stem) < len(word):
+                mark = word[len(stem) :]
+                joined.append((word, stem, mark))
+                if mark not in known:
+                    others[mark] = None
+        self._learn(list(plain), list(others))
+        for word, stem, mark in joined:
+            known[word] = known[stem] + known[mark]
+
     @staticmethod
     def words(text: str) -> list[str]:
         if CONTROL.search(text):
@@ -84,20 +104,13 @@ class WordEncoder:
         lists = [self.words(t or "") for t in texts]
         known, asked = self.known, set().union(*lists)
         new = asked.difference(known)
+        self.again |= asked - new
         if len(known) + len(new) > REMEMBERED:
-            again = {w: known[w] for w in asked - new}
+            kept = {w: known[w] for w in self.again}
             known.clear()
-            known.update(again)
-        stems = {}
-        for word in new:
-            stem = word.rstrip(MARKS)
-            if len(stem) < len(word) and _letters(stem):  # letters and marks are pieces of their own
-                stems[word] = (stem, word[len(stem) :])
-        ask = (new - stems.keys()).union(x for pair in stems.values() for x in pair if x not in known)
-        plain = list(filter(_letters, ask))
-        self._learn(plain, list(ask.difference(plain)))
-        for word, (stem, mark) in stems.items():
-            known[word] = known[stem] + known[mark]
+            known.update(kept if len(kept) + len(new) <= REMEMBERED else {w: kept[w] for w in asked - new})
+            self.again = set()
+        self._learn_new(new)
         return [b"".join(map(known.__getitem__, words)) for words in lists]
 
 
