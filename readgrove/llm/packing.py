@@ -71,8 +71,10 @@ class WordEncoder:
 
     def _learn_new(self, new: set[str]) -> None:
         """Letters and the marks behind them are pieces of their own, so such a word is learned in two."""
-        known, plain, others, joined = self.known, {}, {}, []
-        for word in new:
+        known, others, joined = self.known, {}, []
+        # most words are plain letters
+        plain = {w: None for w in new if w.isascii() and w.isalpha()}
+        for word in new.difference(plain):
             stem = word if word.isalpha() else word.rstrip(MARKS)
             if not _letters(stem):
                 others[word] = None
@@ -104,7 +106,8 @@ class WordEncoder:
         lists = [self.words(t or "") for t in texts]
         known, asked = self.known, set().union(*lists)
         new = asked.difference(known)
-        self.again |= asked - new
+        if 2 * len(known) > REMEMBERED:
+            self.again |= asked - new
         if len(known) + len(new) > REMEMBERED:
             kept = {w: known[w] for w in self.again}
             known.clear()
