@@ -33,6 +33,16 @@ def edit_distances(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+def mismatches(left: list[str], right: list[str]) -> np.ndarray:
+    """Places in which the reads of each pair differ, counted over the longer one."""
+    out = np.zeros(len(left), np.int64)
+    for at in range(0, len(left), PAIRS):
+        a, b = left[at : at + PAIRS], right[at : at + PAIRS]
+        codes = _codes(a + b)[0]
+        out[at : at + PAIRS] = (codes[: len(a)] != codes[len(a) :]).sum(axis=1)
+    return out
+
+
 def _codes(reads: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(r) for r in reads])
     width = max(1, int(lengths.max()))
@@ -106,6 +116,13 @@ def identities(left: list[str], right: list[str], at_least: float | np.ndarray)
     bound = np.broadcast_to(np.asarray(at_least, float), len(left)) - 1e-11
     rest = np.flatnonzero(most_identity(np.abs(la - lb), la, lb) >= bound)
     short = rest[np.maximum(la, lb)[rest] <= COUNTED]
+    if len(short):
+        # two places at most in which reads of one length differ are the misses, see ``align_batch``
+        differ = mismatches([left[i] for i in short], [right[i] for i in short])
+        near = (la == lb)[short] & (differ <= 2)
+        out[short[near]] = np.round(1 - differ[near] / np.maximum(la[short[near]], 1), 12)
+        out[short[near][out[short[near]] < bound[short[near]]]] = np.nan
+        rest, short = np.setdiff1d(rest, short[near], assume_unique=True), short[~near]
     if len(short):
         edits = edit_distances([left[i] for i in short], [right[i] for i in short])
         far = short[most_identity(edits, la[short], lb[short]) < bound[short]]

@@ -21,6 +21,10 @@ from readgrove.session import materialise, number_rows, small
 FIRST_BATCH, LARGEST_BATCH = 32, 1024
 #: K-mers that more than this share of all units have come last among a unit's keys; at most that many times a read's k-mers.
 COMMON = 64
+#: Most misses of a read that is found by segments; longer reads are found by k-mers.
+SEGMENTED = 4
+#: Units with one segment in common, beyond which they are told apart by k-mers besides.
+HOT = 1024
 
 Picker = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -78,8 +82,87 @@ def pair_keys(identity: float, k: int, common):
     return keys
 
 
+def misses_of(length: int, identity: float) -> int:
+    """Columns without a match that a read of that length allows for."""
+    return int(np.floor(length * (1 - identity) / identity + 1e-9))
+
+
+def segments_of(length: int, identity: float) -> list[tuple[int, int]]:
+    """Place and size of a read's segments, one more than it allows for misses, so that a partner has one of them whole."""
+    n = misses_of(length, identity) + 1
+    ends = [i * length // n for i in range(n + 1)]
+    return [(start, stop - start) for start, stop in zip(ends, ends[1:])]
+
+
+def segment_places(length: int, lengths: list[int], identity: float) -> list[tuple[int, int, int, int]]:
+    """``of, nth, at, size``: where a read of that length can hold a whole segment of an earlier one of a length ``of``.
+
+    Of m + 1 segments and at most m misses there is a whole one with no more misses before it than segments before it,
+    and none more after it than segments after it: the first with fewer misses up to its end than segments. These bound
+    how far it is moved.
+    """
+    places = []
+    for of in lengths:
+        if 0 <= of - length <= misses_of(length, identity):
+            segments = segments_of(of, identity)
+            for nth, (start, size) in enumerate(segments):
+                after = len(segments) - 1 - nth
+                moves = range(max(-nth, length - of - after), min(nth, length - of + after) + 1)
+                places += [(of, nth, start + move, size) for move in moves if 0 <= start + move <= length - size]
+    return places
+
+
+def _segment_keys(units: DataFrame, plan: dict[int, list], kind: str) -> DataFrame:
+    """``key, number``: the segments of every unit at the places that ``plan`` has for its length."""
+    rows = [(length, [tuple(place) for place in places]) for length, places in plan.items()]
+    # a row for each length that allows for few misses
+    places = units.sparkSession.createDataFrame(rows, f"length int, {kind} array<struct<of:int,nth:int,at:int,size:int>>")
+    placed = units.withColumn("length", F.length("text")).join(F.broadcast(places), "length")
+    one = placed.select("number", "cluster", "text", F.explode(kind).alias("place"))
+    segment = F.substr("text", F.col("place.at") + 1, F.col("place.size"))
+    return one.select(F.xxhash64("cluster", "place.of", "place.nth", segment).alias("key"), "number")
+
+
+def _narrowed(keys: DataFrame, hot: DataFrame, fine: DataFrame) -> DataFrame:
+    """``keys`` with each hot one cut up by the k-mers of its units."""
+    cut = keys.join(hot, "key", "left_semi").join(fine.withColumnRenamed("key", "fine"), "number")
+    return keys.join(hot, "key", "left_anti").unionByName(cut.select(F.xxhash64("key", "fine").alias("key"), "number"))
+
+
+def _all_keys(units: DataFrame, n_units: int, identity: float) -> tuple[DataFrame, DataFrame]:
+    """``key, number`` twice: the keys a unit is found by, and those by which it finds earlier, so not shorter, ones.
+
+    A unit that allows for few misses is found by its segments, which are few and tell more than k-mers; of a segment
+    that very many have, only those count as found that share one of their k-mers besides. Others are found by k-mers.
+    """
+    spans = units.groupBy(F.length("text").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    # lengths of reads that allow for few misses, and whether there are others
+    most = F.floor(F.col("length") * F.lit((1 - identity) / identity) + F.lit(1e-9))
+    spans = materialise(spans.withColumn("misses", most), "spans")
+    short = sorted(r["length"] for r in spans.where(F.col("misses").between(1, SEGMENTED)).select("length").collect())
+    whole = {length: [(length, nth, *place) for nth, place in enumerate(segments_of(length, identity))] for length in short}
+    found = _segment_keys(units, whole, "whole")
+    asked = _segment_keys(units, {length: segment_places(length, short, identity) for length in short}, "places")
+    found, asked = materialise(found, "segments"), materialise(asked, "asked_segments")
+    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key")
+    hot = materialise(often, "hot_segments")
+    length = F.length("text")
+    if not hot.isEmpty():
+        some = found.join(hot, "key", "left_semi").select("number").unionByName(asked.join(hot, "key", "left_semi").select("number"))
+        fine = materialise(_unit_keys(units.join(some.distinct(), "number", "left_semi"), n_units, identity), "fine_keys")
+        found, asked = materialise(_narrowed(found, hot, fine), "segments"), materialise(_narrowed(asked, hot, fine), "asked_segments")
+    if spans.where(F.col("misses") > SEGMENTED).isEmpty():
+        return found, asked
+    # a read that is found by segments can still find one that is found by k-mers
+    reach = [n for n in short if misses_of(n + misses_of(n, identity), identity) > SEGMENTED]
+    long = units.where((F.floor(length * F.lit((1 - identity) / identity) + F.lit(1e-9)) > SEGMENTED) | length.isin(reach))
+    fine = materialise(_unit_keys(long, n_units, identity), "unit_keys")
+    found_long = fine.join(units.where(~length.isin(short)).select("number"), "number", "left_semi").select("key", "number")
+    return found.unionByName(found_long), asked.unionByName(fine)
+
+
 def _unit_keys(units: DataFrame, n_units: int, identity: float) -> DataFrame:
-    """``key, number``: the keys of every unit, told apart by cluster."""
+    """``key, number``: the k-mer keys of every unit, told apart by cluster."""
     k = key_size(identity)
     profiled = units.select("number", "cluster", F.length("text").alias("length"), token_profile(k)("text").alias("profile"))
     share = max(2, n_units // COMMON)
@@ -116,7 +199,7 @@ def greedy_centroids(assigned: DataFrame, identity: float = 0.97) -> tuple[DataF
     A read is a centroid if and only if no earlier centroid is that much alike. So in a round all open reads
     without an earlier open read alike become centroids at once, and all reads alike to these are
     settled: the rounds follow chains of reads alike, not the number of centroids, and the result is
-    the sequential one. Reads alike share a key (``pair_keys``). Each is first compared with the
+    the sequential one. Reads alike share a key (``_all_keys``). Each is first compared with the
     first open read of its keys, which settles groups of any size without their pairs; only reads that
     found none are compared with all earlier ones of their keys. Equal reads are one unit.
     """
@@ -127,19 +210,19 @@ def greedy_centroids(assigned: DataFrame, identity: float = 0.97) -> tuple[DataF
     units = materialise(number_rows(units, ["cluster", F.desc(F.length("text")), "header"], "number"), "units")
     n_units = units.count()
     texts = units.select("number", "cluster", "text")
-    keys = materialise(_unit_keys(units, n_units, identity), "unit_keys")
+    keys, asks = _all_keys(units, n_units, identity)
 
-    open_keys, open_units = keys, units.select("number")
+    open_keys, open_asks, open_units = keys, asks, units.select("number")
     chosen, settled = [], []
     while True:
         # the first open read of each key
         leaders = materialise(open_keys.groupBy("key").agg(F.min("number").alias("other")), "leaders")
-        led = open_keys.join(leaders, "key").where("other < number").select("number", "other").distinct()
+        led = open_asks.join(leaders, "key").where("other < number").select("number", "other").distinct()
         led = materialise(led, "led")
         held = materialise(_alike(led, texts, identity).select("number").distinct(), "held")
         free = materialise(open_units.join(held, "number", "left_anti"), "free")
         # those that found none, against all earlier ones
-        own = open_keys.join(free, "number", "left_semi")
+        own = open_asks.join(free, "number", "left_semi")
         beside = open_keys.withColumnRenamed("number", "other")
         rest = own.join(beside, "key").where("other < number").select("number", "other").distinct()
         rest = rest.join(led, ["number", "other"], "left_anti")
@@ -148,7 +231,7 @@ def greedy_centroids(assigned: DataFrame, identity: float = 0.97) -> tuple[DataF
         chosen.append(centroids)
         # whoever is alike to one of them; a read settled before may find an earlier centroid
         heads = keys.join(centroids, "number", "left_semi").withColumnRenamed("number", "other")
-        near = keys.join(heads, "key").where("other < number").select("number", "other").distinct()
+        near = asks.join(heads, "key").where("other < number").select("number", "other").distinct()
         if settled:
             before = reduce(DataFrame.unionByName, settled).groupBy("number").agg(F.min("other").alias("earliest"))
             near = near.join(before, "number", "left").where("earliest is null or earliest > other").drop("earliest")
@@ -158,6 +241,7 @@ def greedy_centroids(assigned: DataFrame, identity: float = 0.97) -> tuple[DataF
         if open_units.isEmpty():
             break
         open_keys = materialise(open_keys.join(open_units, "number", "left_semi"), "open_keys")
+        open_asks = materialise(open_asks.join(open_units, "number", "left_semi"), "open_asks")
 
     centroids = reduce(DataFrame.unionByName, chosen)
     # a handful of centroids for each unit

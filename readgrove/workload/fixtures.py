@@ -19,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a given table in one task, so that what a task sorts does not grow with the table.
+TASK_ROWS = 250_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a given table over all cores: each is a single small file, read in one task."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Rows of a given table, which can be a single file, over all cores and in parts of bounded size."""
+    # counted from the footers of the files
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS)))
 
 
 def reads_syn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -596,7 +596,7 @@ def subcluster_picker(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def subcluster_many(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy units where a cluster has very many centroids."""
-    members, _ = picker.subcluster(X.reads_many(spark, sf).drop("fam"))
+    members, _ = picker.subcluster(materialise(X.reads_many(spark, sf).drop("fam"), "assigned"))
     return members.withColumn("identity", F.round("identity", 9))
 
 
@@ -607,7 +607,7 @@ def leaf_landmarks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def subcluster(spark: SparkSession, sf: str) -> DataFrame:
-    members, _ = picker.subcluster(X.assigned_syn(spark, sf))
+    members, _ = picker.subcluster(materialise(X.assigned_syn(spark, sf), "assigned"))
     return members.withColumn("identity", F.round("identity", 9))
 
 

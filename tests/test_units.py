@@ -13,7 +13,7 @@ from readgrove.plans.divide import DivideParams
 from readgrove.plans.otu_run import run_to_folders
 from readgrove.sources import fasta, tables
 from tests import brute
-from tests.reads import families, random_read
+from tests.reads import families, mutate, random_read
 
 
 def test_number_rows_over_many_partitions(spark):
@@ -192,6 +192,66 @@ def test_chains_of_reads_alike_are_settled_in_order(spark, identity):
     assert {(r["cluster"], r["centroid"]) for r in centroids.collect()} == want_centroids and len(want_centroids) > 12
 
 
+@pytest.mark.parametrize("segmented, hot", [(4, 1024), (4, 1), (2, 1), (1, 3)])
+def test_reads_found_by_segments_and_by_kmers(spark, monkeypatch, segmented, hot):
+    """Chains whose lengths cross the bound between the two kinds of keys, with segments that are hot."""
+    monkeypatch.setattr(picker, "SEGMENTED", segmented)
+    monkeypatch.setattr(picker, "HOT", hot)
+    rng, rows = random.Random(17), []
+    for walk in range(4):
+        read = list(random_read(rng, 44))
+        for step in range(40):
+            rows.append(("c", f"s{walk}_{rng.randrange(10**9)}", "".join(read)))
+            place, kind = rng.randrange(len(read)), rng.random()
+            if kind < 0.35:
+                read.insert(place, rng.choice("ACGT"))
+            elif kind < 0.7 and len(read) > 30:
+                del read[place]
+            else:
+                read[place] = rng.choice("ACGT")
+    members, centroids = picker.greedy_centroids(spark.createDataFrame(rows, "cluster string, header string, read string"), 0.94)
+    found, heads = brute.greedy([(h, r) for _, h, r in rows], 0.94)
+    assert {r["query"]: (r["target"], round(r["identity"], 12)) for r in members.collect()} == found
+    assert {r["centroid"] for r in centroids.collect()} == {h for h, _ in heads} and len(heads) > 12
+
+
+@pytest.mark.parametrize("length, misses", [(130, 4), (128, 3), (66, 2), (40, 1)])
+def test_a_partner_has_a_whole_segment_at_one_of_its_places(length, misses):
+    rng = random.Random(length)
+    assert picker.misses_of(length, 0.97) == misses
+    for _ in range(2000):
+        read = random_read(rng, length)
+        other = mutate(rng, read, misses)
+        read, other = sorted((read, other), key=len, reverse=True)
+        lengths = [n for n in range(30, 140) if picker.misses_of(n, 0.97) <= 4]
+        if len(read) - len(other) > picker.misses_of(len(other), 0.97) or picker.misses_of(len(other), 0.97) < misses or len(read) not in lengths:
+            continue
+        whole = {(nth, read[at : at + size]) for nth, (at, size) in enumerate(picker.segments_of(len(read), 0.97))}
+        places = picker.segment_places(len(other), lengths, 0.97)
+        assert whole & {(nth, other[at : at + size]) for of, nth, at, size in places if of == len(read)}
+
+
+def test_reads_of_common_words_are_not_compared(spark):
+    """Of reads made of the same words each has k-mers in common with very many, but no segment."""
+    rng = random.Random(3)
+    words = [random_read(rng, 16) for _ in range(64)]
+    rows = [("c", f"a_{i}", "".join(rng.choice(words) for _ in range(8))) for i in range(2000)]
+    led = []
+
+    def seen(df, name):
+        written = session.materialise(df, name)
+        if name == "led":
+            led.append(written.count())
+        return written
+
+    kept, picker.materialise = picker.materialise, seen
+    try:
+        _, centroids = picker.greedy_centroids(spark.createDataFrame(rows, "cluster string, header string, read string"))
+    finally:
+        picker.materialise = kept
+    assert centroids.count() == 2000 and sum(led) < 4000
+
+
 def test_many_reads_far_from_one_another_are_one_round(spark):
     """20,000 centroids in one cluster, beside a group of reads alike to one of them."""
     rng = random.Random(5)
