@@ -19,14 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a given table in one task, so that what a task sorts does not grow with the table.
+#: Rows of a given table in one task, so that what a task sorts does not grow with the table. Written as they are, they
+#: are as many files, of which a task reads a bounded number whatever their size, as Spark reckons 4 MB to open one.
 TASK_ROWS = 250_000
 
 
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks a given table is dealt to, counted from the footers of its files."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a given table, which can be a single file, over all cores and in parts of bounded size."""
-    # counted from the footers of the files
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS)))
+    return df.repartition(tasks_for(df))
+
+
+def by_key(reads: DataFrame, spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """Reads of line items dealt by key in parts of bounded size, in which they can be grouped by it as they are."""
+    return reads.repartition(tasks_for(table(spark, sf_dir, "lineitem")), *keys)
 
 
 def reads_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +78,8 @@ def reads_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     place, letter = (F.col("l_orderkey") % 128).cast("int") + 1, F.substr(F.lit("ACGT"), (F.col("l_linenumber") % 4).cast("int") + 1, F.lit(1))
     read = F.concat(F.substr(base, F.lit(1), place - 1), letter, F.substr(base, place + 1))
     rows = lines.select((F.col("l_partkey") % 4).alias("cluster"), F.col("l_partkey").alias("fam"), header.alias("header"), read.alias("read"))
-    return rows.groupBy("cluster", "fam", "header").agg(F.max("read").alias("read"))
+    dealt = by_key(rows, spark, sf_dir, "cluster", "fam", "header")
+    return dealt.groupBy("cluster", "fam", "header").agg(F.max("read").alias("read"))
 
 
 def reads_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +114,9 @@ def segment_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.select("cluster", F.lit(0).alias("lm_ord"), F.col("a").alias("read"))
 
 
-def unique_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unique_syn(spark: SparkSession, sf_dir: str, reads: DataFrame | None = None) -> DataFrame:
     """``seq_id, read, abundance, fam`` of every unique read of the families."""
-    reads = reads_syn(spark, sf_dir)
+    reads = reads_syn(spark, sf_dir) if reads is None else reads
     fams = reads.groupBy("read").agg(F.min("fam").alias("fam"))
     return dereplicate(reads).join(fams, "read").select("seq_id", "read", "abundance", "fam")
 
@@ -145,10 +156,14 @@ def top_landmarks(members: DataFrame) -> DataFrame:
     )
 
 
-def hits_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``header_set, cluster, seq_id``: a hit of its family for every abundant read."""
-    unique = materialise(unique_syn(spark, sf_dir), "unique")
-    sets = header_sets(reads_syn(spark, sf_dir), unique)
+def hits_syn(spark: SparkSession, sf_dir: str, reads: DataFrame | None = None) -> DataFrame:
+    """``header_set, cluster, seq_id``: a hit of its family for every abundant read.
+
+    The reads are written once, or given as the table that has them.
+    """
+    reads = materialise(reads_syn(spark, sf_dir), "reads") if reads is None else reads
+    unique = materialise(unique_syn(spark, sf_dir, reads), "unique")
+    sets = header_sets(reads, unique)
     text = F.concat(F.lit("Set("), F.concat_ws(",", "headers"), F.lit(")"))
     fams = abundant(unique).select("seq_id", "fam")
     return sets.join(fams, "seq_id").select(
@@ -160,13 +175,14 @@ def hits_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assigned_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cluster, header, read``: every family and header once."""
-    reads = reads_syn(spark, sf_dir).groupBy("fam", "header").agg(F.max("read").alias("read"))
+    dealt = by_key(reads_syn(spark, sf_dir), spark, sf_dir, "fam", "header")
+    reads = dealt.groupBy("fam", "header").agg(F.max("read").alias("read"))
     return reads.select((F.col("fam") + FAMILIES).alias("cluster"), "header", "read")
 
 
 def members_syn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cluster, query, target, identity``: every header of a family under the smallest one."""
-    heads = reads_syn(spark, sf_dir).select("fam", "header").distinct()
+    heads = by_key(reads_syn(spark, sf_dir).select("fam", "header"), spark, sf_dir, "fam", "header").distinct()
     first = heads.groupBy("fam").agg(F.min("header").alias("target"))
     rows = heads.join(small(first, FAMILIES, 64), "fam").where(F.col("header") != F.col("target"))
     return rows.select(

@@ -377,8 +377,8 @@ def nearest_landmark_stream(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("identity", F.round("identity", 9))
 
 
-def _header_hits(spark: SparkSession, sf: str) -> DataFrame:
-    hits = assign.explode_header_sets(X.hits_syn(spark, sf))
+def _header_hits(spark: SparkSession, sf: str, reads: DataFrame | None = None) -> DataFrame:
+    hits = assign.explode_header_sets(X.hits_syn(spark, sf, reads))
     return materialise(assign.dedupe_hits(hits, "seq_id"), "hits")
 
 
@@ -389,17 +389,20 @@ def hit_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def assign_all(spark: SparkSession, sf: str) -> DataFrame:
-    return assign.assign_all(fasta.reads_by_header(X.reads_syn(spark, sf)), _header_hits(spark, sf))
+    reads = materialise(X.reads_syn(spark, sf), "reads")
+    return assign.assign_all(fasta.reads_by_header(reads), _header_hits(spark, sf, reads))
 
 
 @query
 def unassigned_reads(spark: SparkSession, sf: str) -> DataFrame:
-    return assign.unassigned(fasta.reads_by_header(X.reads_syn(spark, sf)), _header_hits(spark, sf))
+    reads = materialise(X.reads_syn(spark, sf), "reads")
+    return assign.unassigned(fasta.reads_by_header(reads), _header_hits(spark, sf, reads))
 
 
 @query
 def assigned_reads(spark: SparkSession, sf: str) -> DataFrame:
-    return assign.assigned(fasta.reads_by_header(X.reads_syn(spark, sf)), _header_hits(spark, sf))
+    reads = materialise(X.reads_syn(spark, sf), "reads")
+    return assign.assigned(fasta.reads_by_header(reads), _header_hits(spark, sf, reads))
 
 
 @query
@@ -607,13 +610,13 @@ def leaf_landmarks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def subcluster(spark: SparkSession, sf: str) -> DataFrame:
-    members, _ = picker.subcluster(materialise(X.assigned_syn(spark, sf), "assigned"))
+    members, _ = picker.subcluster(X.assigned_syn(spark, sf))
     return members.withColumn("identity", F.round("identity", 9))
 
 
 @query
 def otu_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
-    reads = X.reads_syn(spark, sf).select("header", "read")
+    reads = materialise(X.reads_syn(spark, sf).select("header", "read"), "reads")
     return build_otus(reads, DivideParams(num_leaves=8)).counts
 
 
@@ -633,7 +636,8 @@ def leaf_landmarks_kmer(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def otu_end_to_end_kmer(spark: SparkSession, sf: str) -> DataFrame:
-    return build_otus(X.reads_syn(spark, sf).select("header", "read"), FOUR, metric="kmer").counts
+    reads = materialise(X.reads_syn(spark, sf).select("header", "read"), "reads")
+    return build_otus(reads, FOUR, metric="kmer").counts
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
