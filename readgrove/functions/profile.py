@@ -23,11 +23,24 @@ def list_array(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
+#: Letters whose tokens are made at once, unless a single read has more.
+LETTERS = 1 << 19
+
+
 def tokens_of(read: pa.Array, k: int, ambiguous: str = "as_a") -> pa.ListArray:
     """Ascending tokens of each read; none for reads shorter than ``k``.
 
     Letters outside the four bases count as the first one, or with ``ambiguous="skip"`` no window has any.
+    A batch of long reads is worked on in slices, so that memory goes by its letters only for what is returned.
     """
+    upto = np.cumsum(pc.fill_null(pc.utf8_length(read), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    if len(read) < 2 or upto[-1] <= LETTERS:
+        return _tokens_of(read, k, ambiguous)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(upto // LETTERS)) + 1, [len(read)]))
+    return pa.concat_arrays([_tokens_of(read.slice(at, stop - at), k, ambiguous) for at, stop in zip(cuts, cuts[1:])])
+
+
+def _tokens_of(read: pa.Array, k: int, ambiguous: str) -> pa.ListArray:
     bits = 2 * k
     codes = np.zeros(256, np.int64)
     for number, base in enumerate(BASES):
