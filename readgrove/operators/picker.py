@@ -139,6 +139,8 @@ def _all_keys(units: DataFrame, n_units: int, identity: float) -> tuple[DataFram
     # lengths of reads that allow for few misses, and whether there are others
     most = F.floor(F.col("length") * F.lit((1 - identity) / identity) + F.lit(1e-9))
     spans = materialise(spans.withColumn("misses", most), "spans")
+    if not spans.where(F.col("length").isNull()).isEmpty():
+        raise ValueError("a read without text cannot be compared")
     short = sorted(r["length"] for r in spans.where(F.col("misses").between(1, SEGMENTED)).select("length").collect())
     whole = {length: [(length, nth, *place) for nth, place in enumerate(segments_of(length, identity))] for length in short}
     found = _segment_keys(units, whole, "whole")
@@ -285,7 +287,10 @@ def pick_in_rounds(assigned: DataFrame, picker: Picker) -> tuple[DataFrame, Data
             break
         claims = picker(heads, open_reads).select(F.col("cluster").cast("string").alias("cluster"), "query", "target", F.col("identity").cast("double").alias("identity"))
         claims = claims.join(open_reads.select("cluster", F.col("header").alias("query")), ["cluster", "query"], "left_semi")
-        claims = claims.join(ranks, ["cluster", "target"])
+        # the targets by themselves: one of very many claims is ranked once
+        targets = materialise(claims.select("cluster", "target").distinct().join(ranks, ["cluster", "target"]), "targets")
+        longest = targets.agg(F.max(F.length("cluster") + F.length("target"))).first()[0] or 0
+        claims = claims.join(small(targets, targets.count(), 64 + 4 * longest), ["cluster", "target"])
         first = F.array_min(F.collect_list(F.struct("target_rank", "target", "identity"))).alias("first")
         claims = claims.groupBy("cluster", "query").agg(first).select("cluster", "query", "first.target", "first.identity")
         claims = materialise(claims, "claims")

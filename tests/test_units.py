@@ -291,6 +291,25 @@ def test_a_picker_that_takes_everything(spark, assigned_rows):
         assert row["centroid"] == mine[0][1]
 
 
+def test_a_target_of_many_claims_is_ranked_once(spark, assigned_rows, monkeypatch):
+    written = []
+
+    def seen(df, name):
+        table = session.materialise(df, name)
+        written.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(picker, "materialise", seen)
+    picker.subcluster(spark.createDataFrame(assigned_rows, "cluster string, header string, read string"), picker=first_takes_all)
+    assert [n for name, n in written if name == "targets"] == [3]
+
+
+def test_a_read_without_text_is_an_error(spark):
+    rows = spark.createDataFrame([("c", "s_1", "ACGT" * 20), ("c", "s_2", None)], "cluster string, header string, read string")
+    with pytest.raises(ValueError, match="without text"):
+        picker.subcluster(rows)
+
+
 def test_a_picker_works_in_rounds_and_must_claim_its_heads(spark, assigned_rows, monkeypatch):
     monkeypatch.setattr(picker, "FIRST_BATCH", 1)
     monkeypatch.setattr(picker, "LARGEST_BATCH", 2)
