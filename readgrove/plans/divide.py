@@ -244,7 +244,8 @@ def divide(seqs: DataFrame, params: DivideParams | None = None) -> Division:
     params = params or DivideParams()
     spark = seqs.sparkSession
     root = profiles(seqs.select("seq_id", "read"), params.word_size, params.buckets, params.ambiguous)
-    start = materialise(root.drop("profile").withColumn("cluster", F.lit(1).cast("bigint")), "root")
+    # in files by its own size: every step of every round has a task for each
+    start = materialise(root.drop("profile").withColumn("cluster", F.lit(1).cast("bigint")).hint("rebalance"), "root")
     n, longest = start.agg(F.count(F.lit(1)), F.max(F.length("read"))).first()
     root_size = spark.createDataFrame([(1, n)] if n else [], "cluster bigint, size bigint")
     grow = _grow_all if params.num_leaves == 0 else _grow_to_target

@@ -1,9 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+import readgrove.session as session
 from readgrove.operators import landmarks as L
 from readgrove.operators import splits
 from readgrove.operators.kmers import profiles
+from readgrove.plans import divide as plan
 from readgrove.plans.divide import DivideParams, divide
 from tests import brute
 from tests.reads import families
@@ -60,6 +62,22 @@ def test_large_control_tables_are_shuffled_with_the_same_result(spark, monkeypat
     assert outcome(divide(seqs_of(spark, READS[:60]), params)) == want
 
 
+def test_few_reads_are_few_files_however_they_come(spark, monkeypatch):
+    """Every step of every round has a task for each file of the root."""
+    files = []
+
+    def seen(df, name, **options):
+        table = session.materialise(df, name, **options)
+        if name == "root":
+            files.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(plan, "materialise", seen)
+    rows = [(f"r{i}", r) for i, r in enumerate(sorted(families(3, 2, 20, 60, 2)))]
+    divide(spark.createDataFrame(rows, "seq_id string, read string").repartition(40), DivideParams(min_size=1000))
+    assert files[0] <= spark.sparkContext.defaultParallelism
+
+
 def test_root_of_exactly_the_minimum_size_stays_whole(spark):
     reads = READS[:9]
     labels, marks = outcome(divide(seqs_of(spark, reads), DivideParams(**SETTINGS)))
