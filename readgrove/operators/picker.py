@@ -14,8 +14,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from readgrove.functions.bounds import identity_from
 from readgrove.functions.profile import list_array, token_profile
-from readgrove.functions.sequence import seq_id
-from readgrove.session import materialise, number_rows, small
+from readgrove.session import BROADCAST_BYTES, materialise, materialise_parts, number_rows, release, small, sparing
 
 #: Reads that a picker of one's own gets of each cluster in its first round, and in any.
 FIRST_BATCH, LARGEST_BATCH = 32, 1024
@@ -25,6 +24,8 @@ COMMON = 64
 SEGMENTED = 4
 #: Units with one segment in common, beyond which they are told apart by k-mers besides.
 HOT = 1024
+#: Reads of the clusters that are picked at a time, and how many times that is done at most, about.
+BATCH_READS, BATCHES = 1 << 21, 64
 
 Picker = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -129,38 +130,71 @@ def _narrowed(keys: DataFrame, hot: DataFrame, fine: DataFrame) -> DataFrame:
     return keys.join(hot, "key", "left_anti").unionByName(cut.select(F.xxhash64("key", "fine").alias("key"), "number"))
 
 
-def _all_keys(units: DataFrame, n_units: int, identity: float) -> tuple[DataFrame, DataFrame]:
-    """``key, number`` twice: the keys a unit is found by, and those by which it finds earlier, so not shorter, ones.
+class _Keys:
+    """The keys a unit is found by, and those by which it finds earlier, so not shorter, ones: ``key, number``.
 
     A unit that allows for few misses is found by its segments, which are few and tell more than k-mers; of a segment
     that very many have, only those count as found that share one of their k-mers besides. Others are found by k-mers.
+    Segments are many and quickly made, so they are made anew for the units asked for and never written.
     """
-    spans = units.groupBy(F.length("text").alias("length")).agg(F.count(F.lit(1)).alias("n"))
-    # lengths of reads that allow for few misses, and whether there are others
-    most = F.floor(F.col("length") * F.lit((1 - identity) / identity) + F.lit(1e-9))
-    spans = materialise(spans.withColumn("misses", most), "spans")
-    if not spans.where(F.col("length").isNull()).isEmpty():
-        raise ValueError("a read without text cannot be compared")
-    short = sorted(r["length"] for r in spans.where(F.col("misses").between(1, SEGMENTED)).select("length").collect())
-    whole = {length: [(length, nth, *place) for nth, place in enumerate(segments_of(length, identity))] for length in short}
-    found = _segment_keys(units, whole, "whole")
-    asked = _segment_keys(units, {length: segment_places(length, short, identity) for length in short}, "places")
-    found, asked = materialise(found, "segments"), materialise(asked, "asked_segments")
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key")
-    hot = materialise(often, "hot_segments")
-    length = F.length("text")
-    if not hot.isEmpty():
-        some = found.join(hot, "key", "left_semi").select("number").unionByName(asked.join(hot, "key", "left_semi").select("number"))
-        fine = materialise(_unit_keys(units.join(some.distinct(), "number", "left_semi"), n_units, identity), "fine_keys")
-        found, asked = materialise(_narrowed(found, hot, fine), "segments"), materialise(_narrowed(asked, hot, fine), "asked_segments")
-    if spans.where(F.col("misses") > SEGMENTED).isEmpty():
-        return found, asked
-    # a read that is found by segments can still find one that is found by k-mers
-    reach = [n for n in short if misses_of(n + misses_of(n, identity), identity) > SEGMENTED]
-    long = units.where((F.floor(length * F.lit((1 - identity) / identity) + F.lit(1e-9)) > SEGMENTED) | length.isin(reach))
-    fine = materialise(_unit_keys(long, n_units, identity), "unit_keys")
-    found_long = fine.join(units.where(~length.isin(short)).select("number"), "number", "left_semi").select("key", "number")
-    return found.unionByName(found_long), asked.unionByName(fine)
+
+    def __init__(self, units: DataFrame, n_units: int, identity: float) -> None:
+        spans = units.groupBy(F.length("text").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+        # lengths of reads that allow for few misses, and whether there are others
+        misses = F.floor(F.length("text") * F.lit((1 - identity) / identity) + F.lit(1e-9))
+        most = F.floor(F.col("length") * F.lit((1 - identity) / identity) + F.lit(1e-9))
+        spans = materialise(spans.withColumn("misses", most), "spans")
+        if not spans.where(F.col("length").isNull()).isEmpty():
+            raise ValueError("a read without text cannot be compared")
+        short = sorted(r["length"] for r in spans.where(F.col("misses").between(1, SEGMENTED)).select("length").collect())
+        self.units, self.hot, self.fine, self.long = units, None, None, None
+        self.whole = {length: [(length, nth, *place) for nth, place in enumerate(segments_of(length, identity))] for length in short}
+        self.places = {length: segment_places(length, short, identity) for length in short}
+        whole, places = self._segments(units, self.whole), self._segments(units, self.places)
+        self.counts = materialise(whole.groupBy("key").agg(F.min("number").alias("other"), F.count(F.lit(1)).alias("n")), "segment_counts")
+        hot = materialise(self.counts.where(F.col("n") > HOT).select("key"), "hot_segments")
+        if hot.isEmpty():
+            release(hot)
+        else:
+            some = whole.join(hot, "key", "left_semi").select("number").unionByName(places.join(hot, "key", "left_semi").select("number"))
+            fine = materialise(_unit_keys(units.join(some.distinct(), "number", "left_semi"), n_units, identity), "fine_keys")
+            self.hot, self.fine = hot, fine
+        if not spans.where(F.col("misses") > SEGMENTED).isEmpty():
+            # a read that is found by segments can still find one that is found by k-mers
+            reach = [n for n in short if misses_of(n + misses_of(n, identity), identity) > SEGMENTED]
+            long = units.where((misses > SEGMENTED) | F.length("text").isin(reach))
+            self.long = materialise(_unit_keys(long, n_units, identity), "unit_keys")
+            others = units.where(~F.length("text").isin(short)).select("number")
+            self.found_long = self.long.join(others, "number", "left_semi").select("key", "number")
+        release(spans)
+
+    def _segments(self, units: DataFrame, plan: dict[int, list]) -> DataFrame:
+        return _segment_keys(units, plan, "whole" if plan is self.whole else "places")
+
+    def _of(self, plan: dict[int, list], long: DataFrame | None, some: DataFrame | None) -> DataFrame:
+        keys = self._segments(self.units if some is None else some, plan)
+        if self.hot is not None:
+            keys = _narrowed(keys, self.hot, self.fine)
+        if long is None:
+            return keys
+        # of one unit there can be very many
+        own = long if some is None else long.join(some.select("number"), "number", "left_semi").select("key", "number")
+        return keys.unionByName(own)
+
+    def found(self, some: DataFrame | None = None) -> DataFrame:
+        """The keys by which all units are found, or some of them."""
+        return self._of(self.whole, None if self.long is None else self.found_long, some)
+
+    def asked(self, some: DataFrame | None = None) -> DataFrame:
+        """The keys by which all units find earlier ones, or some of them do."""
+        return self._of(self.places, self.long, some)
+
+    def first(self) -> DataFrame | None:
+        """``key, other``: the first of all units that is found by each key, if that came with their count."""
+        return self.counts.select("key", "other") if self.hot is None and self.long is None else None
+
+    def release(self) -> None:
+        release(self.counts, *(t for t in (self.hot, self.fine, self.long) if t is not None))
 
 
 def _unit_keys(units: DataFrame, n_units: int, identity: float) -> DataFrame:
@@ -178,18 +212,43 @@ def _unit_keys(units: DataFrame, n_units: int, identity: float) -> DataFrame:
 # ---- greedy centroids
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, identity: float) -> DataFrame:
+def _alike(pairs: DataFrame, texts: DataFrame, identity: float, others: DataFrame | None = None) -> DataFrame:
     """``number, other, identity`` of those distinct pairs that are in one cluster and that much alike.
 
+    ``others`` has the texts of all that are named as ``other``, if they are not sought in ``texts``.
     A unit that many pairs name is unique in ``texts``, so the joins can split it.
     """
     mine = texts.select("number", F.col("cluster").alias("c"), F.col("text").alias("left"))
-    theirs = texts.select(F.col("number").alias("other"), F.col("cluster").alias("d"), F.col("text").alias("right"))
+    others = texts if others is None else others
+    theirs = others.select(F.col("number").alias("other"), F.col("cluster").alias("d"), F.col("text").alias("right"))
     beside = pairs.join(mine, "number").join(theirs, "other").where("c = d")
     found = beside.select("number", "other", identity_from(identity)("left", "right").alias("identity"))
     return found.where("identity is not null")
 
 
+def _batches(reads: DataFrame) -> list[DataFrame]:
+    """``reads`` written by whole clusters, so many at a time that what is written to pick from them is bounded.
+
+    A cluster that is larger is a batch by itself.
+    """
+    sizes = materialise(reads.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster_sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    most = max(BATCH_READS, -(-total // BATCHES))
+    if total <= most:
+        release(sizes)
+        return [materialise(reads, "assigned_reads")]
+    # at most twice BATCHES of them
+    large = [r["cluster"] for r in sizes.where(F.col("size") > most // 2).select("cluster").collect()]
+    number = F.lit(-1)
+    for i, cluster in enumerate(large):
+        number = F.when(F.col("cluster").eqNullSafe(F.lit(cluster)), i).otherwise(number)
+    rest = sizes.where(number < 0).agg(F.sum("size")).first()[0] or 0
+    release(sizes)
+    parts = max(1, -(-rest // most))
+    batch = F.when(number < 0, len(large) + F.pmod(F.xxhash64("cluster"), F.lit(parts))).otherwise(number)
+    return materialise_parts(reads.withColumn("batch", batch.cast("int")), "batch", "assigned_reads")
+
+
 def greedy_centroids(assigned: DataFrame, identity: float = 0.97) -> tuple[DataFrame, DataFrame]:
     """Greedy clustering of every cluster: ``members`` and ``centroids``.
 
@@ -201,64 +260,105 @@ def greedy_centroids(assigned: DataFrame, identity: float = 0.97) -> tuple[DataF
     A read is a centroid if and only if no earlier centroid is that much alike. So in a round all open reads
     without an earlier open read alike become centroids at once, and all reads alike to these are
     settled: the rounds follow chains of reads alike, not the number of centroids, and the result is
-    the sequential one. Reads alike share a key (``_all_keys``). Each is first compared with the
+    the sequential one. Reads alike share a key (``_Keys``). Each is first compared with the
     first open read of its keys, which settles groups of any size without their pairs; only reads that
     found none are compared with all earlier ones of their keys. Equal reads are one unit.
+
+    Clusters do not meet, so they are picked in batches; both tables are written, and all others deleted.
     """
+    named = assigned.select(F.col("cluster").cast("string").alias("cluster"), "header", "read")
+    with sparing(assigned.sparkSession):
+        picked = [_pick(reads, identity) for reads in _batches(named)]
+    members, centroids = zip(*picked, strict=True)
+    return reduce(DataFrame.unionByName, members), reduce(DataFrame.unionByName, centroids)
+
+
+def _pick(reads: DataFrame, identity: float) -> tuple[DataFrame, DataFrame]:
+    """``members`` and ``centroids`` of whole clusters, whose ``reads`` are deleted."""
     text = F.upper("read")
-    keyed = assigned.select(F.col("cluster").cast("string").alias("cluster"), "header", "read", text.alias("text"), seq_id(text).alias("uid"))
-    units = keyed.groupBy("cluster", "uid", "text").agg(F.min(F.struct("header", "read")).alias("first"))
-    units = units.select("cluster", "uid", "text", "first.header", "first.read")
-    units = materialise(number_rows(units, ["cluster", F.desc(F.length("text")), "header"], "number"), "units")
-    n_units = units.count()
-    texts = units.select("number", "cluster", "text")
-    keys, asks = _all_keys(units, n_units, identity)
-
-    open_keys, open_asks, open_units = keys, asks, units.select("number")
-    chosen, settled = [], []
+    # the text of a unit is that of its read
+    units = reads.groupBy(text.alias("text"), "cluster").agg(F.min(F.struct("header", "read")).alias("first"))
+    unique = materialise(units.select("cluster", "first.header", "first.read"), "unique")
+    # numbers only have to be in order
+    ordered = unique.withColumn("length", F.length(text)).orderBy("cluster", F.desc("length"), "header").drop("length")
+    units = materialise(ordered.withColumn("number", F.monotonically_increasing_id()), "units")
+    release(unique)
+    texts = units.select("number", "cluster", text.alias("text"))
+    keys = _Keys(texts, units.count(), identity)
+
+    open_units, open_numbers = None, units.select("number")
+    heads, settled = [], []
     while True:
-        # the first open read of each key
-        leaders = materialise(open_keys.groupBy("key").agg(F.min("number").alias("other")), "leaders")
-        led = open_asks.join(leaders, "key").where("other < number").select("number", "other").distinct()
-        led = materialise(led, "led")
-        held = materialise(_alike(led, texts, identity).select("number").distinct(), "held")
-        free = materialise(open_units.join(held, "number", "left_anti"), "free")
+        scratch = [] if open_units is None else [open_units, open_numbers]
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            scratch.append(materialise(df, name))
+            return scratch[-1]
+
+        # the first open read of each key; of those of its own segments a read is compared with the earliest
+        leaders = keys.first() if open_units is None else None
+        if leaders is None:
+            leaders = kept(keys.found(open_units).groupBy("key").agg(F.min("number").alias("other")), "leaders")
+        led = keys.found(open_units).join(leaders, "key").where("other < number").groupBy("number").agg(F.min("other").alias("other"))
+        led = kept(led, "led")
+        named = kept(led.select(F.col("other").alias("number")).distinct(), "named")
+        few = named.count() * 64 <= BROADCAST_BYTES
+        others = texts.join(F.broadcast(named), "number", "left_semi") if few else texts
+        compared, alike = led, kept(_alike(led, texts, identity, others), "held")
+        free = kept(open_numbers.join(alike, "number", "left_anti"), "free")
+        # those not alike to it, with the first open read of all of their keys
+        free_texts = kept(texts.join(small(free, free.count(), 64), "number", "left_semi"), "free_texts")
+        asks = kept(keys.asked(free_texts).join(leaders, "key").where("other < number"), "asks")
+        led = kept(asks.select("number", "other").distinct().join(compared, ["number", "other"], "left_anti"), "led")
+        if not led.isEmpty():
+            held = kept(_alike(led, texts, identity), "held")
+            compared, alike = compared.unionByName(led), alike.unionByName(held)
+            free = kept(free.join(held, "number", "left_anti"), "free")
         # those that found none, against all earlier ones
-        own = open_asks.join(free, "number", "left_semi")
-        beside = open_keys.withColumnRenamed("number", "other")
-        rest = own.join(beside, "key").where("other < number").select("number", "other").distinct()
-        rest = rest.join(led, ["number", "other"], "left_anti")
-        held = materialise(_alike(rest, texts, identity).select("number").distinct(), "held")
-        centroids = materialise(free.join(held, "number", "left_anti"), "round_centroids")
-        chosen.append(centroids)
+        asks = kept(asks.join(free, "number", "left_semi").select("key", "number"), "asks")
+        if not asks.isEmpty():
+            beside = keys.found(open_units).withColumnRenamed("number", "other")
+            rest = asks.join(beside, "key").where("other < number").select("number", "other").distinct()
+            rest = kept(rest.join(compared, ["number", "other"], "left_anti"), "rest")
+            held = kept(_alike(rest, texts, identity), "held")
+            alike, free = alike.unionByName(held), free.join(held, "number", "left_anti")
+        centroids = kept(free, "round_centroids")
+        heads.append(materialise(units.join(small(centroids, centroids.count(), 64), "number", "left_semi"), "heads"))
         # whoever is alike to one of them; a read settled before may find an earlier centroid
-        heads = keys.join(centroids, "number", "left_semi").withColumnRenamed("number", "other")
-        near = asks.join(heads, "key").where("other < number").select("number", "other").distinct()
-        if settled:
-            before = reduce(DataFrame.unionByName, settled).groupBy("number").agg(F.min("other").alias("earliest"))
-            near = near.join(before, "number", "left").where("earliest is null or earliest > other").drop("earliest")
-        settled.append(materialise(_alike(near, texts, identity), "settled"))
-        done = settled[-1].select("number").distinct().unionByName(centroids)
-        open_units = materialise(open_units.join(done, "number", "left_anti"), "open")
-        if open_units.isEmpty():
+        head_texts = heads[-1].select("number", "cluster", text.alias("text"))
+        known = alike.join(centroids.withColumnRenamed("number", "other"), "other", "left_semi")
+        known = kept(known.select("number", "other", "identity"), "known")
+        before = reduce(DataFrame.unionByName, settled, known).groupBy("number").agg(F.min("other").alias("earliest"))
+        near = keys.asked().join(keys.found(head_texts).withColumnRenamed("number", "other"), "key").where("other < number")
+        near = near.select("number", "other").distinct().join(before, "number", "left").where("earliest is null or earliest > other")
+        near = kept(near.drop("earliest"), "near")
+        settled.append(materialise(_alike(near, texts, identity, head_texts).unionByName(known), "settled"))
+        done = settled[-1].select("number").unionByName(centroids).distinct()
+        left = materialise(open_numbers.join(done, "number", "left_anti"), "open")
+        release(*scratch)
+        open_numbers = left
+        if open_numbers.isEmpty():
+            release(open_numbers)
             break
-        open_keys = materialise(open_keys.join(open_units, "number", "left_semi"), "open_keys")
-        open_asks = materialise(open_asks.join(open_units, "number", "left_semi"), "open_asks")
+        open_units = materialise(texts.join(open_numbers, "number", "left_semi"), "open_units")
 
-    centroids = reduce(DataFrame.unionByName, chosen)
+    keys.release()
+    chosen = reduce(DataFrame.unionByName, heads)
     # a handful of centroids for each unit
     every = reduce(DataFrame.unionByName, settled).groupBy("number").agg(F.array_min(F.collect_list(F.struct("other", "identity"))).alias("best"))
     targets = every.select("number", F.col("best.other").alias("target_number"), "best.identity")
-    targets = targets.unionByName(centroids.select("number", F.col("number").alias("target_number"), F.lit(1.0).alias("identity")))
-    named = units.select("number", "cluster", "uid")
-    heads = units.select(F.col("number").alias("target_number"), F.col("header").alias("target"))
-    placed = materialise(targets.join(named, "number").join(heads, "target_number").select("cluster", "uid", "target", "identity"), "placed")
+    targets = targets.unionByName(chosen.select("number", F.col("number").alias("target_number"), F.lit(1.0).alias("identity")))
+    uid = F.unhex(F.md5(text)).alias("uid")
+    names = chosen.select(F.col("number").alias("target_number"), F.col("header").alias("target"))
+    placed = targets.join(units.select("number", "cluster", uid), "number").join(names, "target_number")
+    placed = materialise(placed.select("cluster", "uid", "target", "identity"), "placed")
+    release(units, *settled)
     # a unit is once in ``placed``, so one of very many equal reads can be split
-    members = keyed.select("cluster", "uid", "header").join(placed, ["cluster", "uid"]).where(F.col("header") != F.col("target"))
-    return (
-        members.select("cluster", F.col("header").alias("query"), "target", "identity"),
-        units.join(centroids, "number", "left_semi").select("cluster", F.col("header").alias("centroid"), "read"),
-    )
+    members = reads.select("cluster", uid, "header").join(placed, ["uid", "cluster"]).where(F.col("header") != F.col("target"))
+    members = materialise(members.select("cluster", F.col("header").alias("query"), "target", "identity"), "picked_members")
+    centroids = materialise(chosen.select("cluster", F.col("header").alias("centroid"), "read"), "picked_centroids")
+    release(reads, placed, *heads)
+    return members, centroids
 
 
 # ---- a picker of one's own

@@ -70,16 +70,19 @@ def either_strand(reads: DataFrame) -> DataFrame:
 
 def reads_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cluster, fam, header, read``: four clusters with a family of reads for each part, nearly all unique."""
-    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    sample, number = (F.col("l_suppkey") % 8), F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    place, letter = (F.col("l_orderkey") % 128).cast("int") + 1, F.substr(F.lit("ACGT"), (F.col("l_linenumber") % 4).cast("int") + 1, F.lit(1))
+    # what a header is made of is dealt in its place, and none where there is no header
+    known = F.col("l_partkey").isNotNull() & sample.isNotNull() & number.isNotNull()
+    rows = lines.select("l_partkey", F.when(known, sample).alias("sample"), F.when(known, number).alias("number"), place.alias("place"), letter.alias("letter"))
+    dealt = by_key(rows, spark, sf_dir, "l_partkey", "sample", "number")
     part = F.col("l_partkey").cast("string")
-    number = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")
-    header = F.concat(F.lit("s"), (F.col("l_suppkey") % 8).cast("string"), F.lit("_"), number, F.lit("p"), part)
     base = F.translate(F.concat(*(F.md5(F.concat(F.lit(x), part)) for x in "abcd")), "0123456789abcdef", "ACGTACGTACGTACGT")
-    place, letter = (F.col("l_orderkey") % 128).cast("int") + 1, F.substr(F.lit("ACGT"), (F.col("l_linenumber") % 4).cast("int") + 1, F.lit(1))
-    read = F.concat(F.substr(base, F.lit(1), place - 1), letter, F.substr(base, place + 1))
-    rows = lines.select((F.col("l_partkey") % 4).alias("cluster"), F.col("l_partkey").alias("fam"), header.alias("header"), read.alias("read"))
-    dealt = by_key(rows, spark, sf_dir, "cluster", "fam", "header")
-    return dealt.groupBy("cluster", "fam", "header").agg(F.max("read").alias("read"))
+    read = F.concat(F.substr("base", F.lit(1), F.col("place") - 1), F.col("letter"), F.substr("base", F.col("place") + 1))
+    reads = dealt.withColumn("base", base).withColumn("read", read).groupBy("l_partkey", "sample", "number").agg(F.max("read").alias("read"))
+    header = F.concat(F.lit("s"), F.col("sample").cast("string"), F.lit("_"), F.col("number").cast("string"), F.lit("p"), part)
+    return reads.select((F.col("l_partkey") % 4).alias("cluster"), F.col("l_partkey").alias("fam"), header.alias("header"), "read")
 
 
 def reads_doc(spark: SparkSession, sf_dir: str) -> DataFrame:

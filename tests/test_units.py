@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -268,6 +270,42 @@ def test_many_reads_far_from_one_another_are_one_round(spark):
     assert {(m["query"], m["target"]) for m in members.collect()} == {(h, "a_00777") for _, h, _ in alike}
 
 
+def scratch_tables(spark):
+    root = session._own_scratch(spark).removeprefix("file:")
+    return {folder for folder, _, files in os.walk(root) if any(f.endswith(".parquet") for f in files)}
+
+
+def shuffled_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for folder in folders for _, _, files in os.walk(folder.getPath()) for f in files if f.startswith("shuffle_")}
+
+
+def test_only_what_was_picked_stays_on_disk(spark, assigned_rows):
+    df = spark.createDataFrame(assigned_rows, "cluster string, header string, read string")
+    before, shuffled = scratch_tables(spark), shuffled_files(spark)
+    members, centroids = picker.greedy_centroids(df, 0.95)
+    assert {os.path.basename(t) for t in scratch_tables(spark) - before} <= {"picked_members", "picked_centroids"}
+    for _ in range(50):  # files are deleted beside the next job
+        if not (left := shuffled_files(spark) - shuffled):
+            break
+        time.sleep(0.1)
+    assert not left and members.count() > 0 and centroids.count() > 0
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == "snappy"
+
+
+def test_clusters_are_picked_in_batches(spark, assigned_rows, monkeypatch):
+    """Three clusters that are a batch each, and small ones that share some."""
+    rows = [*assigned_rows, *((f"d_{i}", f"s_{i}", "ACGTTGCA" * 5) for i in range(20)), (None, "s_x", "ACGT"), (None, "s_y", "ACGT")]
+    df = spark.createDataFrame(rows, "cluster string, header string, read string")
+    whole = [sorted(map(repr, t.collect())) for t in picker.greedy_centroids(df, 0.95)]
+    seen = []
+    pick = picker._pick
+    monkeypatch.setattr(picker, "_pick", lambda reads, identity: seen.append({r["cluster"] for r in reads.select("cluster").collect()}) or pick(reads, identity))
+    monkeypatch.setattr(picker, "BATCH_READS", 20)
+    assert [sorted(map(repr, t.collect())) for t in picker.greedy_centroids(df, 0.95)] == whole
+    assert 4 <= len(seen) <= 5 and sum(map(len, seen)) == len({c for c, _, _ in rows}) == len(set().union(*seen))
+
+
 def first_takes_all(heads, open_reads):
     first = heads.where(F.col("rank") == 1).select("cluster", F.col("header").alias("target"))
     return open_reads.join(first, "cluster").select("cluster", F.col("header").alias("query"), "target", F.lit(1.0).alias("identity"))
